@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm import chat, warc
+from engramma.llm import ann, chat, warc
 from engramma.session import table
 from engramma.storage import written
 
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -45,5 +51,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM q)
 """
 
-QUERIES = {"op7_chat_format": op7_chat_format, "op9_warc": op9_warc}
+QUERIES = {"op3_nearest": op3_nearest, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc}
 SQL = {"op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL}

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from engramma.llm import decontaminate, mixing
+from engramma.llm import decontaminate, mixing, quality, tokens, toxicity
 from engramma.session import table
 
 
@@ -70,5 +68,23 @@ SELECT * FROM (
   FROM ranked r LEFT JOIN last USING (domain, lang, source)) WHERE copies > 0
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_digests(spark, tokens.write_store(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_token_store": op8_token_store, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
 SQL = {"op1_decontaminate": OP1_SQL, "op2_mixing": OP2_SQL}
