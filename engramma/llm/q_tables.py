@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm import ann, chat, warc
+from engramma.llm import ann, chat, langid, warc
 from engramma.session import table
 from engramma.storage import written
 
@@ -51,5 +51,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM q)
 """
 
-QUERIES = {"op3_nearest": op3_nearest, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_language": op4_language, "op3_nearest": op3_nearest, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc}
 SQL = {"op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL}

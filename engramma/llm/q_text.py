@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from engramma.llm import decontaminate, mixing, quality, tokens, toxicity
+from engramma.llm import decontaminate, mixing, near_dup, quality, tokens, toxicity
 from engramma.session import table
 
 
@@ -86,5 +86,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_token_store": op8_token_store, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
-SQL = {"op1_decontaminate": OP1_SQL, "op2_mixing": OP2_SQL}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM reach GROUP BY v) r ON r.v = d.doc_id
+"""
+
+QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_token_store": op8_token_store, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
+SQL = {"op10_ngram_jaccard": OP10_SQL, "op1_decontaminate": OP1_SQL, "op2_mixing": OP2_SQL}
