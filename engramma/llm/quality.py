@@ -56,6 +56,10 @@ class Attention:
         logit, _ = self.bags(x, at)
         return 1 / (1 + np.exp(-np.clip(logit.astype(float), -30, 30)))
 
+    def score_texts(self, texts: pa.Array) -> np.ndarray:
+        """Scores of a text column; null and empty texts are one empty passage."""
+        return self.score(*features(texts))
+
 
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Attention:
     """Full-batch Adam on the log loss with a small weight decay. Bags must not be empty."""
@@ -126,29 +130,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return fit(x, np.concatenate([[0], np.cumsum(lens[keep])]), t["y"].to_numpy()[keep].astype(float))
 
 
-def scorer(model: Attention):
-    """A column function: text to score. Null and empty texts are scored as one empty passage."""
-
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(*features(texts)))
-
-    return score
+def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, residue: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every row. Nothing but the text enters a score; rows that repeat score alike."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col, modulus=modulus, residue=residue)
+    return digest(docs, model, held_out(F.col(id_col), modulus, residue), threshold, id_col, text_col)
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> tuple[DataFrame, Column]:
-    """``docs`` and its score column. Nothing but the text enters a score; rows that repeat score alike."""
-    return docs, scorer(train(docs, labels, id_col=id_col, text_col=text_col, **kw))(F.col(text_col))
+def digest(docs: DataFrame, model, out_of_fold: Column, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The scores of ``docs`` in the contract's columns; the text goes in and only the score comes back."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), out_of_fold.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score_texts(b.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
 
-def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, residue: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    docs, score = with_scores(docs, labels, id_col=id_col, modulus=modulus, residue=residue)
-    out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), modulus, residue).alias("held_out"), score.alias("score"))
+    kind = slim.schema["doc_id"].dataType
+    out = slim.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows that the classifier does not reject, in the input's columns."""
-    docs, score = with_scores(docs, labels, **kw)
-    return docs.where(score >= threshold)
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **kw)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score_texts(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from engramma.llm.bytekit import ASCII_LOWER, U, buffers, mix, pieces, shingles, span_hashes, spans
 from engramma.llm.learn import held_out, labelled_sample
+from engramma.llm.quality import digest
 from engramma.storage import written
 
 #: Labelled rows used, at most, and entries of the mined lexicons, at most (the most significant ones).
@@ -244,7 +244,7 @@ class Linear:
     w: np.ndarray
     b: float
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score_texts(self, texts: pa.Array) -> np.ndarray:
         x = design(*votes(texts, self.lexicon))
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.scale @ self.w + self.b, -30, 30)))
 
@@ -290,23 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return Linear(lexicon, *fit_linear(design(v, c), posterior))
 
 
-def scorer(model: Linear):
-    """A column function: text to score; null is an empty text."""
-
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts))
-
-    return score
-
-
-def toxicity_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> Column:
-    """The score column of ``docs``. Nothing but the text enters it; rows that repeat score alike."""
-    return scorer(train(docs, labels, id_col=id_col, text_col=text_col, **kw))(F.col(text_col))
-
-
-def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 3, residue: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    score = toxicity_score(docs, labels, id_col=id_col, modulus=modulus, residue=residue)
-    out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), modulus, residue).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 3, residue: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every row. Nothing but the text enters a score; null is an empty text, rows that repeat score alike."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col, modulus=modulus, residue=residue)
+    return digest(docs, model, held_out(F.col(id_col), modulus, residue), threshold, id_col, text_col)
