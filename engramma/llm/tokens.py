@@ -1,7 +1,7 @@
 """Token-id output: a content-addressed store of id chunks, with document recipes and a Merkle manifest.
 
 Each document's ids (its tokens and an end id) are cut into chunks where a rolling hash of the last few ids meets a
-mask, so equal passages give equal chunks wherever they stand. A chunk is kept once, under its SHA-256 address; a
+mask, so equal passages give equal chunks wherever they stand. A chunk is kept once, under its address (160 bits of SHA-256); a
 document is a recipe, the list of its chunks' addresses; and the manifest holds a Merkle root for every document, every
 recipe file (documents in ascending id order) and the whole store. Reading recomputes every address from the bytes and
 every root from the addresses.
@@ -47,6 +47,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Words(dict):
+    """Numbers words in the order in which they are first asked for, and remembers the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross ASCII white space, one word at a time through a cache.
 
@@ -74,7 +86,7 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Words()
         self.flat = array("I")
         self.at = array("q", [0])
 
@@ -99,8 +111,6 @@ class WordEncoder:
             part = rest[a : a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 known[w] = e.ids
-        n = len(self.at) - 1
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
         for w in new:
             self.flat.extend(known[w])
             self.at.append(len(self.flat))
@@ -116,11 +126,10 @@ class WordEncoder:
         for t in texts:
             b = t.encode()
             lists.append([w if b"<|" in w else w.lower() for w in b.split()] if b"<|" in b else b.lower().split())
-        new = set(chain.from_iterable(lists)).difference(self.index)
-        if new:
-            self._learn(list(new))
         n_words = np.array([len(ws) for ws in lists], np.int64)
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(n_words.sum()))
+        new, self.index.new = self.index.new, []
+        self._learn(new)
         flat, at = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.at, np.int64)
         lens = at[words + 1] - at[words]
         ends = np.cumsum(lens)
@@ -164,6 +173,10 @@ def cut_points(marks: list[int], start: int, stop: int) -> list[int]:
     return ends
 
 
+def address_of(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:20]
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """SHA-256 Merkle root; an odd node goes up unpaired, no leaves give the hash of nothing."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -200,7 +213,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     at, own, body = int(offs[i]), [], []
                     for end in cut_points([m for m in marks[upto[i] : upto[i + 1]] if m < offs[i + 1]], at, int(offs[i + 1])):
                         piece = raw[at:end].tobytes()
-                        address = hashlib.sha256(piece).digest()
+                        address = address_of(piece)
                         own.append(address)
                         body.append(None if address in seen else piece)
                         seen.add(address)
@@ -280,7 +293,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             n, crc = [], []
             for address, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if hashlib.sha256(ids).digest() != address:
+                if address_of(ids) != address:
                     raise ValueError(f"chunk {address.hex()} is damaged")
                 x = np.frombuffer(ids, kind)
                 n.append(len(x))
