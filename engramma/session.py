@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,15 @@ def build_session(app: str = "engramma", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def _show_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if their machines have it there too."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables under ``sf_dir``, read by Spark so that any file system it knows will do."""
+    _show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
