@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.queries import passages
+from engramma.queries import memory, passages, star
 
-MODULES: tuple = (passages,)
+MODULES = (passages, memory, star)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
