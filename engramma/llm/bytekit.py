@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _rng = np.random.RandomState(20240229)
 _BYTE = _rng.randint(0, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)

@@ -7,13 +7,15 @@ and in that of the band below, and sets that meet in a segment are compared exac
 
 Costs decide what a segment is worth. m is chosen so that a set has some tenth more non-empty segments than it needs;
 segments that many sets share (a passage that thousands of documents hold) are then worth nothing and are left out,
-and the rest still suffice. The few sets for which they don't are *heavy*. Heavy sets are joined among themselves
-with two units for each rare segment, by adding its one-deletion neighbourhood (a segment that differs in one
-element), and what even that does not cover meets in the shared segments, except for sets that already are in one
-component - which is what becomes of large groups of near copies, all linked to a few pivots.
-
-Segments are 40-bit hashes packed by bucket into binary columns, so that a shuffle moves about eight bytes a segment;
-buckets are sorted and matched in numpy. Shingles are 64-bit hashes of whole words.
+and the rest still suffice. For the same reason similar sets share not one but many of the rest, so a pair that
+shares too few is dropped unseen. The few sets that have too few of them left are *heavy*: the members of large
+groups of near copies, and texts that are mostly shared passages. Large groups are first linked to a few pivots. Heavy
+sets then meet in one-deletion neighbourhoods (segments that differ in one element), where these are rare. What is
+left in another component than the largest of its band is held against all heavy sets of the band, in blocks, by
+counting equal segments, and compared exactly where the count allows the similarity.
+
+Segments are 32-bit hashes within a bucket, packed into binary columns, so that a shuffle moves about eight bytes a
+segment; buckets are sorted and matched in numpy, a range of hashes at a time. Shingles are 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from engramma.storage import written
 RUN_PAIRS = 8
 #: Largest band size whose segments are single shingles.
 SINGLE = 48
-BUCKET_SEGMENTS = 1_500_000
+#: Segments in a bucket, and in a range of it that is matched at a time.
+BUCKET_SEGMENTS, RANGE_SEGMENTS = 4_000_000, 1_000_000
+#: Heavy sets, and queries among them, in a cell that counts segments.
+CELL_SETS = 10_000
 #: Ids (8 bytes each) that may be broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
 _G = U(0x9FB21C651E98DF25)
@@ -97,7 +102,7 @@ class Scheme:
         return mix(sums + place), size, mix(sums[of] - g + place[of]), of
 
 
-_PACKED = "bucket int, ids binary, tags binary, sizes binary, lower binary, counts binary, sigs binary"
+_PACKED = "bucket int, ids binary, tags binary, sizes binary, bands binary, needs binary, counts binary, sigs binary"
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -110,9 +115,9 @@ def _from_five(b: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, lower: np.ndarray, owner: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    """A row a bucket: the header of each set that has segments in it, and the segments, by 40 bits."""
-    bucket = ((sigs >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
+def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, bands: np.ndarray, needs: np.ndarray, owner: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    """A row a bucket: the header of each set that has segments in it, and 32 bits of each segment."""
+    bucket = ((sigs >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
     bucket, owner, sigs = bucket[order], owner[order], sigs[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -122,15 +127,15 @@ def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, lo
         head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
         d = o[head]
         counts = np.diff(np.concatenate([head, [z - a]]))
-        rows.append((int(bucket[a]), ids[d].tobytes(), tags[d].tobytes(), sizes[d].tobytes(), lower[d].tobytes(), counts.astype(np.uint32).tobytes(), _five(sigs[a:z])))
-    cols = list(zip(*rows, strict=True)) or [()] * 7
+        rows.append((int(bucket[a]), ids[d].tobytes(), _five(tags[d]), sizes[d].tobytes(), bands[d].tobytes(), needs[d].tobytes(), counts.astype(np.uint32).tobytes(), sigs[a:z].astype(np.uint32).tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in _PACKED.split(", ")])
 
 
 def _unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
     join = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
     counts = join("counts", np.uint32)
-    return join("ids", np.int64), join("tags", U), join("sizes", np.uint32), join("lower", np.uint8), np.repeat(np.arange(len(counts)), counts), np.concatenate([_from_five(r["sigs"]) for r in rows])
+    return join("ids", np.int64), np.concatenate([_from_five(r["tags"]) for r in rows]), join("sizes", np.uint32), join("bands", np.uint8), join("needs", np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts), join("sigs", np.uint32)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -160,27 +165,40 @@ def _distinct(*cols: np.ndarray) -> list[np.ndarray]:
     return [c[new] for c in cols]
 
 
-_FOUND = "kind tinyint, a bigint, b bigint, n bigint"
+_FOUND = "kind tinyint, a bigint, b bigint, band int, n bigint, need_a int, need_b int"
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
-    n = np.ones(len(a), np.int64) if n is None else n
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int8()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
+def _found(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndarray | None = None, need_a: np.ndarray | None = None, need_b: np.ndarray | None = None) -> pa.RecordBatch:
+    n, need_a, need_b = (np.full(len(a), 1) if x is None else x for x in (n, need_a, need_b))
+    cols = [np.full(len(a), kind, np.int8), a.astype(np.int64), b.astype(np.int64), band.astype(np.int32), n.astype(np.int64), need_a.astype(np.int32), need_b.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b", "band", "n", "need_a", "need_b"])
 
 
 def match_bucket(rows: list[dict], percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 0) of a bucket, and for sets in larger runs how many of their segments these took (kind 1, b: lower scheme)."""
-    ids, tags, sizes, lower, owner, sig = _unpack(rows)
+    """What the runs of equal segments in a bucket tell, copies of a set counting as one.
+
+    kind 0: pairs that meet in rare runs, how often, and how often each of them must in all; kind 3: pairs of a large
+    run's smallest id with the others; kind 1: how many of a set's segments large runs took.
+    """
+    ids, tags, sizes, bands, needs, owners, sigs = _unpack(rows)
+    rows.clear()
+    ranges = -(-len(sigs) // RANGE_SEGMENTS)
+    for r in range(ranges):
+        part = np.flatnonzero(sigs.astype(U) * U(ranges) >> U(32) == r) if ranges > 1 else slice(None)
+        yield from _match(ids, tags, sizes, bands, needs, owners[part], sigs[part], percent, run_pairs)
+
+
+def _match(ids, tags, sizes, bands, needs, owner, sig, percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
+    """``match_bucket`` for the segments ``sig`` of the sets ``owner``."""
     order = np.argsort(sig, kind="stable")
     sig, owner = sig[order], owner[order]
     new = _heads(sig)
     again = ~new
-    again[:-1] |= ~new[1:]
+    again[:-1] |= again[1:].copy()
     sig, owner = sig[again], owner[again]
     order = np.lexsort((ids[owner], tags[owner], sig))
     sig, owner = sig[order], owner[order]
     first = _heads(sig, tags[owner])  # of equal sets, the smallest id
-    every, every_sig = owner, sig
     sig, owner = sig[first], owner[first]
     order = np.lexsort((ids[owner], sig))
     sig, owner = sig[order], owner[order]
@@ -192,22 +210,29 @@ def match_bucket(rows: list[dict], percent: int, run_pairs: int) -> Iterator[pa.
         i = np.flatnonzero((size[d:] <= run_pairs) & (sig[d:] == sig[:-d])) if len(sig) > d else np.zeros(0, np.int64)
         left.append(owner[i])
         right.append(owner[i + d])
+
+    def sizes_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nx, ny = sizes[x].astype(np.int64), sizes[y].astype(np.int64)
+        fit = (percent * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)) & (ids[x] != ids[y])
+        return x[fit], y[fit]
+
+    a, b = sizes_fit(np.concatenate(left), np.concatenate(right))
+    order = np.lexsort((bands[a], ids[b], ids[a]))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(_heads(ids[a], ids[b], bands[a]))
+    n = np.diff(np.concatenate([at, [len(a)]]))
+    a, b = a[at], b[at]
+    yield _found(0, ids[a], ids[b], bands[a], n, needs[a], needs[b])
     large = size > run_pairs
-    pivot = np.repeat(owner[head], run) if len(head) else owner
-    star = large & (pivot != owner)
-    left.append(pivot[star])
-    right.append(owner[star])
-    a, b = np.concatenate(left), np.concatenate(right)
-    na, nb = sizes[a].astype(np.int64), sizes[b].astype(np.int64)
-    fit = (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)) & (ids[a] != ids[b])
-    a, b = ids[a[fit]], ids[b[fit]]
-    yield _found(0, *_distinct(np.minimum(a, b), np.maximum(a, b)))
-    # every set of a large run loses the segment, copies of the representatives too, which then stand aside
     if large.any():
-        o = owner[large]
-        key, n = np.unique(o, return_counts=True)
-        yield _found(1, ids[key], lower[key], n)
-    del every, every_sig
+        pivot = np.repeat(owner[head], run)
+        x, y = sizes_fit(pivot[large], owner[large])
+        order = np.lexsort((bands[x], ids[y], ids[x]))
+        x, y = x[order], y[order]
+        new = _heads(ids[x], ids[y], bands[x])
+        yield _found(3, ids[x[new]], ids[y[new]], bands[x[new]])
+        o, n = np.unique(owner[large], return_counts=True)
+        yield _found(1, ids[o], ids[o], bands[o], n, needs[o])
 
 
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -231,24 +256,25 @@ def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, tex
     def run(batches):
         scheme = Scheme(percent)
         for b in batches:
-            for k in range(0, b.num_rows, 4000):
-                part = b.slice(k, 4000)
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                head, tags, sizes, lower, sigs, counts = [], [], [], [], [], []
+                head, tags, sizes, bands, needs, sigs, counts = [], [], [], [], [], [], []
                 for i, s in shingle_sets(part.column(1), n):
                     if len(s) < 2:
                         continue
                     tag = mix(s).sum(dtype=U)
-                    for j, band in enumerate(scheme.schemes(len(s))):
+                    for band in scheme.schemes(len(s)):
                         x = scheme.segments(s, band)[0]
                         head.append(ids[i])
                         tags.append(tag)
                         sizes.append(len(s))
-                        lower.append(j)
+                        bands.append(band)
+                        needs.append(len(x) - scheme.differ(len(s), band))
                         sigs.append(x)
                         counts.append(len(x))
                 if sigs:
-                    yield _pack(buckets, np.array(head, np.int64), np.array(tags, U), np.array(sizes, np.uint32), np.array(lower, np.uint8), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
+                    yield _pack(buckets, np.array(head, np.int64), np.array(tags, U), np.array(sizes, np.uint32), np.array(bands, np.uint8), np.array(needs, np.int32), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return _dealt(rows.mapInArrow(run, _PACKED), buckets)
@@ -280,10 +306,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            x, y = b.column(2), b.column(3)
             ok = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                s, t = np.frombuffer(x[i], U), np.frombuffer(y[i], U)
+                s, t = np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U)
                 both = np.concatenate([s, t])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -295,34 +321,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _heavy(sets: DataFrame, lost: DataFrame, percent: int) -> DataFrame:
-    """(id, band): the sets that have no more rare segments left in a scheme than their partners may differ by."""
+def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify, and the heavy sets (id, band).
 
-    def run(batches):
-        scheme = Scheme(percent)
-        for b in batches:
-            out = []
-            for i, raw, low, n in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                s = np.frombuffer(raw, U)
-                if len(s) < 2 or len(scheme.schemes(len(s))) <= low:
-                    continue
-                band = scheme.schemes(len(s))[low]
-                if len(scheme.segments(s, band)[0]) - n <= scheme.differ(len(s), band):
-                    out.append((i, band))
-            cols = list(zip(*out, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())], ["id", "band"])
-
-    lost = lost.select(F.col("a").alias("id"), F.col("b").alias("low"), "n")
-    return sets.join(lost, "id").select("id", "shingles", "low", "n").mapInArrow(run, "id bigint, band int").distinct()
+    A pair stays if it meets in as many rare segments as either set must share with a partner, after those that large
+    runs took from it; a large run's pivot is paired with heavy sets only, if it is heavy itself.
+    """
+    lost = found.where("kind = 1").groupBy(F.col("a").alias("id"), "band").agg(F.sum("n").alias("lost"), F.max("need_a").alias("need"))
+    lost = written(lost, "near-lost")
+    heavy = lost.where("need <= lost").select("id", "band")
+    met = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("n").alias("met"), F.max("need_a").alias("na"), F.max("need_b").alias("nb"))
+    of = lambda k: lost.select(F.col("id").alias(k), "band", F.col("lost").alias(f"lost_{k}"))
+    met = met.join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left")
+    enough = F.greatest(F.col("na") - F.coalesce("lost_a", F.lit(0)), F.col("nb") - F.coalesce("lost_b", F.lit(0)))
+    stars = found.where("kind = 3").select("a", "b", "band").distinct()
+    for k in ("a", "b"):
+        stars = stars.join(heavy.select(F.col("id").alias(k), "band"), [k, "band"], "left_semi")
+    return met.where(F.col("met") >= enough).select("a", "b").union(stars.select("a", "b")).distinct(), heavy
 
 
 def _heavy_index(heavy: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Packed segments of heavy sets and their one-deletion neighbourhoods. Tags are components; sizes say 0 for a deletion, else the segment's worth; lower is unused."""
+    """Packed segments of heavy sets and their one-deletion neighbourhoods. Tags are components; needs say 0 for a deletion, else what the segment is worth."""
 
     def run(batches):
         scheme = Scheme(percent)
         for b in batches:
-            head, tags, sizes, sigs, counts = [], [], [], [], []
+            head, tags, sizes, bands, worths, sigs, counts = [], [], [], [], [], [], []
             for i, band, raw, comp in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 exact, size, less, of = scheme.segments(np.frombuffer(raw, U), band)
                 less = less[size[of] >= 2] if len(of) else less
@@ -330,37 +354,97 @@ def _heavy_index(heavy: DataFrame, percent: int, buckets: int) -> DataFrame:
                     if len(x):
                         head.append(i)
                         tags.append(comp)
-                        sizes.append(band * 4 + worth)
+                        sizes.append(len(raw) // 8)
+                        bands.append(band)
+                        worths.append(worth)
                         sigs.append(x)
                         counts.append(len(x))
             if sigs:
-                yield _pack(buckets, np.array(head, np.int64), np.array(tags, np.int64).view(U), np.array(sizes, np.uint32), np.zeros(len(head), np.uint8), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
+                yield _pack(buckets, np.array(head, np.int64), mix(np.array(tags, np.int64).view(U)), np.array(sizes, np.uint32), np.array(bands, np.uint8), np.array(worths, np.int32), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
 
     return _dealt(heavy.select("id", "band", "shingles", "component").mapInArrow(run, _PACKED), buckets)
 
 
-def match_heavy(rows: list[dict], run_pairs: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that meet in a segment or a one-deletion neighbourhood (kind 0); what each set's rare segments are worth (kind 1, b: band); members of large runs (kind 2, b: run, n: band)."""
-    ids, comps, code, _, owner, sig = _unpack(rows)
+def match_heavy(rows: list[dict], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that meet in a segment or a one-deletion neighbourhood shared by at most ``most`` entries."""
+    ids, comps, sizes, bands, worths, owner, sig = _unpack(rows)
     order = np.lexsort((ids[owner], sig))
     sig, owner = sig[order], owner[order]
     head = np.flatnonzero(_heads(sig))
-    for a, z in zip(head, [*head[1:], len(sig)], strict=True):
-        o = owner[a:z]
-        worth = code[o] & 3
-        exact, near = o[worth > 0], o[worth == 0]
-        few = len(exact) <= run_pairs
-        if few and len(exact):
-            yield _found(1, ids[exact], code[exact] >> 2, code[exact] & 3)
-        if len(comps[o]) and (comps[o] == comps[o][0]).all():
+    ends = np.concatenate([head[1:], [len(sig)]])
+    c = comps[owner].view(np.int64)
+    if not len(head):
+        return
+    rare = (ends - head <= most) & (np.minimum.reduceat(c, head) != np.maximum.reduceat(c, head))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(rare):
+        o = owner[head[k] : ends[k]]
+        i, j = np.triu_indices(len(o), 1)
+        keep = (worths[o[i]] > 0) | (worths[o[j]] > 0)
+        left.append(o[i[keep]])
+        right.append(o[j[keep]])
+    x, y = np.concatenate(left), np.concatenate(right)
+    n, m = sizes[x].astype(np.int64), sizes[y].astype(np.int64)
+    fit = (comps[x] != comps[y]) & (bands[x] == bands[y]) & (percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
+    x, y = ids[x[fit]], ids[y[fit]]
+    a, b = _distinct(np.minimum(x, y), np.maximum(x, y))
+    yield _found(0, a, b, np.zeros(len(a)))
+
+
+def count_cell(scheme: Scheme, band: int, ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the cell's queries to its other sets: by counting equal segments, then exactly; one for each component that a query meets."""
+    parts = [scheme.segments(x, band)[0] for x in sets]
+    size = np.array([len(x) for x in sets], np.int64)
+    need = np.array([len(p) - scheme.differ(len(x), band) for p, x in zip(parts, sets, strict=True)], np.int64)
+    data = np.flatnonzero(~is_query)
+    sig = np.concatenate([parts[i] for i in data])
+    owner = np.repeat(data, [len(parts[i]) for i in data])
+    order = np.argsort(sig, kind="stable")
+    sig, owner = sig[order], owner[order]
+    out = []
+    for q in np.flatnonzero(is_query):
+        lo, hi = np.searchsorted(sig, parts[q], "left"), np.searchsorted(sig, parts[q], "right")
+        met = [owner[a:b] for a, b in zip(lo, hi, strict=True) if b > a]
+        if not met:
             continue
-        for lefts, rights in ((exact, exact if few else exact[:0]), (exact, near)):
-            for x in lefts:  # a row of pairs at a time
-                y = rights[(comps[rights] != comps[x]) & (code[rights] >> 2 == code[x] >> 2)]
-                if len(y):
-                    yield _found(0, np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x]))
-        if not few:
-            yield _found(2, ids[exact], np.full(len(exact), int(sig[a])), code[exact] >> 2)
+        count = np.bincount(np.concatenate(met), minlength=len(ids))
+        fit = (count >= np.maximum(1, np.maximum(need, need[q]))) & (comps != comps[q]) & (scheme.percent * np.maximum(size, size[q]) <= 100 * np.minimum(size, size[q]))
+        done = set()
+        for t in np.flatnonzero(fit)[np.argsort(-count[fit], kind="stable")]:
+            if int(comps[t]) not in done:
+                both = np.concatenate([sets[q], sets[t]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= scheme.percent * (len(both) - common):
+                    out.append((min(int(ids[q]), int(ids[t])), max(int(ids[q]), int(ids[t]))))
+                    done.add(int(comps[t]))
+    return out
+
+
+def counted_links(heavy: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between heavy sets (id, band, shingles, component) of different components.
+
+    Of two sets in different components one is outside the largest of its band: those are the queries, held against
+    all sets of the band, a shard of sets and a block of queries to a cell.
+    """
+    top = heavy.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
+    h = written(heavy.join(top, "band").select("id", "band", "shingles", "component", (F.col("component") != F.col("top")).alias("q")), "near-rest")
+    total, asked = h.count(), h.where("q").count()
+    shards, blocks = max(1, -(-total // CELL_SETS)), max(1, -(-asked // CELL_SETS))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cols = ["id", "band", "shingles", "component", "shard", "block", "q"]
+    data = h.withColumn("shard", deal(shards)).withColumn("block", every(blocks)).withColumn("q", F.lit(False)).select(*cols)
+    queries = h.where("q").withColumn("block", deal(blocks)).withColumn("shard", every(shards)).select(*cols)
+
+    def run(t: pa.Table) -> pa.Table:
+        is_query = t.column("q").to_numpy(zero_copy_only=False)
+        found = []
+        if is_query.any():
+            found = count_cell(Scheme(percent), t.column("band")[0].as_py(), t.column("id").to_numpy(), t.column("component").to_numpy(), [np.frombuffer(x, U) for x in t.column("shingles").to_pylist()], is_query)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return data.unionByName(queries).groupBy("band", "shard", "block").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _label(ids: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -383,13 +467,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
             yield from match_bucket(rows, percent, run_pairs)
 
     found = written(_index(docs, n, percent, buckets, id_col, text_col).mapInArrow(match, _FOUND), "near-found")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    lost = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lost.select("a")).distinct()
+    pairs, heavy = candidates(found)
+    pairs, heavy = written(pairs, "near-pairs"), written(heavy, "near-heavy")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(heavy.select("id")).distinct()
     sets = written(_sets_of(docs, written(wanted, "near-wanted"), n, id_col, text_col), "near-wanted-sets")
     linked = written(verify(pairs, sets, percent), "near-links")
-    heavy = written(_heavy(sets, lost, percent), "near-heavy")
     if not heavy.limit(1).count():
         return table, linked
 
@@ -400,33 +482,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
 
     def match_again(batches):
         for rows in _by_bucket(batches):
-            yield from match_heavy(rows, run_pairs)
-
-    again = written(_heavy_index(full, percent, few).mapInArrow(match_again, _FOUND), "near-heavy-found")
-    more = written(verify(again.where("kind = 0").select("a", "b").distinct(), sets, percent), "near-heavy-links")
-    linked = linked.unionByName(more)
+            yield from match_heavy(rows, percent, 2 * run_pairs)
 
-    # sets whose rare segments, neighbourhoods counted, still fall short meet in the large runs, component against component
-    def short(batches):
-        scheme = Scheme(percent)
-        for b in batches:
-            size, band, worth = (b.column(k).to_numpy() for k in (1, 2, 3))
-            need = np.array([scheme.differ(int(s), int(k)) for s, k in zip(size, band, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["id", "band"]).filter(pa.array(worth <= need))
-
-    worth = again.where("kind = 1").groupBy(F.col("a").alias("id"), F.col("b").cast("int").alias("band")).agg(F.sum("n").alias("worth"))
-    rest = heavy.join(sets.select("id", "size"), "id").join(worth, ["id", "band"], "left").select("id", "size", "band", F.coalesce("worth", F.lit(0)).alias("worth"))
-    rest = written(rest.mapInArrow(short, "id bigint, band int").distinct(), "near-rest")
-    if not again.where("kind = 2").limit(1).count() or not rest.limit(1).count():
-        return table, linked
+    again = _heavy_index(full, percent, few).mapInArrow(match_again, _FOUND).select("a", "b").distinct()
+    linked = linked.unionByName(written(verify(again, sets, percent), "near-heavy-links"))
     labels = components(linked, "near-again")
-    member = again.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("run"), F.col("n").cast("int").alias("band")).join(rest, ["id", "band"])
-    member = written(_label(member.join(sets.select("id", "size"), "id"), labels), "near-members")
-    mixed = member.groupBy("run", "band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run", "band")
-    member = member.join(mixed, ["run", "band"])
-    left, right = member.select("run", "band", F.col("id").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca")), member.select("run", "band", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-    last = left.join(right, ["run", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
-    return table, linked.unionByName(written(verify(last, sets, percent), "near-last-links"))
+    rest = _label(heavy.join(sets, "id"), labels).select("id", "band", "shingles", "component")
+    return table, linked.unionByName(written(counted_links(rest, percent), "near-last-links"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
