@@ -1,0 +1,101 @@
+import datetime
+
+from pyspark.sql import functions as F
+
+from engramma.functions import text as tx
+from engramma.functions import timefn
+from engramma.functions.vector import cosine, max_sim
+from engramma.operators import events, exchanges, graph, search, tiling
+from engramma.plans import adaptive, classify
+
+
+def one(spark, c):
+    return spark.range(1).select(c.alias("x")).first()["x"]
+
+
+def test_canonical_and_uuid(spark):
+    import uuid
+
+    assert one(spark, tx.canonical(F.lit("a  \r\nb\r\n\n\n\n\nc"))) == "a\nb\n\n\nc"
+    assert one(spark, tx.uuid5(F.lit("abc:search_512:0"))) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "abc:search_512:0"))
+
+
+def test_fences_and_files(spark):
+    body = "x = 1\ny = 2\nprint(x + y)  # sum"
+    got = one(spark, tx.code_fences(F.lit(f"see `a/b.py`\n```python\n{body}\n```\n")))
+    assert [(r["lang"], r["body"]) for r in got] == [("python", body + "\n")]
+    assert one(spark, tx.file_references(F.lit("open `a/b.py` and notes.md"))) == ["a/b.py", "b.py", "notes.md"]
+
+
+def test_tile_grid_edges(spark):
+    chunk, step = tiling.SCALES["search_512"]
+    rows = spark.createDataFrame([(0, ""), (1, "x" * chunk), (2, "x" * (chunk + 1)), (3, "x" * 10000), (4, None)], "id int, text string")
+    got = {}
+    for r in tiling.tile_grid(rows, chunk, step).collect():
+        got.setdefault(r["id"], []).append((r["start_char"], r["grid_end"]))
+    assert sorted(got[0]) == [(0, 0)] and sorted(got[1]) == [(0, chunk)] and 4 not in got
+    for k in (2, 3):
+        t = sorted(got[k])
+        assert t[0][0] == 0 and max(e for _, e in t) == (chunk + 1 if k == 2 else 10000) and all(b[0] <= a[1] for a, b in zip(t, t[1:]))
+
+
+def test_rebuild_with_paragraphs(spark):
+    text = ("word " * 80 + ".\n\n") * 30
+    docs = spark.createDataFrame([(1, text)], "id int, text string")
+    t = tiling.tiles(docs, "search_512")
+    assert tiling.rebuilt(t, "id").first()["text"] == text
+    assert any(r["content"].endswith("\n\n") for r in t.collect())
+
+
+def test_time(spark):
+    ts = one(spark, timefn.parse_time(F.lit("2024-01-02T03:04:05Z")))
+    assert ts == datetime.datetime(2024, 1, 2, 3, 4, 5)
+    assert one(spark, timefn.parse_time(F.lit("2024-01-02T03:04:05.123456Z"), strict=True)) is None
+    assert one(spark, F.round(timefn.decay(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-03-31").cast("timestamp"), 90), 6)) == 0.5
+    assert one(spark, timefn.store_date_iso(F.lit('{"$date":{"$numberLong":"1700000000000"}}'))) == "2023-11-14T22:13:20Z"
+
+
+def test_vectors(spark):
+    a, z = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))
+    assert one(spark, cosine(a, a)) == 1.0 and one(spark, cosine(a, z)) == 0.0
+    assert one(spark, max_sim(F.array(a), F.array(z, a))) == 1.0
+
+
+def test_graph_cycle_and_versions(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "src long, dst long")
+    got = {(r["node"], r["distance"]) for r in graph.hops(e, spark.createDataFrame([(1,)], "start long"), 5).collect()}
+    assert got == {(2, 1), (3, 1)}
+    v = spark.createDataFrame([(3, 2), (2, 1)], "newer long, older long")
+    assert [r["node"] for r in graph.version_chain(v).orderBy("position").collect()] == [3, 2, 1]
+
+
+def test_fusion_and_caps(spark):
+    lists = spark.createDataFrame([("q", 1, 1, 1.0), ("q", 2, 2, 1.0), ("q", 1, 3, 1.0)], "query_id string, id long, rank int, weight double")
+    best = search.rrf(lists, "id").orderBy(F.desc("score")).first()
+    assert best["id"] == 1 and abs(best["score"] - (1 / 61 + 1 / 63)) < 1e-12
+
+
+def test_chunks_carry_overlap(spark):
+    rows = spark.createDataFrame([("s", i, "x" * 400) for i in range(10)], "s string, i int, t string")
+    got = exchanges.budget_chunks(rows, "s", "i", "t", 300, 100).orderBy("chunk_index").collect()
+    assert got[0]["first"] == 0 and got[1]["first"] == got[0]["last"] and got[-1]["last"] == 9
+
+
+def test_phi():
+    assert events.phi_coherence(1.0, 1.0, 1.0) == 1.0
+    assert events.phi_coherence(0.0, 1.0, 1.0) < 0.4
+
+
+def test_classification(spark):
+    q = spark.createDataFrame([("between", "relationship between memory and time"), ("when", "what happened in March 2024"), ("plain", "foo bar baz")], "query_id string, query string")
+    got = {r["query_id"]: r for r in classify.plans(q).collect()}
+    assert got["between"]["strategy"] == "relational" and got["between"]["sub_queries"] == ["memory", "time"]
+    assert got["when"]["strategy"] == "temporal" and str(got["when"]["after"]) == "2024-03-01" and str(got["when"]["before"]) == "2024-04-01"
+    assert got["plain"]["strategy"] == "exact"
+
+
+def test_adaptive_search(spark):
+    p = spark.createDataFrame([(1, "memory and time", "2024-03-05"), (2, "other words", "2024-03-06"), (3, "memory of march", "2023-01-01")], "id long, text string, day string").withColumn("day", F.col("day").cast("date"))
+    q = spark.createDataFrame([("a", "memory in March 2024")], "query_id string, query string")
+    got = adaptive.adaptive_search(p, q, "id", "text", at="day", now=F.lit("2024-04-01").cast("timestamp")).collect()
+    assert [r["id"] for r in got] == [1] and got[0]["strategy"] == "temporal"
