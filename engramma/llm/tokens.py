@@ -33,7 +33,7 @@ END_ID = 2
 #: A cut falls where the rolling hash has this many zero bits: 256 ids a chunk on average beyond the least.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK, ROLL = 8, 64, 2048, 8
 #: Words kept in a worker's cache, about 150 bytes each; it is emptied when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 
 #: Words of these letters, lower-cased one by one and stable under NFC, are single pieces for a tokenizer that cuts at non-letters.
