@@ -83,15 +83,19 @@ def resonance_decay(spark, d):
     return mo.resonance(u, F.lit(1706745600), F.lit(86400.0) * F.exp(F.col("k").cast("double")))
 
 
+def _words(spark, d) -> DataFrame:
+    """(doc_id, w): the distinct words of every document."""
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where("w <> ''")
+
+
 def jaccard_pairs(spark, d):
-    """Tile pairs by motifs; every motif here is dense, so the elements are benchmark-like word pairs of short texts."""
-    docs = table(spark, d, "documents").where("n_chars < 400").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where("w <> ''")
-    return gr.jaccard_pairs(docs, "doc_id", "w", 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Tile pairs by motifs; every motif here is dense, so the elements are the words of all documents. The SQL holds the short ones only."""
+    return gr.jaccard_pairs(_words(spark, d), "doc_id", "w", 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def rare_cooccurrence(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 400").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where("w <> ''")
-    return gr.rare_cooccurrence(docs, "doc_id", "w", 0.05, 3).select("a", "b", F.array_join("shared", " ").alias("shared"), "n")
+    """Pairs of all documents by words that at most 5 % of them hold. The SQL holds the short ones only."""
+    return gr.rare_cooccurrence(_words(spark, d), "doc_id", "w", 0.05, 3).select("a", "b", F.array_join("shared", " ").alias("shared"), "n")
 
 
 _SHORT = r"SELECT DISTINCT doc_id AS k, unnest(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+')) AS e FROM documents WHERE n_chars < 400"

@@ -1,0 +1,48 @@
+"""Queries over whole tables, held against brute force or against SQL without the cuts that their registered SQL has."""
+
+import re
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from compare import same
+from engramma.operators import graph
+from engramma.queries import memory
+
+
+def words_of(duck):
+    return {k: set(re.split(r"[ \t\n\x0b\f\r]+", t)) - {""} for k, t in duck.sql("select doc_id, text from documents").fetchall()}
+
+
+def jaccards(sets, threshold):
+    found = {}
+    for (a, x), (b, y) in combinations(sorted(sets.items()), 2):
+        c = len(x & y)
+        if c and c / (len(x) + len(y) - c) >= threshold:
+            found[a, b] = round(c / (len(x) + len(y) - c), 6)
+    return found
+
+
+def test_jaccard_pairs_of_all_documents(spark, sf, duck):
+    assert {(r["a"], r["b"]): r["jaccard"] for r in memory.jaccard_pairs(spark, sf).collect()} == jaccards(words_of(duck), 0.5)
+
+
+def test_jaccard_pairs_with_copies_at_every_threshold(spark):
+    sets = {k: {(k * 7 + j * (1 + k % 3)) % 23 for j in range(1 + k % 9)} for k in range(60)} | {k: {1, 2, 3, 4} for k in range(60, 70)}
+    rows = spark.createDataFrame([(k, f"e{e}") for k, x in sets.items() for e in x], "k long, e string")
+    for t in (0.2, 0.5, 0.75, 1.0):
+        got = graph.jaccard_pairs(rows, "k", "e", t).collect()
+        want = jaccards(sets, t)
+        assert len(got) == len(want) and {(r["a"], r["b"]): round(r["jaccard"], 6) for r in got} == want
+
+
+def test_rare_cooccurrence_of_all_documents(spark, sf, duck):
+    sets = words_of(duck)
+    held = {}
+    for k, x in sets.items():
+        for e in x:
+            held.setdefault(e, []).append(k)
+    rare = {e for e, ks in held.items() if len(ks) <= int(len([x for x in sets.values() if x]) * 0.05)}
+    want = {(a, b): " ".join(sorted(x & y & rare)) for (a, x), (b, y) in combinations(sorted(sets.items()), 2) if len(x & y & rare) >= 3}
+    got = memory.rare_cooccurrence(spark, sf).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in got} == want and all(r["n"] == len(r["shared"].split(" ")) for r in got)
