@@ -22,8 +22,8 @@ NOW = "2024-02-01 00:00:00"
 
 
 def _assigned(spark, d) -> DataFrame:
-    """Motifs of documents in ASCII, where word bounds mean the same everywhere."""
-    return mo.assign(table(spark, d, "documents").where(F.octet_length("text") == F.length("text")), DICTIONARY, "doc_id")
+    """Motifs of all documents, by Unicode word bounds. The SQL holds documents in ASCII only."""
+    return mo.assign(table(spark, d, "documents"), DICTIONARY, "doc_id")
 
 
 _DICT_SQL = "(VALUES " + ", ".join(f"('{k}', '{b}', '{w}')" for k, (w, b) in WORDS.items()) + ") AS m(motif_id, band, w)"

@@ -1,12 +1,14 @@
 """Queries over whole tables, held against brute force or against SQL without the cuts that their registered SQL has."""
 
 import re
+import unicodedata
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from compare import same
-from engramma.operators import graph
+from engramma.operators import graph, motifs
 from engramma.queries import memory
 
 
@@ -46,3 +48,37 @@ def test_rare_cooccurrence_of_all_documents(spark, sf, duck):
     want = {(a, b): " ".join(sorted(x & y & rare)) for (a, x), (b, y) in combinations(sorted(sets.items()), 2) if len(x & y & rare) >= 3}
     got = memory.rare_cooccurrence(spark, sf).collect()
     assert {(r["a"], r["b"]): r["shared"] for r in got} == want and all(r["n"] == len(r["shared"].split(" ")) for r in got)
+
+
+def assigned_rows(texts):
+    """(doc_id, motif_id, band, hits, amp, confidence) by Python's own Unicode word bounds."""
+    out = []
+    for k, text in texts:
+        for m, (band, w) in ((m, (b, w)) for m, (w, b) in memory.WORDS.items()):
+            hits = len(re.findall(rf"\b{w}\b", text, re.I))
+            if hits:
+                out.append((k, m, band, hits, round(min(1.0, 0.15 * hits / (len(text) / 1000)) + 1e-12, 4), 0.7 if w == "that" and "not that" in text.lower() else 1.0))
+    return out
+
+
+def test_motifs_of_texts_beyond_ascii(spark):
+    texts = [(1, "\u201cThe\u201d caf\xe9 for th\xe9, and the\xe9 fo\xfcr"), (2, "\xe9the the\u0301 the_ the1 \u2014the\u2014"), (3, "was \xfcber with FROM\u2026this"), (4, "na\xefve: not that"), (5, "th\xe9 \u65e5\u672cthe")]
+    got = motifs.assign(spark.createDataFrame(texts, "doc_id long, text string"), memory.DICTIONARY, "doc_id").collect()
+    # for Python a combining mark ends a word; it belongs to the word
+    want = [r[:4] for r in assigned_rows([(k, re.sub("\u0301", "\xe9", t)) for k, t in texts])]
+    assert sorted((r["doc_id"], r["motif_id"], r["band"], r["hits"]) for r in got) == sorted(want)
+
+
+MOTIF_QUERIES = "motif_assign motif_distribution motif_dominant posting_union posting_intersect motif_overlap_score gate_check consensus_merge motif_propagate motif_boost formula_rerank contains_any".split()
+
+
+@pytest.mark.parametrize("name", MOTIF_QUERIES)
+def test_motif_queries_of_all_documents(name, spark, sf, duck):
+    import pandas as pd
+
+    texts = duck.sql("select doc_id, text from documents").fetchall()
+    assert any(not t.isascii() for _, t in texts) and not any(unicodedata.category(c) in ("Mn", "Mc", "Me") for _, t in texts for c in t)
+    duck.register("assigned_whole", pd.DataFrame(assigned_rows(texts), columns="doc_id motif_id band hits amp confidence".split()))
+    sql = memory.SQL[name].replace(memory.ASSIGNED, "SELECT * FROM assigned_whole")
+    assert "octet_length" not in sql
+    same(memory.QUERIES[name](spark, sf), duck.sql(sql))
