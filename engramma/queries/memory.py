@@ -119,10 +119,10 @@ def graph_neighbourhood(spark, d):
 
 
 def version_chain(spark, d):
-    """Orders of one customer as versions: each supersedes the one before."""
+    """Orders of one customer as versions: each supersedes the one before. The SQL goes back 3 steps only."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("newer"), F.lag("o_orderkey").over(w).alias("older")).where("older is not null")
-    return gr.version_chain(s, 3).groupBy("head").agg(F.count("*").alias("n"), F.max("position").alias("last"))
+    return gr.version_chain(s).groupBy("head").agg(F.count("*").alias("n"), F.max("position").alias("last"))
 
 
 def scd2_versions(spark, d):
@@ -219,14 +219,16 @@ def branch_fork_merge(spark, d):
 
 
 def causal_chain(spark, d):
+    """Each user's last event back over the operator's depth. The SQL goes back 4 steps only."""
     l = _ledger(spark, d)
     heads = l.groupBy("user_id").agg(F.max("seq").alias("start")).select("start")
-    return el.causes(l, heads, depth=4)
+    return el.causes(l, heads)
 
 
 def event_effects(spark, d):
+    """How many events follow each first one over the operator's depth. The SQL goes 3 steps only."""
     l = _ledger(spark, d)
-    return el.causes(l, l.where("caused_by is null").select(F.col("seq").alias("start")), depth=3, effects=True).groupBy("start").agg(F.count("*").alias("n_effects"))
+    return el.causes(l, l.where("caused_by is null").select(F.col("seq").alias("start")), effects=True).groupBy("start").agg(F.count("*").alias("n_effects"))
 
 
 def ring_buffer(spark, d):

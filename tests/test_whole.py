@@ -82,3 +82,9 @@ def test_motif_queries_of_all_documents(name, spark, sf, duck):
     sql = memory.SQL[name].replace(memory.ASSIGNED, "SELECT * FROM assigned_whole")
     assert "octet_length" not in sql
     same(memory.QUERIES[name](spark, sf), duck.sql(sql))
+
+
+@pytest.mark.parametrize(("name", "cut", "whole"), [("version_chain", "p <= 3", "p <= 10"), ("causal_chain", "r.distance < 4", "r.distance < 10"), ("event_effects", "r.distance < 3", "r.distance < 10")])
+def test_chains_reach_the_depth_of_the_operators(name, cut, whole, spark, sf, duck):
+    assert memory.SQL[name].count(cut) == 1
+    same(memory.QUERIES[name](spark, sf), duck.sql(memory.SQL[name].replace(cut, whole)))
