@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from engramma.operators import graph, motifs
-from engramma.queries import memory
+from engramma.queries import memory, passages
 
 
 def words_of(duck):
@@ -88,3 +88,15 @@ def test_motif_queries_of_all_documents(name, spark, sf, duck):
 def test_chains_reach_the_depth_of_the_operators(name, cut, whole, spark, sf, duck):
     assert memory.SQL[name].count(cut) == 1
     same(memory.QUERIES[name](spark, sf), duck.sql(memory.SQL[name].replace(cut, whole)))
+
+
+def test_bm25_fields_asks_for_whole_items(spark, sf, duck):
+    first = "array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ')"
+    assert passages.SQL["bm25_fields"].count(first) == 2
+    same(passages.bm25_fields(spark, sf), duck.sql(passages.SQL["bm25_fields"].replace(first, "text")))
+
+
+def test_bm25_fields_finds_later_words(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three", "src9"), (2, "zebra only here", "src9"), (3, "four five", "src9")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("q", "one two three four five six seven zebra")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r["doc_id"] for r in passages.bm25_fields(spark, str(tmp_path)).collect()} == {1, 2, 3}
