@@ -149,6 +149,8 @@ def encoder(path: str) -> WordEncoder:
 def cut_marks(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last ``ROLL`` ids asks for a cut."""
     n = len(ids)
+    if n <= ROLL:  # no hash is full yet
+        return np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
     g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     g ^= g >> np.uint64(29)
