@@ -508,9 +508,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     return _label(rows, labels, "rep").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id. Rows with a null id stay."""
-    groups = written(near_duplicates(docs, id_col=id_col, **kw), "near-groups")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id. Rows with a null id stay.
+
+    Of rows that repeat this id the first stays, by text and then by the whole row as JSON.
+    """
+    groups = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **kw), "near-groups")
     drop = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    again = written(groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__drop")).agg(F.count("*").alias("n")).where("n > 1").select("__drop"), "near-repeated")
+    small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    if not again.limit(1).count():
+        return docs.join(small(drop), F.col(id_col) == F.col("__drop"), "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = docs.join(small(again), F.col(id_col) == F.col("__drop"), "left_semi")
+    firsts = repeated.groupBy(F.col(id_col).alias("__drop")).agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row"))
+    return docs.join(small(drop.union(again)), F.col(id_col) == F.col("__drop"), "left_anti").unionByName(firsts.select("__row.*"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from engramma.llm import tokens
+from engramma.llm import near_dup, tokens
 from engramma.llm.q_text import tokenizer_path
 
 
@@ -22,3 +22,10 @@ def test_store_of_five_empty_documents(spark):
     folder = tokens.write_store(rows, tokenizer_path())
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in tokens.read_digests(spark, folder).orderBy("doc_id").collect()] == [(i, i, 1) for i in range(5)]
     assert tokens.verify_manifest(spark, folder).count() == 0
+
+
+def test_keep_first_keeps_one_of_repeated_rows(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, a, "x")] * 5 + [(1, a, "w"), (2, a, "x"), (3, b, "y"), (3, b, "y"), (4, "", "z"), (4, "", "z"), (5, "zz other words of another text", "m"), (5, "aa entirely different words here again", "n"), (None, a, "k"), (None, a, "k"), (6, b, "y")]
+    got = near_dup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in got) == sorted([(0, a, "k"), (0, a, "k"), (1, a, "w"), (3, b, "y"), (4, "", "z"), (5, "aa entirely different words here again", "n")])
