@@ -14,6 +14,7 @@ from engramma.operators import motifs as mo
 from engramma.operators import search as se
 from engramma.queries.passages import ANCHORS, COS_ANCHOR, _anchors
 from engramma.session import table
+from engramma.storage import written
 
 #: A stand-in dictionary of common words.
 WORDS = {"M.THE": ("the", "slow"), "M.AND": ("and", "slow"), "M.THAT": ("that", "mid"), "M.WAS": ("was", "mid"), "M.FOR": ("for", "mid"), "M.WITH": ("with", "fast"), "M.THIS": ("this", "fast"), "M.ARE": ("are", "fast"), "M.FROM": ("from", "fast")}
@@ -110,12 +111,20 @@ def _edges(spark, d) -> DataFrame:
 EDGES = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"
 
 
+def _starts(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("start")).union(edges.select("dst")).distinct()
+
+
 def graph_hops(spark, d):
-    return gr.hops(_edges(spark, d), spark.range(1, 6).select(F.col("id").alias("start")), 2)
+    """Two steps from every node. The SQL starts from nodes 1 to 5 only."""
+    e = _edges(spark, d)
+    return gr.hops(e, _starts(e), 2)
 
 
 def graph_neighbourhood(spark, d):
-    return gr.hops(_edges(spark, d), spark.range(1, 4).select(F.col("id").alias("start")), 2, directed=False).groupBy("start", "distance").agg(F.count("*").alias("n"))
+    """The size of every node's neighbourhood. The SQL has nodes 1 to 3 only."""
+    e = _edges(spark, d)
+    return gr.hops(e, _starts(e), 2, directed=False).groupBy("start", "distance").agg(F.count("*").alias("n"))
 
 
 def version_chain(spark, d):
@@ -210,10 +219,21 @@ def _ledger(spark, d):
 LEDGER = "SELECT event_id AS seq, event_type, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS caused_by, 'main' AS branch, substring(sha256(event_id || '|' || event_type), 1, 16) AS hash FROM events"
 
 
+def _median(l: DataFrame) -> int:
+    """The lower median of seq: its bin by running counts, then its place in the bin."""
+    bins = sorted(l.groupBy(F.floor(F.col("seq") / 10000).alias("b")).agg(F.count("*").alias("n")).collect())
+    left = (sum(r["n"] for r in bins) + 1) // 2
+    for r in bins:
+        if left <= r["n"]:
+            return sorted(x["seq"] for x in l.where(F.floor(F.col("seq") / 10000) == r["b"]).collect())[left - 1]
+        left -= r["n"]
+    return 0
+
+
 def branch_fork_merge(spark, d):
-    """A branch that forks at the middle, gains purchases, and is merged back."""
+    """A branch that forks at the middle, gains purchases, and is merged back. The SQL forks at 1000."""
     l = _ledger(spark, d).where("event_type <> 'purchase' or seq % 2 = 0")
-    b = el.fork(l, "work", up_to=1000)
+    b = el.fork(l, "work", up_to=_median(l.select("seq")))
     extra = _ledger(spark, d).where("event_type = 'purchase' and seq % 2 = 1").withColumn("branch", F.lit("work"))
     return el.merge(b.unionByName(extra), "work").groupBy("branch").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_hashes"))
 
@@ -251,7 +271,11 @@ def temporal_decay(spark, d):
 
 
 def recency_sort(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(25).select("event_id")
+    """Every event with its rank by recency: its place in its sorted partition after the partitions before it. The SQL has the first 25."""
+    s = written(table(spark, d, "events").orderBy(F.desc("ts"), "event_id").select("event_id", F.monotonically_increasing_id().alias("m")), "recency")
+    part = s.withColumn("p", F.shiftright("m", 33))
+    before = part.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return part.join(F.broadcast(before.select("p", "before")), "p").select("event_id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
 
 
 def motif_boost(spark, d):
