@@ -508,6 +508,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     return _label(rows, labels, "rep").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
+def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """(a, b): every pair of different sets of the threshold's similarity, equal sets by their smallest id.
+
+    ``links`` leaves no such pair in two components, so sets meet inside their component only, by the prefixes of their
+    shingles in hash order; at the first that they share, what is left of both must do for the threshold.
+    """
+    labels = components(links(docs, n, percent, id_col, text_col, **kw)[1], "near-join")
+    sets = written(_label(_sets_of(docs, labels, n, id_col, text_col).dropDuplicates(["id", "shingles"]), labels), "near-join-sets")
+
+    def heads(batches):
+        for b in batches:
+            parts = [np.sort(np.frombuffer(x, U)) for x in b.column(2).to_pylist()]
+            k = np.array([len(x) + 1 - -(-percent * len(x) // 100) if len(x) else 0 for x in parts], np.int64)
+            of = np.repeat(np.arange(len(parts)), k)
+            size = np.array([len(x) for x in parts], np.int64)[of]
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+            shingle = np.concatenate([np.zeros(0, U), *(x[:m] for x, m in zip(parts, k, strict=True))]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(shingle), pa.array(size), pa.array(size - pos)], ["id", "component", "i", "size", "rest"])
+
+    h = sets.select("id", "component", "shingles").mapInArrow(heads, "id bigint, component bigint, i bigint, size bigint, rest bigint")
+    left, right = (h.select("component", "i", F.col("id").alias(y), F.col("size").alias(f"n{y}"), F.col("rest").alias(f"r{y}")) for y in "ab")
+    fit = (F.col("a") < F.col("b")) & (F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return verify(left.join(right, ["component", "i"]).where(fit).select("a", "b").distinct(), sets, percent)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id. Rows with a null id stay.
 

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -29,3 +31,13 @@ def test_keep_first_keeps_one_of_repeated_rows(spark):
     rows = [(1, a, "x")] * 5 + [(1, a, "w"), (2, a, "x"), (3, b, "y"), (3, b, "y"), (4, "", "z"), (4, "", "z"), (5, "zz other words of another text", "m"), (5, "aa entirely different words here again", "n"), (None, a, "k"), (None, a, "k"), (6, b, "y")]
     got = near_dup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
     assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in got) == sorted([(0, a, "k"), (0, a, "k"), (1, a, "w"), (3, b, "y"), (4, "", "z"), (5, "aa entirely different words here again", "n")])
+
+
+def test_similar_pairs_are_the_whole_join(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = {k: " ".join(words[: 60 - k] + [f"x{k}_{j}" for j in range(k % 3)]) for k in range(24)} | {100 + k: " ".join(f"v{k}_{j}" for j in range(20)) for k in range(5)} | {50: " ".join(words)}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    want = {(a, b) for (a, x), (b, y) in combinations(sorted(sets.items()), 2) if 100 * len(x & y) >= 75 * len(x | y) and 50 not in (a, b)}  # 50 is a copy of 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r["a"], r["b"]) for r in near_dup.similar_pairs(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
