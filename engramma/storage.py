@@ -1,7 +1,8 @@
 """The shared working folder: written tables that cut lineage, and files written by tasks.
 
 Everything goes under ``spark.checkpoint.dir``, the one folder that the driver and all executors see. Where that
-setting is absent (tests, a laptop) a local folder is chosen and made the checkpoint folder of the session.
+setting is absent in local mode (tests, a laptop) a local folder is chosen and made the checkpoint folder of the
+session; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "engramma-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
