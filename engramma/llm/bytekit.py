@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PIECE_BYTES = 1_000_000
+#: Bytes scanned at a time: some fifteen arrays of eight bytes a byte are alive in a scan.
+PIECE_BYTES = 256_000
 
 _rng = np.random.RandomState(20240229)
 _BYTE = _rng.randint(0, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)

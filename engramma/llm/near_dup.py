@@ -15,7 +15,8 @@ left in another component than the largest of its band is held against all heavy
 counting equal segments, and compared exactly where the count allows the similarity.
 
 Segments are 32-bit hashes within a bucket, packed into binary columns, so that a shuffle moves about eight bytes a
-segment; buckets are sorted and matched in numpy, a range of hashes at a time. Shingles are 64-bit hashes of words.
+segment; buckets are sorted and matched in numpy, a range of hashes at a time. Shingles are 64-bit hashes of words, and
+sets whose 64-bit sums of mixed shingles agree count as equal in a bucket.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ RUN_PAIRS = 8
 SINGLE = 48
 #: Segments in a bucket, and in a range of it that is matched at a time.
 BUCKET_SEGMENTS, RANGE_SEGMENTS = 4_000_000, 1_000_000
+#: Bytes of text whose segments are dealt to buckets at a time.
+SLICE_BYTES = 4_000_000
 #: Heavy sets, and queries among them, in a cell that counts segments.
 CELL_SETS = 10_000
 #: Ids (8 bytes each) that may be broadcast to pick texts.
@@ -105,16 +108,6 @@ class Scheme:
 _PACKED = "bucket int, ids binary, tags binary, sizes binary, bands binary, needs binary, counts binary, sigs binary"
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_five(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return x.view("<u8").ravel()
-
-
 def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, bands: np.ndarray, needs: np.ndarray, owner: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
     """A row a bucket: the header of each set that has segments in it, and 32 bits of each segment."""
     bucket = ((sigs >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
@@ -127,25 +120,30 @@ def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, ba
         head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
         d = o[head]
         counts = np.diff(np.concatenate([head, [z - a]]))
-        rows.append((int(bucket[a]), ids[d].tobytes(), _five(tags[d]), sizes[d].tobytes(), bands[d].tobytes(), needs[d].tobytes(), counts.astype(np.uint32).tobytes(), sigs[a:z].astype(np.uint32).tobytes()))
+        rows.append((int(bucket[a]), ids[d].tobytes(), tags[d].tobytes(), sizes[d].tobytes(), bands[d].tobytes(), needs[d].tobytes(), counts.astype(np.uint32).tobytes(), sigs[a:z].astype(np.uint32).tobytes()))
     cols = list(zip(*rows, strict=True)) or [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    join = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
+def _unpack(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    join = lambda k, t: np.concatenate([buffers(r.column(k))[0].view(t) for r in rows])
     counts = join("counts", np.uint32)
-    return join("ids", np.int64), np.concatenate([_from_five(r["tags"]) for r in rows]), join("sizes", np.uint32), join("bands", np.uint8), join("needs", np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts), join("sigs", np.uint32)
+    return join("ids", np.int64), join("tags", U), join("sizes", np.uint32), join("bands", np.uint8), join("needs", np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts), join("sigs", np.uint32)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    held: list[dict] = []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each bucket as slices of their batches, which come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    now = None
     for b in batches:
-        for r in b.to_pylist():
-            if held and held[0]["bucket"] != r["bucket"]:
+        at = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(_heads(at))
+        for a, z in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            if held and at[a] != now:
                 yield held
                 held = []
-            held.append(r)
+            now = at[a]
+            held.append(b.slice(a, z - a))
     if held:
         yield held
 
@@ -174,7 +172,7 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b", "band", "n", "need_a", "need_b"])
 
 
-def match_bucket(rows: list[dict], percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
+def match_bucket(rows: list[pa.RecordBatch], percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
     """What the runs of equal segments in a bucket tell, copies of a set counting as one.
 
     kind 0: pairs that meet in rare runs, how often, and how often each of them must in all; kind 3: pairs of a large
@@ -182,6 +180,11 @@ def match_bucket(rows: list[dict], percent: int, run_pairs: int) -> Iterator[pa.
     """
     ids, tags, sizes, bands, needs, owners, sigs = _unpack(rows)
     rows.clear()
+    # a set with no segment to spare is heavy from the start; of equal ones the smallest
+    order = np.lexsort((ids, tags, bands))
+    poor = order[_heads(bands[order], tags[order])]
+    poor = poor[needs[poor] <= 0]
+    yield _found(1, ids[poor], ids[poor], bands[poor], np.zeros(len(poor)), needs[poor])
     ranges = -(-len(sigs) // RANGE_SEGMENTS)
     for r in range(ranges):
         part = np.flatnonzero(sigs.astype(U) * U(ranges) >> U(32) == r) if ranges > 1 else slice(None)
@@ -256,8 +259,8 @@ def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, tex
     def run(batches):
         scheme = Scheme(percent)
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
+            for k, z in pieces(buffers(b.column(1))[1], SLICE_BYTES):
+                part = b.slice(k, z - k)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 head, tags, sizes, bands, needs, sigs, counts = [], [], [], [], [], [], []
                 for i, s in shingle_sets(part.column(1), n):
@@ -365,7 +368,7 @@ def _heavy_index(heavy: DataFrame, percent: int, buckets: int) -> DataFrame:
     return _dealt(heavy.select("id", "band", "shingles", "component").mapInArrow(run, _PACKED), buckets)
 
 
-def match_heavy(rows: list[dict], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+def match_heavy(rows: list[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different components that meet in a segment or a one-deletion neighbourhood shared by at most ``most`` entries."""
     ids, comps, sizes, bands, worths, owner, sig = _unpack(rows)
     order = np.lexsort((ids[owner], sig))
