@@ -28,38 +28,47 @@ MIN_REVISIT_BYTES = 100
 BROADCAST_REPEATS = 200_000
 ROLL_BYTES = 64_000_000
 _DATE = "2024-01-01T00:00:00Z"
-_URN = "urn:page:"
 _READ = 1 << 20
 
 
 def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest, refers_to (null for a response).
+    """page_id, url, payload, payload_bytes, digest, refers_to (null for a response), refers_url (the response's).
 
     Of equal payloads of ``min_bytes`` or more the smallest page_id is the response and the others refer to it. Null
     html is an empty payload; rows that repeat the response's id are responses too; a null id is never the response
-    while the group has another.
+    while the group has another. Of rows that share the response's id and payload, revisits name that of the least url.
+    An empty table stays empty; extra columns are not read.
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    repeats = base.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    repeats = written(repeats.select("digest", "first"), "warc-repeats")
+    repeats = base.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("r"), F.count("*").alias("n")).where("n > 1 and r is not null")
+    repeats = written(repeats.select("digest", F.col("r.page_id").alias("first"), F.col("r.url").alias("first_url")), "warc-repeats")
     if repeats.count() <= broadcast_repeats:
         repeats = F.broadcast(repeats)
     out = base.join(repeats, "digest", "left")
-    return out.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
+    response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
+    return out.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(~response, F.col("first")).alias("refers_to"), F.when(~response, F.col("first_url")).alias("refers_url"))
 
 
 def _quoted(v: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c in "%\r\n" else c for c in v or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of one WARC record. A revisit has no body; its length and digest headers are those of the full payload."""
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The id of a record by its page, address and payload, so that a revisit can name that of its response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """The bytes of one WARC record. A revisit has no body; its length and digest headers are those of the full payload.
+
+    A revisit names its response's record id and address in the standard's headers, and its page in one of our own.
+    """
     body = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}')}>",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {_quoted(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -67,7 +76,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {_quoted(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -107,11 +116,11 @@ def write_archives(classified: DataFrame, folder: str, roll_bytes: int = ROLL_BY
         part, k, n, raw = TaskContext.get().partitionId(), 0, 0, 0
         out = gz = None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url")), strict=True):
                 if out is None:
                     path, gz, n, raw = f"{folder}/part-{part:05d}-{k:04d}.warc.gz", zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                     out = _Placed(path)
-                data = record(row[0], row[1], row[2].encode(), row[3], row[4])
+                data = record(row[0], row[1], row[2].encode(), *row[3:])
                 out.write(gz.compress(data))
                 n, raw = n + 1, raw + len(data)
                 if raw >= roll_bytes:
@@ -124,7 +133,7 @@ def write_archives(classified: DataFrame, folder: str, roll_bytes: int = ROLL_BY
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
-    return classified.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records bigint")
+    return classified.select("page_id", "url", "payload", "digest", "refers_to", "refers_url").mapInArrow(run, "path string, records bigint")
 
 
 def _inflated(uri: str) -> Iterator[bytes]:
@@ -220,8 +229,8 @@ def read_records(index: DataFrame) -> DataFrame:
                     body = raw[end + 4 : -4]
                     if hashlib.sha256(body).hexdigest() != digest or len(body) != size:
                         raise ValueError(f"{path} at {offset}: the payload does not match its digest")
-                ref = head.get("warc-refers-to")
-                rows.append((int(head["x-page-id"]) if head.get("x-page-id") else None, size, digest, kind, int(ref[1 + len(_URN) : -1]) if ref else None))
+                ref = head.get("x-refers-to-page-id")
+                rows.append((int(head["x-page-id"]) if head.get("x-page-id") else None, size, digest, kind, int(ref) if ref else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
