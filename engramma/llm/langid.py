@@ -1,7 +1,8 @@
 """Language identification by fusing evidence.
 
 For every page the log posterior of a language is the sum of: the text's log likelihood under byte-trigram models
-trained on the labelled documents (tempered, since neighbouring trigrams are no independent evidence); how likely the
+trained on the labelled documents (tempered, since neighbouring trigrams are no independent evidence: every trigram of
+the text enters, but together they never weigh more than ``ENOUGH`` of them would); how likely the
 page's declared markup language is for pages of that language; how likely its address suffix is; and a prior of its
 host, smoothed towards its domain's, which is smoothed towards all pages'. The last three are counted by grouped
 aggregation of the text posteriors over all pages; a page's own share is taken out of its host's and domain's counts.
@@ -24,25 +25,54 @@ from engramma.storage import written
 #: Labelled documents that the trigram models are counted on, at most.
 TRAIN_ROWS = 4000
 BINS = 1 << 14
-#: Weight of a trigram's log likelihood, and the trigrams after which a text counts no more.
+#: Weight of a trigram's log likelihood, and the number of trigrams whose weight a longer text's mean has.
 TEMPER, ENOUGH = 0.15, 400
 SMOOTH, HOST_PULL, DOMAIN_PULL = 0.5, 5.0, 5.0
 #: Rows of a grouped table (hosts, domains: about 150 bytes each) that may be broadcast.
 BROADCAST_GROUPS = 100_000
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
-_META = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+_MARK = re.compile(r"<!--|<(?:script|style)\b|<", re.I)
+_CLOSE = {"<!--": re.compile("-->"), "<script": re.compile(r"</script\s*>", re.I), "<style": re.compile(r"</style\s*>", re.I)}
+_HEAD = re.compile(r"<(html|meta)\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+_CONTENT = re.compile(r"content\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 
 
 def visible_text(page: str) -> str:
-    return htmllib.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
+    """What is left without comments, scripts, styles and tags; one that is never closed is text. Linear in the page."""
+    out, at, never = [], 0, set()
+    for m in iter(lambda: _MARK.search(page, at), None):
+        kind, end = m[0].lower(), None
+        if kind in _CLOSE and kind not in never:
+            end = _CLOSE[kind].search(page, m.end())
+            if not end:
+                never.add(kind)
+        stop = end.end() if end else page.find(">", m.end()) + 1 if ">" not in never else 0
+        if not stop:
+            never.add(">")
+            if never.issuperset([*_CLOSE, ">"]):
+                break
+        out.append(page[at : m.start()] if stop else page[at : m.end()])
+        if stop:
+            out.append(" ")
+        at = stop or m.end()
+    out.append(page[at:])
+    return htmllib.unescape("".join(out))
 
 
 def declared_language(page: str) -> str | None:
-    m = _DECLARED.search(page) or _META.search(page)
-    return m[1].lower() if m else None
+    """The language of the first html tag that has one, else of the first content-language meta tag."""
+    meta, at = None, 0
+    for m in iter(lambda: _HEAD.search(page, at), None):
+        at = page.find(">", m.end())
+        at = len(page) if at < 0 else at
+        tag = page[m.end() : at]
+        if m[1].lower() == "html":
+            if found := _LANG.search(tag):
+                return found[1].lower()
+        elif meta is None and (start := tag.lower().find("content-language")) >= 0 and (found := _CONTENT.search(tag, start + 16)):
+            meta = found[1].lower()
+    return meta
 
 
 def trigram_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,7 +146,8 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
 
     Null html is an empty text (its language is then decided by what was declared, by suffix and host); null or odd
     urls have the host ''; pages that declare nothing form a group of their own. Ties go to the first language in
-    alphabetical order. Without labelled documents the language is null and the confidence 0.
+    alphabetical order; rows that repeat a page are judged one by one, and each counts; columns besides the named three
+    are not read; an empty table stays empty. Without labelled documents the language is null and the confidence 0.
     """
     langs, logp = train_text(docs, **train_kw)
     if not langs:
