@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows become a small table of hashes, broadcast when its measured size allows. Each training text
-is cut into words, every window of it is hashed inside one array expression, and the windows that meet a benchmark hash
-are compared word by word. Nothing but the hits and one marker row per document is shuffled.
+The benchmark's word windows become a small table of n-grams and their hashes, broadcast when its measured size allows.
+Each training text is cut into words once; its windows, of every length that the benchmark has, come out of one array
+expression, a row each of place and n-gram and nothing else, so the work is linear in a text's length. Those whose hash
+meets a benchmark hash are compared whole. Only the hits and one marker row per document are shuffled.
 """
 
 from __future__ import annotations
@@ -31,10 +32,16 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id
     w = benchmark.select(F.col(item_id).alias("item"), fold_words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
     w = w.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
-    w = w.select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("window"))
+    w = w.select("item", "len", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("window"))  # words hold no blank
     return w.groupBy("len", "window").agg(F.collect_set(F.col("item").cast("string")).alias("items")).withColumn("hash", F.xxhash64("window"))
 
 
+def _windows(size: int) -> Column:
+    """array<struct<p, k, window>>: every window of ``size`` of the words ``w``, by its place from 1."""
+    places = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("p"), F.lit(size).alias("k"), F.array_join(F.slice("w", i, size), " ").alias("window")))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per input row: the id, its number of words, the covered word positions (from 1), and the items hit.
 
@@ -43,25 +50,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     """
     windows = written(benchmark_windows(benchmark, n, item_id, item_text), "benchmark-windows")
     sizes = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # at most n rows
-    small = sum(sizes.values()) <= broadcast_windows
+    known = windows.select(F.col("len").alias("k"), "hash", "window", "items")
+    known = F.broadcast(known) if sum(sizes.values()) <= broadcast_windows else known
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), fold_words(F.col(text_col)).alias("w"))
-    parts = []
-    for k, size in enumerate(sorted(sizes, reverse=True) or [n]):
-        hashes = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size)))).otherwise(F.array().cast("array<bigint>"))
-        # the marker, at position 0 with a null hash, keeps documents without hits
-        part = base.select("rid", "id", "w", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("pos", "h"))
-        if k:
-            part = part.where("pos > 0")
-        if sizes:
-            win = windows.where(F.col("len") == size).select("hash", "window", "items")
-            part = part.join(F.broadcast(win) if small else win, (F.col("h") == F.col("hash")) & (F.slice("w", F.greatest("pos", F.lit(1)), size) == F.col("window")), "left")
-        else:
-            part = part.withColumn("items", F.lit(None).cast("array<string>"))
-        part = part.where(F.col("items").isNotNull() | (F.col("pos") == 0))
-        parts.append(part.select("rid", "id", F.when(F.col("pos") == 0, F.size("w")).alias("n"), F.when(F.col("pos") > 0, F.struct(F.col("pos").alias("p"), F.lit(size).alias("k"))).alias("hit"), "items"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    # the marker, at place 0, keeps documents without hits
+    every = [F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("k"), F.lit("").alias("window")))]
+    every += [_windows(size) for size in sorted(sizes)]
+    rows = base.select("rid", "id", F.size("w").alias("n"), F.explode(F.concat(*every)).alias("x")).select("rid", "id", "n", "x.*").withColumn("hash", F.xxhash64("window"))
+    rows = rows.join(known, ["k", "hash", "window"], "left").where(F.col("items").isNotNull() | (F.col("p") == 0))
+    rows = rows.select("rid", "id", "n", F.when(F.col("p") > 0, F.struct("p", "k")).alias("hit"), "items")
     rows = rows.groupBy("rid", "id").agg(F.max("n").alias("n_words"), F.collect_list("hit").alias("hits"), F.collect_set("items").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["k"] - 1))))
     return rows.select("rid", "id", F.col("n_words").cast("long").alias("n_words"), covered.alias("covered"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
