@@ -44,3 +44,22 @@ def in_cycle_window(at: Column, period: float = 3.236, start: float = 0.236, sto
     """Whether an instant falls in a part of a repeating cycle."""
     part = F.pmod(F.unix_micros(at) / F.lit(1e6), F.lit(period)) / F.lit(period)
     return (part >= start) & (part <= stop)
+
+
+_CLOCK = r"(\d{1,2}):(\d{2})\s*([AaPp][Mm])"
+_DAYS = ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy")
+
+
+def activity_date(text: Column, reference: Column) -> Column:
+    """ISO text of an activity log's date: "Nov 30, 2025 at 1:58 AM", without a year (that of ``reference``, or the one before for a later month), yesterday or today; '' for what is none."""
+    t = F.trim(F.translate(text, "\u202f\u00a0", "  "))
+    day = F.trim(F.regexp_extract(t, r"^(.*?) at ", 1))
+    hour = F.regexp_extract(t, _CLOCK, 1).try_cast("int") % 12 + F.when(F.lower(F.regexp_extract(t, _CLOCK, 3)) == "pm", 12).otherwise(0)
+    minute = F.regexp_extract(t, _CLOCK, 2).try_cast("int")
+    year = F.year(reference)
+    bare = F.coalesce(*(F.try_to_date(F.concat(day, F.lit(" "), year.cast("string")), f) for f in ("MMMM d yyyy", "MMM d yyyy")))
+    bare = F.when(F.month(bare) > F.month(reference), F.add_months(bare, -12)).otherwise(bare)
+    full = F.coalesce(*(F.try_to_date(day, f) for f in _DAYS))
+    d = F.when(F.lower(day) == "yesterday", F.date_sub(reference, 1)).when(F.lower(day) == "today", reference).otherwise(F.coalesce(full, bare))
+    at = F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00Z"))
+    return F.coalesce(F.when(hour.isNotNull(), at), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,27 @@ def entropy(events: DataFrame, of: str = "event_type", by: tuple[str, ...] = ())
     return c.withColumn("p", F.col("n") / F.col("t")).groupBy(*by).agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
 
 
-def gap_sessions(events: DataFrame, user: str, at: str, tie: str, gap: str = "2 hours") -> DataFrame:
-    """Adds session_index: a new session begins where the time since the user's last event is longer than ``gap``."""
-    w = Window.partitionBy(user).orderBy(at, tie)
-    e = events.withColumn("__g", F.coalesce((F.col(at) - F.lag(at).over(w) > F.expr(f"INTERVAL {gap}")).cast("int"), F.lit(1)))
+# How a message begins that opens a conversation.
+GREETINGS = ("start research", "hi gemini", "hey gemini", "gemini,", "hello gemini", "hi map")
+
+
+def gap_sessions(events: DataFrame, user: str | Sequence[str], at: str, tie: str, gap: str = "2 hours", text: str | None = None, greeting_gap: str = "30 minutes") -> DataFrame:
+    """Adds session_index: a new session begins where the time since the last event is longer than ``gap``.
+
+    With ``text`` one begins after ``greeting_gap`` already if the text opens with a greeting, and where either time is
+    unknown; events of unknown time come last.
+    """
+    users = [user] if isinstance(user, str) else list(user)
+    w = Window.partitionBy(*users).orderBy(F.asc_nulls_last(at), tie)
+    since = F.col(at) - F.lag(at).over(w)
+    new = since > F.expr(f"INTERVAL {gap}")
+    if text is not None:
+        head = F.lower(F.substring(F.lower(text), 1, 50))
+        greets = F.lit(False)
+        for g in GREETINGS:
+            greets = greets | head.startswith(g)
+        new = F.coalesce(new | (greets & (since > F.expr(f"INTERVAL {greeting_gap}"))), F.lit(True))
+    e = events.withColumn("__g", F.coalesce(new.cast("int"), F.lit(1)))
     return e.withColumn("session_index", F.sum("__g").over(w)).drop("__g")
 
 
@@ -96,3 +115,33 @@ def phi_coherence(temporal: float, relational: float, functional: float) -> floa
     a, b, c = temporal * relational, relational * functional, temporal * functional
     s = a + b + c
     return min(1.0, (s - max(0.0, a * a + b * b + c * c - a * b - b * c - a * c) ** 0.5) / 3)
+
+
+def event_by_hash(ledger: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The ledger's events of a list of hashes."""
+    return ledger.join(hashes.select("hash").distinct(), "hash", "left_semi")
+
+
+def replay(ledger: DataFrame, kinds: list[str], seq: str = "seq") -> DataFrame:
+    """(user_id, one column a kind, last_seq): the ledger folded into each user's counts of the kinds, whatever order it is read in."""
+    return ledger.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in kinds), F.max(seq).alias("last_seq"))
+
+
+def event_entities(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) that events (seq, agent_id, event_type, data as JSON) tell of.
+
+    An event's agent, its type as a concept and its data's platform are entities (entity_type, name, first_seq); an
+    agent has PERFORMED a type (source, target, type, n_events, last_seq). Unreadable data names no platform.
+    """
+    name = lambda kind, c: F.struct(F.lit(kind).alias("entity_type"), c.alias("name"))
+    found = F.array(name("agent", F.col("agent_id").cast("string")), name("concept", F.col("event_type")), name("platform", F.get_json_object("data", "$.platform")))
+    e = events.select("seq", F.explode(found).alias("x")).where("x.name is not null")
+    entities = e.groupBy("x.entity_type", "x.name").agg(F.min("seq").alias("first_seq"))
+    acts = events.where("agent_id is not null and event_type is not null").groupBy(F.col("agent_id").cast("string").alias("source"), F.col("event_type").alias("target")).agg(F.count("*").alias("n_events"), F.max("seq").alias("last_seq")).withColumn("type", F.lit("PERFORMED"))
+    return entities, acts
+
+
+def gate_from_events(events: DataFrame) -> DataFrame:
+    """(tile_id, phi, trust, consensus) of gate events (tile_id, seq, phi, trust, consensus): the last event with a value counts, consensus is that of any."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return events.groupBy("tile_id").agg(last("phi"), last("trust"), F.coalesce(F.bool_or("consensus"), F.lit(False)).alias("consensus"))

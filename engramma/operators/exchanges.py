@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramma.operators.ordered import numbered
 
 def exchanges(messages: DataFrame, session: str, order: str, role: str = "role", text: str = "text", keep_orphans: bool = True) -> DataFrame:
     """(session, exchange_index, prompt, response, n_answers): a user turn opens an exchange, answers that follow are joined.
@@ -89,8 +90,31 @@ def budget_chunks(rows: DataFrame, group: str, order: str, text: str, chunk_toke
 
 def interleaved(a: DataFrame, b: DataFrame, order: str, a_share: int = 2) -> DataFrame:
     """``a_share`` rows of ``a`` for each of ``b``, by computed positions; both have the same columns."""
-    ra = a.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-    rb = b.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
+    ra, rb = (numbered(d, order, name="__n").withColumn("__n", F.col("__n") - 1) for d in (a, b))
     ra = ra.withColumn("position", F.col("__n") + F.floor(F.col("__n") / a_share))
     rb = rb.withColumn("position", F.col("__n") * (a_share + 1) + a_share)
     return ra.unionByName(rb).drop("__n")
+
+
+def packed(items: DataFrame, group: str, order: str, size: str, budget: int, misses: int = 20) -> DataFrame:
+    """The items of each group that a package takes, in order: those that still fit the budget, until more than ``misses`` did not.
+
+    Whether an item fits depends on all that were taken before; a group's items are folded in order inside its row.
+    Groups are packages, of bounded size.
+    """
+    state = "struct<used: bigint, missed: int, taken: array<struct<o: bigint, s: bigint>>>"
+    start = F.from_json(F.lit('{"used": 0, "missed": 0, "taken": []}'), state)
+
+    def step(s, x):
+        fits = (s["missed"] <= misses) & (s["used"] + x["s"] <= budget)
+        return F.struct(F.when(fits, s["used"] + x["s"]).otherwise(s["used"]).alias("used"), F.when(fits, s["missed"]).otherwise(s["missed"] + 1).cast("int").alias("missed"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
+
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))))
+    g = items.groupBy(group).agg(F.aggregate(rows, start, step)["taken"].alias("t"))
+    return g.select(group, F.posexplode("t").alias("place", "x")).select(group, "place", F.col("x.o").alias(order), F.col("x.s").alias(size))
+
+
+def best_file(files: DataFrame, conversation: str, n_exchanges: str, path: str) -> DataFrame:
+    """Of each conversation's files that with the most exchanges, then the longest path, then the last by name."""
+    row = F.struct(*(F.col(f"`{c}`") for c in files.columns))
+    return files.groupBy(conversation).agg(F.max_by(row, F.struct(n_exchanges, F.length(path), path)).alias("__r")).select("__r.*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramma.functions.vector import cosine
+from engramma.operators.search import cosine_pairs
 
 
 @dataclass(frozen=True)
@@ -47,17 +47,14 @@ def assign(docs: DataFrame, dictionary: Dictionary, key: str, text: str = "text"
     amp = min(1, density * hits / (characters / 1000)), rounded to 4 places; each anti-example takes 0.3 of the
     confidence, which is 0.1 at least. The dictionary is part of the expression, so the text is read once.
     """
-    n = F.length(text)
-    rows = []
-    for m in dictionary.motifs:
-        hits = F.lit(0)
-        for p in m.patterns():
-            hits = hits + F.regexp_count(F.col(text), F.lit(p))
-        anti = F.lit(0)
-        for a in m.anti_examples:
-            anti = anti + F.lower(F.col(text)).contains(a.lower()).cast("int")
-        rows.append(F.struct(F.lit(m.motif_id).alias("motif_id"), F.lit(m.band).alias("band"), hits.cast("int").alias("hits"), anti.alias("anti")))
-    d = docs.where(F.col(text).isNotNull() & (n > 0)).select(key, n.alias("n"), F.explode(F.array(*rows)).alias("m")).where("m.hits > 0")
+    n, low = F.length(text), F.col("__low")
+    phrase = lambda e, p: F.struct(F.lit(e.split()[0].lower()).alias("first"), F.lit(p).alias("pattern"))
+    entries = F.array(*(F.struct(F.lit(m.motif_id).alias("motif_id"), F.lit(m.band).alias("band"), F.array(*(phrase(e, p) for e, p in zip(m.examples, m.patterns(), strict=True))).alias("examples"), F.array(*(F.lit(a.lower()) for a in m.anti_examples)).cast("array<string>").alias("against")) for m in dictionary.motifs))
+    # a pattern is only looked for where its first word stands
+    count = lambda e: F.when(low.contains(e["first"]), F.regexp_count(F.col(text), e["pattern"])).otherwise(0)
+    total = lambda m: F.aggregate(F.transform(m["examples"], count), F.lit(0), lambda s, x: s + x)
+    found = F.transform(entries, lambda m: F.struct(m["motif_id"].alias("motif_id"), m["band"].alias("band"), total(m).alias("hits"), F.size(F.filter(m["against"], lambda a: low.contains(a))).alias("anti")))
+    d = docs.where(F.col(text).isNotNull() & (n > 0)).withColumn("__low", F.lower(F.col(text))).select(key, n.alias("n"), F.explode(found).alias("m")).where("m.hits > 0")
     amp = F.round(F.least(F.lit(1.0), F.lit(density) * F.col("m.hits") / (F.col("n") / 1000)), 4)
     conf = F.greatest(F.lit(0.1), 1 - 0.3 * F.col("m.anti"))
     return d.select(key, "m.motif_id", "m.band", "m.hits", amp.alias("amp"), conf.alias("confidence"))
@@ -71,9 +68,10 @@ def dominant(assignments: DataFrame, key: str, top: int = 5, min_amp: float = 0.
 
 
 def classify_by_anchor(vectors: DataFrame, anchors: DataFrame, key: str, vector: str = "embedding", record: float = 0.4, dominate: float = 0.6) -> DataFrame:
-    """(key, anchor_id, similarity, is_dominant) for every anchor near enough; anchors are a small table (anchor_id, av)."""
-    s = vectors.select(key, vector).join(F.broadcast(anchors.select("anchor_id", "av")), F.lit(True)).select(key, "anchor_id", F.round(cosine(F.col(vector), F.col("av")), 4).alias("similarity"))
-    return s.where(F.col("similarity") >= record).withColumn("is_dominant", F.col("similarity") >= dominate)
+    """(key, anchor_id, similarity, is_dominant) for every anchor (anchor_id, av) near enough, the similarity to four places."""
+    s = cosine_pairs(vectors, anchors.select(F.col("anchor_id").alias("query_id"), F.col("av").alias("qv")), key, vector, floor=record - 0.001)
+    s = s.select(key, F.col("query_id").alias("anchor_id"), F.round("similarity", 4).alias("similarity")).where(F.col("similarity") >= record)
+    return s.withColumn("is_dominant", F.col("similarity") >= dominate)
 
 
 def posting_union(postings: DataFrame, motifs: list[str], key: str) -> DataFrame:

@@ -8,24 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramma.functions.text import tokens
-from engramma.functions.vector import cosine
+from engramma.storage import written
 
 K1, B = 1.2, 0.75
+#: Terms of all queries that may be broadcast: 50 MB at most.
+BROADCAST_TERMS = 500_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_id: str = "query_id", query: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score): BM25 of every query over every document that shares a term; fields' scores add by weight.
 
-    Only the queries' terms are counted in the documents, so no posting list of the whole vocabulary is shuffled.
-    Queries are a small table; their distinct terms are broadcast by the planner's own size rule.
+    Each field is cut into words once: what is written is a row for each document with its length, and one for each of
+    the queries' terms that it holds. Everything else is counted from that.
     """
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    wanted = terms.select("term").distinct()
+    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
+    wanted = written(terms.select("term").distinct().withColumn("asked", F.lit(True)), "bm25-terms")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
     out = None
     for field, weight in fields.items():
-        words = docs.select(F.col(key), tokens(F.coalesce(F.col(field), F.lit(""))).alias("ws"))
-        stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avg_len"))
-        post = words.select(key, F.size("ws").alias("len"), F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+        words = docs.select(F.col(key), tokens(F.coalesce(F.col(field), F.lit(""))).alias("ws")).select(key, F.size("ws").alias("len"), F.explode_outer("ws").alias("term"))
+        # the first row of each document, whatever its term, tells of its length
+        held = words.join(wanted, "term", "left").groupBy(key, "len", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+        held = written(held, "bm25-held")
+        lengths = held.groupBy(key).agg(F.max("len").alias("len"))
+        stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        post = held.where("term is not null")
         df = post.groupBy("term").agg(F.count("*").alias("df"))
         s = post.join(df, "term").crossJoin(F.broadcast(stats)).join(terms, "term")
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -42,14 +49,75 @@ def top_k(scored: DataFrame, k: int, score: str, tie: str, by: Sequence[str] = (
     return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries that go to every task at a time, and their bytes at most.
+QUERY_BLOCK, QUERY_BYTES = 4096, 64_000_000
+
+
+def cosine_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int | None = None, floor: float | None = None) -> DataFrame:
+    """(query_id, key, similarity) of queries (query_id, qv) with all rows: pairs of at least ``floor``, and of them what can be among a query's ``k`` best.
+
+    Queries are taken in blocks of bounded size, a pass over the vectors each; a batch of vectors meets a block in
+    numpy and keeps its own best. A zero vector's cosine is 0; null vectors and other lengths than the query's take no
+    part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = {n: vectors.schema[key].dataType.simpleString() if n == key else queries.schema[n].dataType.simpleString() for n in ("query_id", key)}
+    schema = f"query_id {kind['query_id']}, {key} {kind[key]}, similarity double"
+    v = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+    q = queries.where("qv is not null").select("query_id", F.col("qv").cast("array<double>").alias("qv"))
+    dim = q.agg(F.coalesce(F.max(F.size("qv")), F.lit(1)).alias("d")).first()["d"]
+    block = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, dim))))
+
+    def pass_over(ids: list, qs: list[list[float]]) -> DataFrame:
+        by_len: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        for n in {len(x) for x in qs}:
+            rows = [i for i, x in enumerate(qs) if len(x) == n]
+            m = np.array([qs[i] for i in rows], float).reshape(len(rows), n)
+            by_len[n] = ([ids[i] for i in rows], m, np.sqrt((m * m).sum(1)))
+
+        def run(batches):
+            for b in batches:
+                sizes = np.array([len(x) for x in b.column(1)])
+                for n, (names, m, norms) in by_len.items():
+                    at = np.flatnonzero(sizes == n)
+                    if not len(at) or not n:
+                        continue
+                    keys = b.column(0).take(pa.array(at))
+                    x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                    norm = np.sqrt((x * x).sum(1))
+                    for name, one, length in zip(names, m, norms, strict=True):
+                        both = norm * length
+                        s = np.divide((x * one).sum(1), both, out=np.zeros(len(at)), where=both != 0)
+                        keep = np.arange(len(at)) if floor is None else np.flatnonzero(s >= floor)
+                        if k is not None and len(keep) > k:  # ties of the k-th stay, the caller decides
+                            keep = keep[s[keep] >= np.partition(s[keep], len(keep) - k)[len(keep) - k]]
+                        if len(keep):
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keep), b_type), keys.take(pa.array(keep)), pa.array(s[keep])], ["query_id", key, "similarity"])
+
+        return v.mapInArrow(run, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    b_type = to_arrow_type(queries.schema["query_id"].dataType)
+    out, ids, qs = None, [], []
+    for r in q.toLocalIterator():
+        ids.append(r["query_id"])
+        qs.append(list(r["qv"]))
+        if len(ids) == block:
+            out, ids, qs = (pass_over(ids, qs) if out is None else out.unionByName(pass_over(ids, qs))), [], []
+    if ids or out is None:
+        out = pass_over(ids, qs) if out is None else out.unionByName(pass_over(ids, qs))
+    return out
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """(query_id, key, similarity, rank): exact nearest rows by cosine for a small table of queries (query_id, qv).
+    """(query_id, key, similarity, rank): exact nearest rows by cosine for a table of queries (query_id, qv).
 
     ``floor`` is the least certainty, (1 + cosine) / 2.
     """
-    s = vectors.select(key, vector).join(F.broadcast(queries.select("query_id", "qv")), F.lit(True)).select("query_id", key, cosine(F.col(vector), F.col("qv")).alias("similarity"))
-    if floor is not None:
-        s = s.where((1 + F.col("similarity")) / 2 >= floor)
+    s = cosine_pairs(vectors, queries, key, vector, k, None if floor is None else 2 * floor - 1)
     return top_k(s, k, "similarity", key, ["query_id"])
 
 
@@ -59,8 +127,11 @@ def rrf(lists: DataFrame, key: str, k: int = 60, rank_base: int = 1, query: str
     return lists.groupBy(query, key).agg(F.sum(part).alias("score"), F.min("rank").alias("best_rank"), F.count("*").alias("n_lists"))
 
 
-def relative_fusion(vec: DataFrame, lex: DataFrame, key: str, alpha: float, query: str = "query_id") -> DataFrame:
-    """alpha * vector + (1 - alpha) * BM25 of two scored lists, each stretched to 0..1 a query; a missing side is 0."""
+def relative_fusion(vec: DataFrame, lex: DataFrame, key: str, alpha: float | DataFrame, query: str = "query_id") -> DataFrame:
+    """alpha * vector + (1 - alpha) * BM25 of two scored lists, each stretched to 0..1 a query; a missing side is 0.
+
+    ``alpha`` is one number, or a table (query, alpha).
+    """
 
     def stretched(d: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy(query)
@@ -68,12 +139,15 @@ def relative_fusion(vec: DataFrame, lex: DataFrame, key: str, alpha: float, quer
         return d.select(query, key, F.when(hi == lo, F.lit(1.0)).otherwise((F.col("score") - lo) / (hi - lo)).alias(name))
 
     j = stretched(vec, "v").join(stretched(lex, "l"), [query, key], "full")
-    return j.select(query, key, (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("l", F.lit(0.0))).alias("score"))
+    share = F.lit(alpha) if not isinstance(alpha, DataFrame) else F.col("alpha")
+    j = j if not isinstance(alpha, DataFrame) else j.join(alpha.select(query, "alpha"), query)
+    return j.select(query, key, (share * F.coalesce("v", F.lit(0.0)) + (1 - share) * F.coalesce("l", F.lit(0.0))).alias("score"))
 
 
 #: Vector share by kind of query.
 ALPHA = {"exact": 0.3, "temporal": 0.3, "conceptual": 0.65, "relational": 0.5, "motif": 0.6, "default": 0.65}
-STOP_WORDS = "a an the of in on at to for and or is are was were be been by with from that this it as what how".split()
+# The stop words of exact queries.
+STOP_WORDS = "the a an is are was were be in on at to for of with by from as into about equals equal divided between and or not but".split()
 
 
 def exact_alpha(query: Column) -> Column:
@@ -84,10 +158,14 @@ def exact_alpha(query: Column) -> Column:
 
 
 def keep_first(ranked: DataFrame, content_hash: str, key: str, rank: str = "rank", by: Sequence[str] = ()) -> DataFrame:
-    """The first row of each content hash by rank; a blank hash stands for the row itself."""
+    """The first row of each content hash by rank, then key; a blank hash stands for the row itself.
+
+    Copies are reduced before they are shuffled, so a hash that many rows share is no hot task.
+    """
     group = F.coalesce(F.nullif(F.col(content_hash), F.lit("")), F.concat(F.lit("id:"), F.col(key).cast("string")))
-    w = Window.partitionBy(*by, group).orderBy(rank, key)
-    return ranked.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    row = F.struct(*(F.col(f"`{c}`") for c in ranked.columns))
+    firsts = ranked.groupBy(*(F.col(c).alias(f"__{c}") for c in by), group.alias("__g")).agg(F.min_by(row, F.struct(rank, key)).alias("__r"))
+    return firsts.select("__r.*")
 
 
 def pool_cap(pool: DataFrame, fetch_k: int, top: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -141,3 +219,39 @@ def where_filter(**conditions) -> Column:
         else:
             raise ValueError(f"unknown filter {name!r}")
     return cond
+
+
+def motif_edges(assignments: DataFrame, motif_id: str, key: str, least: float = 0.5, limit: int = 20) -> DataFrame:
+    """The strongest ``limit`` rows of one motif with at least an amplitude, strongest first."""
+    return assignments.where((F.col("motif_id") == motif_id) & (F.col("amp") >= least)).orderBy(F.desc("amp"), key).limit(limit)
+
+
+def motifs_together(assignments: DataFrame, motifs: Sequence[str], key: str, least: float = 0.3) -> DataFrame:
+    """(key, total): rows that have every one of the motifs with at least an amplitude, and the sum of those."""
+    a = assignments.where(F.col("motif_id").isin(list(motifs)) & (F.col("amp") >= least))
+    return a.groupBy(key).agg(F.count_distinct("motif_id").alias("n"), F.sum("amp").alias("total")).where(F.col("n") == len(set(motifs))).select(key, "total")
+
+
+def oldest_first(ranked: DataFrame, at: str, key: str, limit: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """How something evolved: of twice ``limit`` best results the oldest ``limit``, with their place; unknown times come first, as time 0."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first(at), key)
+    best = ranked.where(F.col("rank") <= 2 * limit)
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def tile_resonance(tokens_a: Column, full: int = 4096) -> Column:
+    """How near a passage's size is to a full one, times 0.809."""
+    return F.least(tokens_a, F.lit(full)) / F.greatest(tokens_a, F.lit(full)) * 0.809
+
+
+def theme_of(queries: DataFrame, themes: DataFrame, least: float = 0.6) -> DataFrame:
+    """(query_id, theme_id, motifs): each query's nearest theme (theme_id, tv, motifs) if its certainty, (1 + cosine) / 2, is high enough."""
+    s = cosine_pairs(queries.withColumnRenamed("query_id", "q"), themes.select(F.col("theme_id").alias("query_id"), F.col("tv").alias("qv")), "q", "qv", floor=2 * least - 1)
+    best = s.groupBy("q").agg(F.min_by("query_id", F.struct(-F.col("similarity"), "query_id")).alias("theme_id"))
+    return best.join(themes.select("theme_id", "motifs"), "theme_id").select(F.col("q").alias("query_id"), "theme_id", "motifs")
+
+
+def theme_index(vectors: DataFrame, themes: DataFrame, key: str, content_hash: str, vector: str = "embedding", least: float = 0.55) -> DataFrame:
+    """(theme_id, content_hash, score): every content near enough to one of a theme's vectors (theme_id, tv), at its best certainty."""
+    s = cosine_pairs(vectors, themes.select(F.col("theme_id").alias("query_id"), F.col("tv").alias("qv")), key, vector, floor=2 * least - 1)
+    return s.join(vectors.select(key, content_hash), key).groupBy(F.col("query_id").alias("theme_id"), content_hash).agg(F.max((1 + F.col("similarity")) / 2).alias("score"))

@@ -30,16 +30,29 @@ def tile_grid(docs: DataFrame, chunk: int, step: int, text: str = "text") -> Dat
 
 
 def tiles(docs: DataFrame, scale: str, text: str = "text") -> DataFrame:
-    """Tiles of one scale: scale, tile_index, start_char, end_char, content, token_count; the document's other columns stay."""
+    """Tiles of one scale: scale, tile_index, start_char, end_char, content, token_count; the document's other columns stay.
+
+    All tiles of a row are cut inside one array expression, so that the text is not copied for each of them.
+    """
     chunk, step = SCALES[scale]
-    grid = tile_grid(docs, chunk, step, text)
-    tail_at = int(0.8 * chunk)
-    tail = F.substring(F.col(text), F.col("start_char") + tail_at + 1, F.col("grid_end") - F.col("start_char") - tail_at)
-    back = F.reverse(tail)
-    para, sentence = F.locate("\n\n", back), F.locate(" .", back)
-    cut = F.when(F.col("grid_end") >= F.col("__n"), F.col("grid_end")).when(para > 0, F.col("grid_end") - para + 1).when(sentence > 0, F.col("grid_end") - sentence + 1).otherwise(F.col("grid_end"))
-    t = grid.withColumn("end_char", cut.cast("int")).withColumn("content", F.substring(F.col(text), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
-    return t.withColumn("scale", F.lit(scale)).withColumn("token_count", token_estimate(F.col("content"))).drop("grid_end", "__n")
+    body, n, tail_at = F.col(text), F.length(text), int(0.8 * chunk)
+    last = F.when(n <= chunk, F.lit(0)).otherwise(F.floor((n - step // 2) / step).cast("int"))
+
+    def grid(i: Column) -> Column:
+        start = F.when(n <= chunk, F.lit(0)).otherwise(i * step).cast("int")
+        stretched = (i == last) & ((last + 1) * step < n)
+        return F.struct(i.alias("i"), start.alias("start"), F.when((n <= chunk) | stretched, n).otherwise(F.least(i * step + chunk, n)).cast("int").alias("stop"))
+
+    def cut(g: Column) -> Column:
+        back = F.reverse(F.substring(body, g["start"] + tail_at + 1, g["stop"] - g["start"] - tail_at))
+        breaks = F.struct(F.locate("\n\n", back).alias("para"), F.locate(" .", back).alias("sentence"))
+        at = F.element_at(F.transform(F.array(breaks), lambda b: F.when(g["stop"] >= n, g["stop"]).when(b["para"] > 0, g["stop"] - b["para"] + 1).when(b["sentence"] > 0, g["stop"] - b["sentence"] + 1).otherwise(g["stop"])), 1)
+        return F.struct(g["i"].alias("tile_index"), g["start"].alias("start_char"), at.cast("int").alias("end_char"))
+
+    placed = F.transform(F.transform(F.sequence(F.lit(0), last), grid), cut)
+    whole = F.transform(placed, lambda t: F.struct(t["tile_index"].alias("tile_index"), t["start_char"].alias("start_char"), t["end_char"].alias("end_char"), F.substring(body, t["start_char"] + 1, t["end_char"] - t["start_char"]).alias("content")))
+    t = docs.where(body.isNotNull()).select("*", F.explode(whole).alias("__t")).select(*docs.columns, "__t.*")
+    return t.withColumn("scale", F.lit(scale)).withColumn("token_count", token_estimate(F.col("content")))
 
 
 def multi_scale(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -13,8 +13,8 @@ from engramma.operators import graph as gr
 from engramma.operators import motifs as mo
 from engramma.operators import search as se
 from engramma.queries.passages import ANCHORS, COS_ANCHOR, _anchors
+from engramma.operators.ordered import numbered
 from engramma.session import table
-from engramma.storage import written
 
 #: A stand-in dictionary of common words.
 WORDS = {"M.THE": ("the", "slow"), "M.AND": ("and", "slow"), "M.THAT": ("that", "mid"), "M.WAS": ("was", "mid"), "M.FOR": ("for", "mid"), "M.WITH": ("with", "fast"), "M.THIS": ("this", "fast"), "M.ARE": ("are", "fast"), "M.FROM": ("from", "fast")}
@@ -23,12 +23,12 @@ NOW = "2024-02-01 00:00:00"
 
 
 def _assigned(spark, d) -> DataFrame:
-    """Motifs of all documents, by Unicode word bounds. The SQL holds documents in ASCII only."""
+    """Motifs of all documents, by Unicode word bounds."""
     return mo.assign(table(spark, d, "documents"), DICTIONARY, "doc_id")
 
 
 _DICT_SQL = "(VALUES " + ", ".join(f"('{k}', '{b}', '{w}')" for k, (w, b) in WORDS.items()) + ") AS m(motif_id, band, w)"
-ASSIGNED = rf"SELECT doc_id, motif_id, band, hits, round(least(CAST(1 AS DOUBLE), CAST(0.15 AS DOUBLE) * hits / (CAST(length(text) AS DOUBLE) / 1000)), 4) AS amp, greatest(CAST(0.1 AS DOUBLE), 1 - CAST(0.3 AS DOUBLE) * CASE WHEN w = 'that' AND contains(lower(text), 'not that') THEN 1 ELSE 0 END) AS confidence FROM (SELECT doc_id, text, motif_id, band, w, CAST(len(regexp_extract_all(text, '(?i)\b' || w || '\b')) AS INTEGER) AS hits FROM documents, {_DICT_SQL} WHERE octet_length(encode(text)) = length(text)) WHERE hits > 0"
+ASSIGNED = rf"SELECT doc_id, motif_id, band, hits, round(least(CAST(1 AS DOUBLE), CAST(0.15 AS DOUBLE) * hits / (CAST(length(text) AS DOUBLE) / 1000)), 4) AS amp, greatest(CAST(0.1 AS DOUBLE), 1 - CAST(0.3 AS DOUBLE) * CASE WHEN w = 'that' AND contains(lower(text), 'not that') THEN 1 ELSE 0 END) AS confidence FROM (SELECT doc_id, text, motif_id, band, w, CAST(len(list_filter(ws, lambda x: x = w)) AS INTEGER) AS hits FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x{{200C}}\x{{200D}}]+') AS ws FROM documents), {_DICT_SQL}) WHERE hits > 0"
 
 
 def motif_assign(spark, d):
@@ -90,16 +90,16 @@ def _words(spark, d) -> DataFrame:
 
 
 def jaccard_pairs(spark, d):
-    """Tile pairs by motifs; every motif here is dense, so the elements are the words of all documents. The SQL holds the short ones only."""
+    """Tile pairs by motifs; every motif here is dense, so the elements are the words of all documents."""
     return gr.jaccard_pairs(_words(spark, d), "doc_id", "w", 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def rare_cooccurrence(spark, d):
-    """Pairs of all documents by words that at most 5 % of them hold. The SQL holds the short ones only."""
+    """Pairs of all documents by words that at most 5 % of them hold."""
     return gr.rare_cooccurrence(_words(spark, d), "doc_id", "w", 0.05, 3).select("a", "b", F.array_join("shared", " ").alias("shared"), "n")
 
 
-_SHORT = r"SELECT DISTINCT doc_id AS k, unnest(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+')) AS e FROM documents WHERE n_chars < 400"
+_SETS = r"SELECT DISTINCT doc_id AS k, unnest(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+')) AS e FROM documents"
 
 
 def _edges(spark, d) -> DataFrame:
@@ -116,19 +116,19 @@ def _starts(edges: DataFrame) -> DataFrame:
 
 
 def graph_hops(spark, d):
-    """Two steps from every node. The SQL starts from nodes 1 to 5 only."""
+    """Two steps from every node."""
     e = _edges(spark, d)
     return gr.hops(e, _starts(e), 2)
 
 
 def graph_neighbourhood(spark, d):
-    """The size of every node's neighbourhood. The SQL has nodes 1 to 3 only."""
+    """The size of every node's neighbourhood."""
     e = _edges(spark, d)
     return gr.hops(e, _starts(e), 2, directed=False).groupBy("start", "distance").agg(F.count("*").alias("n"))
 
 
 def version_chain(spark, d):
-    """Orders of one customer as versions: each supersedes the one before. The SQL goes back 3 steps only."""
+    """Orders of one customer as versions: each supersedes the one before."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("newer"), F.lag("o_orderkey").over(w).alias("older")).where("older is not null")
     return gr.version_chain(s).groupBy("head").agg(F.count("*").alias("n"), F.max("position").alias("last"))
@@ -231,7 +231,7 @@ def _median(l: DataFrame) -> int:
 
 
 def branch_fork_merge(spark, d):
-    """A branch that forks at the middle, gains purchases, and is merged back. The SQL forks at 1000."""
+    """A branch that forks at the middle, gains purchases, and is merged back."""
     l = _ledger(spark, d).where("event_type <> 'purchase' or seq % 2 = 0")
     b = el.fork(l, "work", up_to=_median(l.select("seq")))
     extra = _ledger(spark, d).where("event_type = 'purchase' and seq % 2 = 1").withColumn("branch", F.lit("work"))
@@ -239,14 +239,14 @@ def branch_fork_merge(spark, d):
 
 
 def causal_chain(spark, d):
-    """Each user's last event back over the operator's depth. The SQL goes back 4 steps only."""
+    """Each user's last event back over the operator's depth."""
     l = _ledger(spark, d)
     heads = l.groupBy("user_id").agg(F.max("seq").alias("start")).select("start")
     return el.causes(l, heads)
 
 
 def event_effects(spark, d):
-    """How many events follow each first one over the operator's depth. The SQL goes 3 steps only."""
+    """How many events follow each first one over the operator's depth."""
     l = _ledger(spark, d)
     return el.causes(l, l.where("caused_by is null").select(F.col("seq").alias("start")), effects=True).groupBy("start").agg(F.count("*").alias("n_effects"))
 
@@ -271,11 +271,8 @@ def temporal_decay(spark, d):
 
 
 def recency_sort(spark, d):
-    """Every event with its rank by recency: its place in its sorted partition after the partitions before it. The SQL has the first 25."""
-    s = written(table(spark, d, "events").orderBy(F.desc("ts"), "event_id").select("event_id", F.monotonically_increasing_id().alias("m")), "recency")
-    part = s.withColumn("p", F.shiftright("m", 33))
-    before = part.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(before.select("p", "before")), "p").select("event_id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+    """Every event with its rank by recency."""
+    return numbered(table(spark, d, "events").select("event_id", "ts"), F.desc("ts"), "event_id", name="rank").select("event_id", "rank")
 
 
 def motif_boost(spark, d):
@@ -327,12 +324,12 @@ def dedup_ratio(spark, d):
 
 
 def percentile_index(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(ev.index_percentile(F.col("n_chars"), 50).alias("p50"), ev.index_percentile(F.col("n_chars"), 95).alias("p95"))
+    return ev.index_percentiles(table(spark, d, "documents"), "n_chars", {"p50": 50, "p95": 95}, ("lang",))
 
 
 def wilcoxon_statistic(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("double")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity").cast("double")).otherwise(0.0)).alias("b"))
-    return ev.wilcoxon(p.withColumn("g", F.lit(1)), "a", "b", ("g",)).select("n", "w_plus", "w_minus", "statistic")
+    return ev.wilcoxon(p, "a", "b").select("n", "w_plus", "w_minus", "statistic")
 
 
 def regression_gate(spark, d):
@@ -348,14 +345,15 @@ def coverage_stats(spark, d):
 
 QUERIES = {f.__name__: f for f in (motif_assign, motif_distribution, motif_dominant, posting_union, posting_intersect, motif_overlap_score, anchor_classify, gate_check, consensus_merge, motif_propagate, resonance_decay, jaccard_pairs, rare_cooccurrence, graph_hops, graph_neighbourhood, version_chain, scd2_versions, as_of_entity, contradiction_candidates, graph_coherence, exchange_grouping, exchange_answered, adjacent_pairing, consecutive_merge, session_full_text, training_export, event_filter, event_newest, event_entropy, gap_sessions, branch_fork_merge, causal_chain, event_effects, ring_buffer, agent_activity, cache_hit_rate, temporal_decay, recency_sort, motif_boost, formula_rerank, contains_any, recall_at_k, mrr, precision_at_k, ndcg_at_k, dedup_ratio, percentile_index, wilcoxon_statistic, regression_gate, coverage_stats)}
 
-_DOM = "SELECT doc_id, list_sort(list(motif_id)) AS ms FROM (SELECT doc_id, motif_id FROM (" + ASSIGNED + ") WHERE amp >= 0.1 AND confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY amp DESC, motif_id) <= {k}) GROUP BY doc_id"
+_DOM = "SELECT doc_id, list_sort(list(motif_id)) AS ms FROM (SELECT doc_id, motif_id FROM (" + ASSIGNED + ") WHERE amp >= 0.1 AND confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY amp DESC, motif_id) <= @k) GROUP BY doc_id"
 _REACH = "WITH RECURSIVE e AS ({edges}), r AS (SELECT * FROM ({starts}) s UNION SELECT r.start, e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.node WHERE r.dist < {depth}) SELECT start, node, min(dist) AS distance FROM r GROUP BY ALL HAVING min(dist) > 0"
 _DECAY = "pow(CAST(2 AS DOUBLE), -CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(date_trunc('second', ts)) AS DOUBLE) / 86400 / 60)"
 _UE = f"SELECT src, dst FROM ({EDGES}) UNION SELECT dst, src FROM ({EDGES})"
+_NODES = f"SELECT s AS start, s AS node, 0 AS dist FROM (SELECT src AS s FROM ({EDGES}) UNION SELECT dst FROM ({EDGES}))"
 SQL = {
     "motif_assign": ASSIGNED,
     "motif_distribution": f"SELECT motif_id, round(avg(amp), 6) AS mean_amp, count(*) AS n FROM ({ASSIGNED}) GROUP BY motif_id",
-    "motif_dominant": f"SELECT doc_id, array_to_string(ms, ',') AS dominant FROM ({_DOM.format(k=3)})",
+    "motif_dominant": f"SELECT doc_id, array_to_string(ms, ',') AS dominant FROM ({_DOM.replace('@k', '3')})",
     "posting_union": f"SELECT DISTINCT doc_id FROM ({ASSIGNED}) WHERE motif_id IN ('M.WITH', 'M.FROM')",
     "posting_intersect": f"SELECT doc_id FROM ({ASSIGNED}) WHERE motif_id IN ('M.WITH', 'M.FROM', 'M.THE') GROUP BY doc_id HAVING count(DISTINCT motif_id) = 3",
     "motif_overlap_score": f"SELECT doc_id, round(sum(least(q, amp)) / CAST(0.9 AS DOUBLE), 6) AS score FROM ({ASSIGNED}) JOIN (VALUES ('M.THE', CAST(0.6 AS DOUBLE)), ('M.FOR', CAST(0.3 AS DOUBLE))) AS q(motif_id, q) USING (motif_id) GROUP BY doc_id",
@@ -364,11 +362,11 @@ SQL = {
     "consensus_merge": f"SELECT content_hash, motif_id, round(avg(amp), 6) AS amp, round(least(CAST(1 AS DOUBLE), avg(confidence) + 0.05 * (count(*) - 1)), 6) AS confidence, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS platforms FROM ({ASSIGNED}) JOIN (SELECT doc_id, source, md5(text) AS content_hash FROM documents) USING (doc_id) GROUP BY ALL",
     "motif_propagate": f"SELECT source, motif_id, max(amp) AS similarity FROM ({ASSIGNED}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL",
     "resonance_decay": "SELECT k, motif_id, amp FROM (SELECT event_id % 3 AS k, event_type AS motif_id, round(max(least(CAST(1 AS DOUBLE), abs(value) / 100) * exp(-(1706745600 - epoch(date_trunc('second', ts))) / (86400 * exp(CAST(event_id % 3 AS DOUBLE))))), 6) AS amp FROM events GROUP BY 1, 2) WHERE amp >= 0.001",
-    "jaccard_pairs": f"WITH s AS (SELECT * FROM ({_SHORT}) WHERE e <> ''), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.e = b.e AND a.k < b.k GROUP BY ALL) SELECT a, b, round(CAST(c AS DOUBLE) / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.5",
-    "rare_cooccurrence": f"WITH s AS (SELECT * FROM ({_SHORT}) WHERE e <> ''), r AS (SELECT e FROM s GROUP BY e HAVING count(*) <= floor((SELECT count(DISTINCT k) FROM s) * CAST(0.05 AS DOUBLE))), q AS (SELECT s.* FROM s JOIN r USING (e)) SELECT a.k AS a, b.k AS b, string_agg(a.e, ' ' ORDER BY a.e) AS shared, count(*) AS n FROM q a JOIN q b ON a.e = b.e AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 3",
-    "graph_hops": _REACH.format(edges=EDGES, starts="SELECT i AS start, i AS node, 0 AS dist FROM range(1, 6) t(i)", depth=2),
-    "graph_neighbourhood": "SELECT start, distance, count(*) AS n FROM (" + _REACH.format(edges=_UE, starts="SELECT i AS start, i AS node, 0 AS dist FROM range(1, 4) t(i)", depth=2) + ") GROUP BY ALL",
-    "version_chain": "WITH s AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS p, o_custkey FROM orders), h AS (SELECT o_custkey, k FROM s WHERE p = 0) SELECT h.k AS head, count(*) AS n, max(p) AS last FROM s JOIN h USING (o_custkey) WHERE p <= 3 GROUP BY h.k HAVING count(*) > 1",
+    "jaccard_pairs": f"WITH s AS (SELECT * FROM ({_SETS}) WHERE e <> ''), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.e = b.e AND a.k < b.k GROUP BY ALL) SELECT a, b, round(CAST(c AS DOUBLE) / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.5",
+    "rare_cooccurrence": f"WITH s AS (SELECT * FROM ({_SETS}) WHERE e <> ''), r AS (SELECT e FROM s GROUP BY e HAVING count(*) <= floor((SELECT count(DISTINCT k) FROM s) * CAST(0.05 AS DOUBLE))), q AS (SELECT s.* FROM s JOIN r USING (e)) SELECT a.k AS a, b.k AS b, string_agg(a.e, ' ' ORDER BY a.e) AS shared, count(*) AS n FROM q a JOIN q b ON a.e = b.e AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 3",
+    "graph_hops": _REACH.format(edges=EDGES, starts=_NODES, depth=2),
+    "graph_neighbourhood": "SELECT start, distance, count(*) AS n FROM (" + _REACH.format(edges=_UE, starts=_NODES, depth=2) + ") GROUP BY ALL",
+    "version_chain": "WITH s AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS p, o_custkey FROM orders), h AS (SELECT o_custkey, k FROM s WHERE p = 0) SELECT h.k AS head, count(*) AS n, max(p) AS last FROM s JOIN h USING (o_custkey) WHERE p <= 10 GROUP BY h.k HAVING count(*) > 1",
     "scd2_versions": _SCD,
     "as_of_entity": f"SELECT o_custkey, o_orderstatus FROM ({_SCD}) WHERE valid_from <= DATE '1996-01-01' AND (valid_until IS NULL OR DATE '1996-01-01' < valid_until)",
     "contradiction_candidates": f"WITH e AS ({EDGES}), k AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src % 5 = 0) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e JOIN part x ON x.p_partkey = src AND x.p_size > 10 JOIN part y ON y.p_partkey = dst AND y.p_size > 10 WHERE (src + dst) % 7 = 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.a = least(src, dst) AND k.b = greatest(src, dst))",
@@ -383,17 +381,17 @@ SQL = {
     "event_newest": "SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 20",
     "event_entropy": "SELECT user_id, round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT user_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY user_id, event_type) GROUP BY user_id",
     "gap_sessions": "SELECT user_id, session_index, count(*) AS n_events, min(event_id) AS first_event FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_index FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL '2' HOUR)::INT, 1) AS g FROM events)) GROUP BY ALL",
-    "branch_fork_merge": f"WITH l AS ({LEDGER}), m AS (SELECT * FROM l WHERE event_type <> 'purchase' OR seq % 2 = 0), w AS (SELECT hash FROM m WHERE seq <= 1000 UNION ALL SELECT hash FROM l WHERE event_type = 'purchase' AND seq % 2 = 1), n AS (SELECT hash FROM w WHERE hash NOT IN (SELECT hash FROM m)) SELECT branch, count(*) AS n, count(DISTINCT hash) AS n_hashes FROM (SELECT 'main' AS branch, hash FROM m UNION ALL SELECT 'main', hash FROM n UNION ALL SELECT 'work', hash FROM w) GROUP BY branch",
-    "causal_chain": f"WITH RECURSIVE l AS ({LEDGER}), r AS (SELECT max(seq) AS start, max(seq) AS node, 0 AS distance FROM l GROUP BY user_id UNION ALL SELECT r.start, l.caused_by, r.distance + 1 FROM r JOIN l ON l.seq = r.node WHERE l.caused_by IS NOT NULL AND r.distance < 4) SELECT * FROM r WHERE distance > 0",
-    "event_effects": f"WITH RECURSIVE l AS ({LEDGER}), r AS (SELECT seq AS start, seq AS node, 0 AS distance FROM l WHERE caused_by IS NULL UNION ALL SELECT r.start, l.seq, r.distance + 1 FROM r JOIN l ON l.caused_by = r.node WHERE r.distance < 3) SELECT start, count(*) AS n_effects FROM r WHERE distance > 0 GROUP BY start",
+    "branch_fork_merge": f"WITH l AS ({LEDGER}), m AS (SELECT * FROM l WHERE event_type <> 'purchase' OR seq % 2 = 0), w AS (SELECT hash FROM m WHERE seq <= (SELECT quantile_disc(seq, 0.5) FROM m) UNION ALL SELECT hash FROM l WHERE event_type = 'purchase' AND seq % 2 = 1), n AS (SELECT hash FROM w WHERE hash NOT IN (SELECT hash FROM m)) SELECT branch, count(*) AS n, count(DISTINCT hash) AS n_hashes FROM (SELECT 'main' AS branch, hash FROM m UNION ALL SELECT 'main', hash FROM n UNION ALL SELECT 'work', hash FROM w) GROUP BY branch",
+    "causal_chain": f"WITH RECURSIVE l AS ({LEDGER}), r AS (SELECT max(seq) AS start, max(seq) AS node, 0 AS distance FROM l GROUP BY user_id UNION ALL SELECT r.start, l.caused_by, r.distance + 1 FROM r JOIN l ON l.seq = r.node WHERE l.caused_by IS NOT NULL AND r.distance < 10) SELECT * FROM r WHERE distance > 0",
+    "event_effects": f"WITH RECURSIVE l AS ({LEDGER}), r AS (SELECT seq AS start, seq AS node, 0 AS distance FROM l WHERE caused_by IS NULL UNION ALL SELECT r.start, l.seq, r.distance + 1 FROM r JOIN l ON l.caused_by = r.node WHERE r.distance < 10) SELECT start, count(*) AS n_effects FROM r WHERE distance > 0 GROUP BY start",
     "ring_buffer": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "agent_activity": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30'",
     "cache_hit_rate": "SELECT user_id, round(CASE WHEN h + m = 0 THEN 0 ELSE CAST(h AS DOUBLE) / (h + m) END, 6) AS hit_rate FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS h, count(*) FILTER (event_type = 'view') AS m FROM events GROUP BY user_id)",
     "temporal_decay": f"SELECT event_id, round({_DECAY}, 6) AS decay, round(0.85 * value + CAST(0.15 AS DOUBLE) * {_DECAY}, 6) AS score FROM events",
-    "recency_sort": "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 25",
-    "motif_boost": f"SELECT doc_id, round(0.5 + CAST(0.1 AS DOUBLE) * len(list_intersect(ms, ['M.THE', 'M.WITH'])) / len(list_distinct(list_concat(ms, ['M.THE', 'M.WITH']))), 6) AS score FROM ({_DOM.format(k=5)})",
-    "formula_rerank": f"SELECT doc_id, round((1 / (1 + CAST(n_chars AS DOUBLE) / 1000)) * 0.5 + 0.3 * 0.5 + CAST(0.2 AS DOUBLE) * len(list_intersect(ms, ['M.THE', 'M.ARE'])) / 2, 6) AS rank_score FROM ({_DOM.format(k=5)}) JOIN documents USING (doc_id)",
-    "contains_any": f"SELECT doc_id FROM ({_DOM.format(k=5)}) WHERE list_has_any(ms, ['M.ARE', 'M.FROM'])",
+    "recency_sort": "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events",
+    "motif_boost": f"SELECT doc_id, round(0.5 + CAST(0.1 AS DOUBLE) * len(list_intersect(ms, ['M.THE', 'M.WITH'])) / len(list_distinct(list_concat(ms, ['M.THE', 'M.WITH']))), 6) AS score FROM ({_DOM.replace('@k', '5')})",
+    "formula_rerank": f"SELECT doc_id, round((1 / (1 + CAST(n_chars AS DOUBLE) / 1000)) * 0.5 + 0.3 * 0.5 + CAST(0.2 AS DOUBLE) * len(list_intersect(ms, ['M.THE', 'M.ARE'])) / 2, 6) AS rank_score FROM ({_DOM.replace('@k', '5')}) JOIN documents USING (doc_id)",
+    "contains_any": f"SELECT doc_id FROM ({_DOM.replace('@k', '5')}) WHERE list_has_any(ms, ['M.ARE', 'M.FROM'])",
     "recall_at_k": f"WITH r AS ({RANKED}), n AS (SELECT query_id, count(*) FILTER (toxic = 1) AS t FROM r GROUP BY query_id) SELECT query_id, c AS cutoff, round(CASE WHEN t = 0 THEN -1 ELSE CAST(count(*) FILTER (toxic = 1 AND rank <= c) AS DOUBLE) / t END, 6) AS recall FROM r JOIN n USING (query_id), (VALUES (10), (50)) k(c) GROUP BY query_id, c, t",
     "mrr": f"SELECT query_id, round(coalesce(CAST(1 AS DOUBLE) / min(rank) FILTER (toxic = 1), 0), 6) AS mrr FROM ({RANKED}) GROUP BY query_id",
     "precision_at_k": f"SELECT query_id, round(avg(CAST(quality = 1 AS INT)), 6) AS precision FROM ({RANKED}) WHERE rank <= 20 GROUP BY query_id",

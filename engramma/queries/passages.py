@@ -119,13 +119,13 @@ def bm25_sql(rel: str, key: str, field: str, queries: str) -> str:
 
 
 def bm25_fields(spark, d):
-    """Weighted fields: text once, source twice; every benchmark item's whole text is a query; three documents each. The SQL takes its first words only."""
+    """Weighted fields: text once, source twice; every benchmark item's whole text is a query; three documents each."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", F.lit("src1")).alias("query"))
     s = se.bm25(_docs(spark, d), q, "doc_id", {"text": 1.0, "source": 2.0}).withColumn("score", F.round("score", 6))
     return se.top_k(s, 3, "score", "doc_id", ["query_id"]).select("query_id", "doc_id", "score", "rank")
 
 
-_BQ = "(SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') || ' src1' AS query FROM benchmark)"
+_BQ = "(SELECT item_id AS query_id, text || ' src1' AS query FROM benchmark)"
 
 
 def _anchors(spark, d):
@@ -165,39 +165,47 @@ def vector_norms(spark, d):
 LANES = 20
 
 
+def _lane_queries(spark, d):
+    """Every benchmark item as a query; its vector is the anchor of one of the labels, by its number."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return q.join(_anchors(spark, d), F.col("query_id") % 10 == F.col("label")).select("query_id", "query", F.col("av").alias("qv"))
+
+
 def _lanes(spark, d):
-    q = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(QUERY).alias("query"))
-    lex = se.top_k(se.bm25(_docs(spark, d), q, "doc_id", {"text": 1.0}).withColumn("score", F.round("score", 6)), LANES, "score", "doc_id")
-    qv = _anchors(spark, d).where("label = 0").select(F.lit("q").alias("query_id"), F.col("av").alias("qv"))
-    vec = se.vector_search(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), qv, LANES, key="doc_id").withColumn("score", F.round("similarity", 6))
+    """Documents by words and by vectors (a document's vector is that of its number), the best ``LANES`` of each lane a query."""
+    q = _lane_queries(spark, d)
+    lex = se.top_k(se.bm25(_docs(spark, d), q, "doc_id", {"text": 1.0}).withColumn("score", F.round("score", 6)), LANES, "score", "doc_id", ["query_id"])
+    held = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
+    vec = se.vector_search(held, q, LANES, key="doc_id").withColumn("score", F.round("similarity", 6))
     return lex.select("query_id", "doc_id", "score", "rank"), vec.select("query_id", "doc_id", "score", "rank")
 
 
-LEX = f"SELECT query_id, doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM ({bm25_sql('documents', 'doc_id', 'text', f'''(SELECT 'q' AS query_id, '{QUERY}' AS query)''')})) QUALIFY rank <= {LANES}"
-VEC = f"SELECT 'q' AS query_id, vec_id AS doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT vec_id, {COS_ANCHOR} AS s FROM embeddings, {ANCHORS} a WHERE a.label = 0) QUALIFY rank <= {LANES}"
+_LQ = "(SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 10 IN (SELECT label FROM embeddings))"
+LEX = f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM ({bm25_sql('documents', 'doc_id', 'text', _LQ)})) QUALIFY rank <= {LANES}"
+VEC = f"SELECT query_id, vec_id AS doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT b.item_id AS query_id, vec_id, {COS_ANCHOR} AS s FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), {ANCHORS} a, benchmark b WHERE a.label = b.item_id % 10) QUALIFY rank <= {LANES}"
 
 
 def hybrid_relative(spark, d):
     lex, vec = _lanes(spark, d)
-    return se.relative_fusion(vec, lex, "doc_id", 0.65).select("doc_id", F.round("score", 6).alias("score"))
+    return se.relative_fusion(vec, lex, "doc_id", 0.65).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def rrf_equal(spark, d):
     lex, vec = _lanes(spark, d)
     both = lex.withColumn("weight", F.lit(1.0)).unionByName(vec.withColumn("weight", F.lit(1.0)))
-    return se.rrf(both, "doc_id").select("doc_id", F.round("score", 9).alias("score"), F.col("n_lists").alias("n_lists"))
+    return se.rrf(both, "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("n_lists").alias("n_lists"))
 
 
 def rrf_weighted(spark, d):
     lex, vec = _lanes(spark, d)
     both = lex.withColumn("weight", F.lit(2.0)).unionByName(vec.withColumn("weight", F.lit(0.5)))
-    return se.rrf(both, "doc_id", rank_base=0).select("doc_id", F.round("score", 9).alias("score"), "best_rank")
+    return se.rrf(both, "doc_id", rank_base=0).select("query_id", "doc_id", F.round("score", 9).alias("score"), "best_rank")
 
 
 def pool_cap(spark, d):
     lex, vec = _lanes(spark, d)
     pool = lex.withColumn("lane_order", F.lit(0)).withColumn("is_extra", F.lit(False)).unionByName(vec.withColumn("lane_order", F.lit(1)).withColumn("is_extra", F.col("rank") <= 10))
-    return se.pool_cap(pool, 25, 10).select("doc_id", "lane_order", "rank")
+    return se.pool_cap(pool, 25, 10).select("query_id", "doc_id", "lane_order", "rank")
 
 
 def keep_first_dedup(spark, d):
@@ -238,10 +246,10 @@ SQL = {
     "batch_vector_topk": f"SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='CAST(q.embedding AS DOUBLE[])')} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY rank <= 3",
     "vector_certainty_floor": f"SELECT label AS query_id, count(*) AS n FROM (SELECT a.label, {COS_ANCHOR} AS s FROM embeddings, {ANCHORS} a) WHERE (1 + s) / 2 >= 0.7 GROUP BY label",
     "vector_norms": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",
-    "hybrid_relative": f"WITH l AS ({LEX}), v AS ({VEC}), ls AS (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS l FROM l), vs AS (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS v FROM v) SELECT doc_id, round(CAST(0.65 AS DOUBLE) * coalesce(v, 0) + CAST(0.35 AS DOUBLE) * coalesce(l, 0), 6) AS score FROM vs FULL JOIN ls USING (doc_id)",
-    "rrf_equal": f"SELECT doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score, count(*) AS n_lists FROM (SELECT doc_id, rank FROM ({LEX}) UNION ALL SELECT doc_id, rank FROM ({VEC})) GROUP BY doc_id",
-    "rrf_weighted": f"SELECT doc_id, round(sum(w / (59 + rank)), 9) AS score, min(rank) AS best_rank FROM (SELECT doc_id, rank, CAST(2 AS DOUBLE) AS w FROM ({LEX}) UNION ALL SELECT doc_id, rank, CAST(0.5 AS DOUBLE) FROM ({VEC})) GROUP BY doc_id",
-    "pool_cap": f"WITH p AS (SELECT doc_id, 0 AS lane_order, rank, FALSE AS x FROM ({LEX}) UNION ALL SELECT doc_id, 1, rank, rank <= 10 FROM ({VEC})), k AS (SELECT *, CASE WHEN count(*) OVER () > 25 THEN greatest(25 - sum(x::INT) OVER (), 10) ELSE 999999 END AS keep, sum((NOT x)::INT) OVER (ORDER BY lane_order, rank ROWS UNBOUNDED PRECEDING) AS base FROM p) SELECT doc_id, lane_order, rank FROM (SELECT *, row_number() OVER (ORDER BY lane_order, rank) AS rn FROM k WHERE x OR base <= keep) WHERE rn <= 25",
+    "hybrid_relative": f"WITH l AS ({LEX}), v AS ({VEC}), ls AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM l WINDOW w AS (PARTITION BY query_id)), vs AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM v WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(CAST(0.65 AS DOUBLE) * coalesce(v, 0) + CAST(0.35 AS DOUBLE) * coalesce(l, 0), 6) AS score FROM vs FULL JOIN ls USING (query_id, doc_id)",
+    "rrf_equal": f"SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score, count(*) AS n_lists FROM (SELECT query_id, doc_id, rank FROM ({LEX}) UNION ALL SELECT query_id, doc_id, rank FROM ({VEC})) GROUP BY query_id, doc_id",
+    "rrf_weighted": f"SELECT query_id, doc_id, round(sum(w / (59 + rank)), 9) AS score, min(rank) AS best_rank FROM (SELECT query_id, doc_id, rank, CAST(2 AS DOUBLE) AS w FROM ({LEX}) UNION ALL SELECT query_id, doc_id, rank, CAST(0.5 AS DOUBLE) FROM ({VEC})) GROUP BY query_id, doc_id",
+    "pool_cap": f"WITH p AS (SELECT query_id, doc_id, 0 AS lane_order, rank, FALSE AS x FROM ({LEX}) UNION ALL SELECT query_id, doc_id, 1, rank, rank <= 10 FROM ({VEC})), k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY query_id) > 25 THEN greatest(25 - sum(x::INT) OVER (PARTITION BY query_id), 10) ELSE 999999 END AS keep, sum((NOT x)::INT) OVER (PARTITION BY query_id ORDER BY lane_order, rank ROWS UNBOUNDED PRECEDING) AS base FROM p) SELECT query_id, doc_id, lane_order, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lane_order, rank) AS rn FROM k WHERE x OR base <= keep) WHERE rn <= 25",
     "keep_first_dedup": "SELECT doc_id, content_hash FROM (SELECT doc_id, n_chars, CASE WHEN length(text) > 20 THEN md5(text) ELSE '' END AS content_hash FROM documents) QUALIFY row_number() OVER (PARTITION BY CASE WHEN content_hash = '' THEN 'id:' || doc_id ELSE content_hash END ORDER BY n_chars DESC, doc_id) = 1",
     "where_filter": "SELECT doc_id, length(text) AS priority FROM documents WHERE lang = 'en' AND source = 'src0' AND length(text) >= 1000",
     "query_alpha": rf"SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0.3 ELSE least(CAST(0.65 AS DOUBLE), 0.3 + 0.7 * CAST(len(list_filter(w, lambda x: x IN ({_STOP}))) AS DOUBLE) / len(w)) END, 6) AS alpha FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)",

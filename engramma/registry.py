@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.queries import memory, passages, star
+from engramma.queries import answers, memory, passages, star, stores
 
-MODULES = (passages, memory, star)
+MODULES = (passages, memory, stores, answers, star)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

