@@ -7,13 +7,16 @@ recipe file (documents in ascending id order) and the whole store. Reading recom
 every root from the addresses.
 
 Layout of a store folder: ``chunks`` (Parquet: address, ids - little-endian 16-bit words while the vocabulary fits,
-else 32-bit), ``recipes`` (Parquet, range-partitioned: file, doc_id, key, n_tokens, addresses, root), ``manifest`` (Parquet: file,
-first id position, documents, tokens, root), ``format`` (the vocabulary size, which sets the width).
+else 32-bit), ``recipes`` (Parquet, range-partitioned, at most about ``FILE_ROWS`` documents a file: file, place in it,
+ids before it in the file, doc_id, key, n_tokens, addresses, root), ``manifest`` (Parquet: file, first id position,
+documents, tokens, root), ``store`` (the root over the files' roots), ``format`` (the vocabulary size, which sets the
+width).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -23,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,8 @@ from engramma.storage import new_path, remove, written
 END_ID = 2
 #: A cut falls where the rolling hash has this many zero bits: 256 ids a chunk on average beyond the least.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK, ROLL = 8, 64, 2048, 8
+#: Documents in a recipe file, and in a subtree of its Merkle tree (a power of two).
+FILE_ROWS, SUBTREE = 200_000, 4096
 #: Words kept in a worker's cache, about 150 bytes each; it is emptied when full.
 CACHE_WORDS = 700_000
 
@@ -59,13 +65,39 @@ class _Words(dict):
         return n
 
 
+#: The normaliser and the pre-tokenizer under which words can be encoded one by one: canonical composition, white space to
+#: blanks, lower case; then pieces of letters, single digits and other marks, none with white space, in the byte alphabet.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def encodes_by_word(spec: dict) -> bool:
+    """Whether a tokenizer's own description says that the ids of a text are those of its words, split at ASCII white space, in a row.
+
+    It must have the normaliser and pre-tokenizer above, a merge model without dropout, and only special tokens that
+    hold ``<|`` and no white space and take none with them.
+    """
+    marks = all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback") and model.get("unk_token") is None and model.get("continuing_subword_prefix") is None
+    return marks and plain and all(spec.get(k) == v for k, v in _BY_WORD.items())
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross ASCII white space, one word at a time through a cache.
 
     Words are lower-cased A-Z first, as the tokenizer does; those that may hold a special token's string (``<|``) are
     left as they are. Plain letter words go straight to the tokenizer's merge model, everything else through the whole
-    tokenizer. The ids equal those of encoding the whole text; a tokenizer for which probes show otherwise encodes
-    whole texts.
+    tokenizer. A tokenizer whose description is not one that allows this encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -76,11 +108,8 @@ class WordEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
         self._reset()
-        probe = ["", "a", "The tokens, shbleonati zzqxj.", "\xc9t\xe9 \xdcber stra\xdfe, \xf1o\n\tx", "It's <|endoftext|> #%& 12.5 \u65e5\u672c e\u0301"]
-        self.by_word = True
-        ids, offs = self.encode(probe)
-        self.by_word = all(ids[offs[i] : offs[i + 1]].tolist() == self._whole(t) for i, t in enumerate(probe))
-        self._reset()
+        with open(path, encoding="utf-8") as f:
+            self.by_word = encodes_by_word(json.load(f))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -234,7 +263,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, **kw) -> str:
-    """Writes the store and returns its folder."""
+    """Writes the store and returns its folder.
+
+    Null texts are empty documents (an end id only), null ids come first; rows that repeat an id stay apart, in the
+    order of their texts' hash; an empty table gives a store without files. Other columns are not read, whatever their
+    names. A document beyond ``MAX_CHUNK`` ids without a mark is cut there.
+    """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-store")
     staged_at = f"{folder}/staged"
@@ -244,20 +278,51 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, **kw
     staged = spark.read.schema(T._parse_datatype_string(_STAGED)).parquet(staged_at)
     pairs = staged.select(F.explode(F.arrays_zip("addresses", "chunks")).alias("c")).select(F.col("c.addresses").alias("address"), F.col("c.chunks").alias("ids")).where("ids is not null")
     pairs.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = staged.select("doc_id", "key", "n_tokens", "addresses", "root").repartitionByRange(F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
-    recipes.withColumn("file", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
+    rows = staged.count()
+    files = max(1, -(-rows // FILE_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1000)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    recipes = staged.select("doc_id", "key", "n_tokens", "addresses", "root").repartitionByRange(files, *order).sortWithinPartitions(*order)
+    recipes.mapInArrow(_placed, "file int, place bigint, before bigint, doc_id bigint, key bigint, n_tokens bigint, addresses array<binary>, root binary").write.parquet(f"{folder}/recipes")
     remove(spark, staged_at)
     manifest = file_roots(spark.read.parquet(f"{folder}/recipes"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long")).coalesce(1).write.parquet(f"{folder}/manifest")
+    spark.createDataFrame([(bytearray(store_root(spark, folder)),)], "root binary").coalesce(1).write.parquet(f"{folder}/store")
     return folder
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted recipes with their file (the partition), their place in it and the ids before them there."""
+    file, place, total = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        n = b.column("n_tokens").to_numpy()
+        upto = total + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), file, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(upto - n), *b.columns], ["file", "place", "before", *b.schema.names])
+        place, total = place + len(n), int(upto[-1]) if len(n) else total
+
+
+def _rooted(leaf_rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, documents, tokens, root) of groups of rows (keys, ``order``, documents, tokens, root), of bounded size: a group's root is over its rows' roots in order."""
+    g = leaf_rows.groupBy(*keys).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct(order, "root"))).alias("leaves"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots = [merkle_root([x["root"] for x in leaves]) for leaves in b.column("leaves").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(roots, pa.binary())], [*b.schema.names[:-1], "root"])
+
+    kinds = dict(leaf_rows.dtypes)
+    return g.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", documents bigint, tokens bigint, root binary")
+
+
 def file_roots(recipes: DataFrame) -> DataFrame:
-    """(file, documents, tokens, root) of recipe files; a file's root is over its documents' roots in order."""
-    root = F.udf(lambda leaves: merkle_root([bytes(x) for x in leaves]), T.BinaryType())  # a call a file
-    leaf = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "key", "root"))), lambda x: x["root"])
-    return recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), leaf.alias("leaves")).select("file", "documents", "tokens", root("leaves").alias("root"))
+    """(file, documents, tokens, root) of recipe files; a file's root is over its documents' roots in order, a subtree to a row first."""
+    leaves = recipes.select("file", F.floor(F.col("place") / SUBTREE).cast("int").alias("part"), "place", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), "root")
+    return _rooted(_rooted(leaves, ["file", "part"], "place"), ["file"], "part")
+
+
+def store_root(spark: SparkSession, folder: str) -> bytes:
+    """The root over the files' roots; 32 bytes a file come to the driver."""
+    return merkle_root([bytes(r["root"]) for r in spark.read.parquet(f"{folder}/manifest").select("file", "root").orderBy("file").collect()])
 
 
 @lru_cache(maxsize=4096)
@@ -303,29 +368,25 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
 
     facts = chunks.select("address", "ids").mapInArrow(verify, "address binary, n bigint, crc bigint")
-    uses = recipes.select("file", "doc_id", "key", F.posexplode("addresses").alias("seq", "address"))
-    rows = uses.join(facts, "address", "left").groupBy("file", "doc_id", "key").agg(F.collect_list(F.struct("seq", "address", "n", "crc")).alias("parts"))
-    # repeated rows have the same key and the same recipe
-    docs = recipes.select("file", "doc_id", "key", "n_tokens", "root", F.size("addresses").alias("k")).withColumn("copy", F.row_number().over(Window.partitionBy("file", "doc_id", "key").orderBy("k")))
-    rows = docs.join(rows, (docs.file == rows.file) & docs.doc_id.eqNullSafe(rows.doc_id) & docs.key.eqNullSafe(rows.key)).select(docs.file, docs.doc_id, docs.key, "copy", "n_tokens", "root", "k", "parts")
+    uses = recipes.select("file", "place", F.posexplode("addresses").alias("seq", "address"))
+    parts = uses.join(facts, "address", "left").groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "n", "crc"))).alias("parts"))
+    rows = recipes.select("file", "place", "before", "doc_id", "n_tokens", "root", F.size("addresses").alias("k")).join(parts, ["file", "place"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crcs = []
             for doc, n, root, k, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "k", "parts")), strict=True):
-                parts = [p for _, p in sorted({p["seq"]: p for p in parts}.items())]
                 if len(parts) != k or any(p["n"] is None for p in parts) or sum(p["n"] for p in parts) != n or merkle_root([p["address"] for p in parts]) != root:
                     raise ValueError(f"the recipe of document {doc} does not match its chunks")
                 crc = 0
                 for p in parts:
                     crc = crc_join(crc, p["crc"], 4 * p["n"])
                 crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("doc_id"), b.column("key"), b.column("copy"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["file", "doc_id", "key", "copy", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("before"), b.column("doc_id"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["file", "before", "doc_id", "n_tokens", "ids_crc32"])
 
-    out = rows.mapInArrow(join, "file int, doc_id bigint, key bigint, copy int, n_tokens bigint, ids_crc32 bigint")
-    order = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "key", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.join(F.broadcast(manifest.select("file", F.col("start").alias("base"))), "file")
-    return out.select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
+    out = rows.mapInArrow(join, "file int, before bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    out = out.join(F.broadcast(manifest.select("file", F.col("start").alias("base"))), "file")  # a row a file
+    return out.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def vocab_of(spark: SparkSession, folder: str) -> int:
@@ -337,8 +398,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, ids) with every document rebuilt from its recipe."""
     chunks, recipes = (spark.read.parquet(f"{folder}/{x}") for x in ("chunks", "recipes"))
     kind = _dtype(vocab_of(spark, folder))
-    uses = recipes.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode("addresses").alias("seq", "address"))
-    rows = uses.join(chunks, "address").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    uses = recipes.select("file", "place", "doc_id", F.posexplode("addresses").alias("seq", "address"))
+    rows = uses.join(chunks, "address").groupBy("file", "place", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,7 +410,9 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Recipe files whose documents, tokens or root differ from the manifest: none in a sound store."""
+    """Recipe files whose documents, tokens or root differ from the manifest: none in a sound store. A manifest that does not match the store's root is an error."""
+    if store_root(spark, folder) != bytes(spark.read.parquet(f"{folder}/store").first()["root"]):
+        raise ValueError("the manifest does not match the store's root")
     now = file_roots(spark.read.parquet(f"{folder}/recipes")).select("file", F.struct("documents", "tokens", "root").alias("now"))
     then = spark.read.parquet(f"{folder}/manifest").select("file", F.struct("documents", "tokens", "root").alias("then"))
     return now.join(then, "file", "full").where(~F.col("now").eqNullSafe(F.col("then"))).select("file")
