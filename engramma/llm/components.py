@@ -27,3 +27,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = nxt.select("id", "l")
         if not nxt.where("moved").limit(1).count():
             return labels.select("id", F.col("l").alias("component"))
+
+
+def joined_components(labels: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``labels`` (id, component) after ``more`` edges (a, b): only the components that they join are searched anew.
+
+    Ends that no label knows are components of their own.
+    """
+    known = lambda k: labels.select(F.col("id").alias(k), F.col("component").alias(f"__{k}"))
+    e = more.select("a", "b").join(known("a"), "a", "left").join(known("b"), "b", "left")
+    e = written(e.select("a", "b", F.coalesce("__a", "a").alias("x"), F.coalesce("__b", "b").alias("y")), f"{name}-joined")
+    up = components(e.select(F.col("x").alias("a"), F.col("y").alias("b")), name).select(F.col("id").alias("__c"), F.col("component").alias("__up"))
+    ends = e.select(F.col("a").alias("id"), F.col("x").alias("component")).union(e.select("b", "y")).join(labels.select("id"), "id", "left_anti").distinct()
+    every = labels.select("id", "component").unionByName(ends)
+    return written(every.join(up, F.col("component") == F.col("__c"), "left").select("id", F.coalesce("__up", "component").alias("component")), f"{name}-labels")

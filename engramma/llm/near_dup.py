@@ -14,6 +14,10 @@ sets then meet in one-deletion neighbourhoods (segments that differ in one eleme
 left in another component than the largest of its band is held against all heavy sets of the band, in blocks, by
 counting equal segments, and compared exactly where the count allows the similarity.
 
+Copies and common passages are reduced where they are read: of the equal sets in a slice of the input only the smallest
+id is indexed, and a segment that many sets of a slice share is dealt to its bucket once, by the smallest id, marked as
+common; what the others lose by it goes another way. So no bucket has to hold all holders of a common segment.
+
 Segments are 32-bit hashes within a bucket, packed into binary columns, so that a shuffle moves about eight bytes a
 segment; buckets are sorted and matched in numpy, a range of hashes at a time. Shingles are 64-bit hashes of words, and
 sets whose 64-bit sums of mixed shingles agree count as equal in a bucket.
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramma.llm.bytekit import ASCII_LOWER, NOT_SPACE, U, buffers, mix, pieces, shingles, span_hashes, spans
-from engramma.llm.components import components
+from engramma.llm.components import components, joined_components
 from engramma.storage import written
 
 #: Sets in a run of equal segments that are paired with each other; larger runs are paired with their smallest id.
@@ -38,10 +42,12 @@ RUN_PAIRS = 8
 SINGLE = 48
 #: Segments in a bucket, and in a range of it that is matched at a time.
 BUCKET_SEGMENTS, RANGE_SEGMENTS = 4_000_000, 1_000_000
+#: Sets of one slice that make a segment common.
+LOCAL_RUN = 16
 #: Bytes of text whose segments are dealt to buckets at a time.
 SLICE_BYTES = 4_000_000
-#: Heavy sets, and queries among them, in a cell that counts segments.
-CELL_SETS = 10_000
+#: Heavy sets, and queries among them, in a cell that counts segments, and the bytes of their shingles.
+CELL_SETS, CELL_BYTES = 2000, 8_000_000
 #: Ids (8 bytes each) that may be broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
 _G = U(0x9FB21C651E98DF25)
@@ -63,8 +69,8 @@ class Scheme:
     """Bands of set sizes for one threshold, in percent, and the segments of a set in a band's scheme."""
 
     def __init__(self, percent: int):
-        if not 50 <= percent <= 100:
-            raise ValueError("the threshold must be from 0.5 to 1")
+        if not 50 <= percent <= 95:
+            raise ValueError("the threshold must be from 0.5 to 0.95")
         self.percent = percent
         lows = [2]
         while lows[-1] < 2**40:
@@ -105,11 +111,13 @@ class Scheme:
         return mix(sums + place), size, mix(sums[of] - g + place[of]), of
 
 
-_PACKED = "bucket int, ids binary, tags binary, sizes binary, bands binary, needs binary, counts binary, sigs binary"
+_PACKED = "bucket int, ids binary, tags binary, sizes binary, bands binary, needs binary, counts binary, sigs binary, found binary"
+#: Marks a header in ``bands``: its segments are common in a slice of the input.
+COMMON = 0x8000
 
 
-def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, bands: np.ndarray, needs: np.ndarray, owner: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    """A row a bucket: the header of each set that has segments in it, and 32 bits of each segment."""
+def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, bands: np.ndarray, needs: np.ndarray, owner: np.ndarray, sigs: np.ndarray, found: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row a bucket: the header of each set that has segments in it, and 32 bits of each segment; what was found already is in a row of its own, in some bucket."""
     bucket = ((sigs >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
     bucket, owner, sigs = bucket[order], owner[order], sigs[order]
@@ -120,15 +128,17 @@ def _pack(buckets: int, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray, ba
         head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
         d = o[head]
         counts = np.diff(np.concatenate([head, [z - a]]))
-        rows.append((int(bucket[a]), ids[d].tobytes(), tags[d].tobytes(), sizes[d].tobytes(), bands[d].tobytes(), needs[d].tobytes(), counts.astype(np.uint32).tobytes(), sigs[a:z].astype(np.uint32).tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 8
+        rows.append((int(bucket[a]), ids[d].tobytes(), tags[d].tobytes(), sizes[d].tobytes(), bands[d].tobytes(), needs[d].tobytes(), counts.astype(np.uint32).tobytes(), sigs[a:z].astype(np.uint32).tobytes(), b""))
+    if found is not None and len(found):
+        rows.append((int(mix(found["b"][:1].view(U))[0] % U(buckets)), *[b""] * 7, found.tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 9
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in _PACKED.split(", ")])
 
 
 def _unpack(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     join = lambda k, t: np.concatenate([buffers(r.column(k))[0].view(t) for r in rows])
     counts = join("counts", np.uint32)
-    return join("ids", np.int64), join("tags", U), join("sizes", np.uint32), join("bands", np.uint8), join("needs", np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts), join("sigs", np.uint32)
+    return join("ids", np.int64), join("tags", U), join("sizes", np.uint32), join("bands", np.uint16), join("needs", np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts), join("sigs", np.uint32)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -164,6 +174,7 @@ def _distinct(*cols: np.ndarray) -> list[np.ndarray]:
 
 
 _FOUND = "kind tinyint, a bigint, b bigint, band int, n bigint, need_a int, need_b int"
+_FOUND_TYPE = np.dtype([("kind", "i1"), ("a", "<i8"), ("b", "<i8"), ("band", "<i4"), ("n", "<i8"), ("need_a", "<i4"), ("need_b", "<i4")])
 
 
 def _found(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndarray | None = None, need_a: np.ndarray | None = None, need_b: np.ndarray | None = None) -> pa.RecordBatch:
@@ -172,19 +183,66 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b", "band", "n", "need_a", "need_b"])
 
 
+def _found_rows(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndarray, need: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), _FOUND_TYPE)
+    for name, x in (("kind", kind), ("a", a), ("b", b), ("band", band), ("n", n), ("need_a", need), ("need_b", 1)):
+        out[name] = x
+    return out
+
+
+def _as_batch(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in _FOUND_TYPE.names], list(_FOUND_TYPE.names))
+
+
+def _fit(percent: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    return percent * np.maximum(x, y) <= 100 * np.minimum(x, y)
+
+
+def common_in_slice(ids: np.ndarray, sizes: np.ndarray, bands: np.ndarray, needs: np.ndarray, owner: np.ndarray, sigs: np.ndarray, percent: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What segments that at least ``run`` sets of a slice share come to: (kept, common, found).
+
+    Of such a run the smallest id keeps its entry, which is ``common``; for the others, found rows say how many
+    segments each lost (kind 1) and with whom it shares them (kind 3).
+    """
+    order = np.lexsort((ids[owner], sigs))
+    head = np.flatnonzero(_heads(sigs[order]))
+    length = np.diff(np.concatenate([head, [len(order)]]))
+    hot = np.repeat(length >= run, length)
+    first = np.zeros(len(order), bool)
+    first[head] = True
+    kept, common = np.ones(len(order), bool), np.zeros(len(order), bool)
+    kept[order[hot & ~first]] = False
+    common[order[hot & first]] = True
+    x, pivot = owner[order[hot & ~first]], owner[np.repeat(order[head], length)[hot & ~first]]
+    if not len(x):
+        return kept, common, np.zeros(0, _FOUND_TYPE)
+    o, n = np.unique(x, return_counts=True)
+    pairs = np.unique(np.stack([pivot, x], 1), axis=0)
+    pairs = pairs[_fit(percent, sizes[pairs[:, 0]], sizes[pairs[:, 1]]) & (ids[pairs[:, 0]] != ids[pairs[:, 1]])]
+    lost = _found_rows(1, ids[o], ids[o], bands[o], n, needs[o])
+    return kept, common, np.concatenate([lost, _found_rows(3, ids[pairs[:, 0]], ids[pairs[:, 1]], bands[pairs[:, 0]], np.ones(len(pairs)), np.ones(len(pairs)))])
+
+
 def match_bucket(rows: list[pa.RecordBatch], percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
     """What the runs of equal segments in a bucket tell, copies of a set counting as one.
 
     kind 0: pairs that meet in rare runs, how often, and how often each of them must in all; kind 3: pairs of a large
     run's smallest id with the others; kind 1: how many of a set's segments large runs took.
     """
+    for r in rows:
+        known = buffers(r.column("found"))[0]
+        if len(known):
+            yield _as_batch(known.view(_FOUND_TYPE))
     ids, tags, sizes, bands, needs, owners, sigs = _unpack(rows)
     rows.clear()
     # a set with no segment to spare is heavy from the start; of equal ones the smallest
-    order = np.lexsort((ids, tags, bands))
-    poor = order[_heads(bands[order], tags[order])]
+    own = bands & ~np.uint16(COMMON)
+    order = np.lexsort((ids, tags, own))
+    poor = order[_heads(own[order], tags[order])]
     poor = poor[needs[poor] <= 0]
-    yield _found(1, ids[poor], ids[poor], bands[poor], np.zeros(len(poor)), needs[poor])
+    yield _found(1, ids[poor], ids[poor], own[poor], np.zeros(len(poor)), needs[poor])
     ranges = -(-len(sigs) // RANGE_SEGMENTS)
     for r in range(ranges):
         part = np.flatnonzero(sigs.astype(U) * U(ranges) >> U(32) == r) if ranges > 1 else slice(None)
@@ -192,22 +250,28 @@ def match_bucket(rows: list[pa.RecordBatch], percent: int, run_pairs: int) -> It
 
 
 def _match(ids, tags, sizes, bands, needs, owner, sig, percent: int, run_pairs: int) -> Iterator[pa.RecordBatch]:
-    """``match_bucket`` for the segments ``sig`` of the sets ``owner``."""
+    """``match_bucket`` for the segments ``sig`` of the sets ``owner``. A run with a common entry is large whatever its length."""
+    marked, bands = bands >= COMMON, (bands & ~np.uint16(COMMON)).astype(np.int64)
     order = np.argsort(sig, kind="stable")
     sig, owner = sig[order], owner[order]
     new = _heads(sig)
     again = ~new
     again[:-1] |= again[1:].copy()
+    again |= marked[owner]
     sig, owner = sig[again], owner[again]
+    if not len(sig):
+        return
     order = np.lexsort((ids[owner], tags[owner], sig))
     sig, owner = sig[order], owner[order]
+    head = np.flatnonzero(_heads(sig))
+    common = np.repeat(np.logical_or.reduceat(marked[owner], head), np.diff(np.concatenate([head, [len(sig)]])))
     first = _heads(sig, tags[owner])  # of equal sets, the smallest id
-    sig, owner = sig[first], owner[first]
+    sig, owner, common = sig[first], owner[first], common[first]
     order = np.lexsort((ids[owner], sig))
-    sig, owner = sig[order], owner[order]
+    sig, owner, common = sig[order], owner[order], common[order]
     head = np.flatnonzero(_heads(sig))
     run = np.diff(np.concatenate([head, [len(sig)]]))
-    size = np.repeat(run, run)
+    size = np.where(common, len(ids) + run_pairs + 1, np.repeat(run, run))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, run_pairs):
         i = np.flatnonzero((size[d:] <= run_pairs) & (sig[d:] == sig[:-d])) if len(sig) > d else np.zeros(0, np.int64)
@@ -215,8 +279,7 @@ def _match(ids, tags, sizes, bands, needs, owner, sig, percent: int, run_pairs:
         right.append(owner[i + d])
 
     def sizes_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nx, ny = sizes[x].astype(np.int64), sizes[y].astype(np.int64)
-        fit = (percent * np.maximum(nx, ny) <= 100 * np.minimum(nx, ny)) & (ids[x] != ids[y])
+        fit = _fit(percent, sizes[x], sizes[y]) & (ids[x] != ids[y])
         return x[fit], y[fit]
 
     a, b = sizes_fit(np.concatenate(left), np.concatenate(right))
@@ -253,7 +316,7 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, size bigint, hi bigint, lo bigint")
 
 
-def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, text_col: str, local_run: int) -> DataFrame:
     """The packed segments of all sets of two shingles or more, dealt by bucket."""
 
     def run(batches):
@@ -263,21 +326,34 @@ def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, tex
                 part = b.slice(k, z - k)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 head, tags, sizes, bands, needs, sigs, counts = [], [], [], [], [], [], []
+                sets: dict[int, tuple[int, np.ndarray]] = {}
                 for i, s in shingle_sets(part.column(1), n):
-                    if len(s) < 2:
-                        continue
-                    tag = mix(s).sum(dtype=U)
+                    if len(s) >= 2:
+                        tag = int(mix(s).sum(dtype=U))
+                        if tag not in sets or ids[i] < sets[tag][0]:  # of equal sets, the smallest id
+                            sets[tag] = int(ids[i]), s
+                for tag, (i, s) in sets.items():
                     for band in scheme.schemes(len(s)):
                         x = scheme.segments(s, band)[0]
-                        head.append(ids[i])
+                        head.append(i)
                         tags.append(tag)
                         sizes.append(len(s))
                         bands.append(band)
                         needs.append(len(x) - scheme.differ(len(s), band))
                         sigs.append(x)
                         counts.append(len(x))
+                sets.clear()
                 if sigs:
-                    yield _pack(buckets, np.array(head, np.int64), np.array(tags, U), np.array(sizes, np.uint32), np.array(bands, np.uint8), np.array(needs, np.int32), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
+                    h = [np.array(head, np.int64), np.array(tags, U), np.array(sizes, np.uint32), np.array(bands, np.uint16), np.array(needs, np.int32)]
+                    owner, sig = np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs)
+                    kept, common, found = common_in_slice(h[0], h[2], h[3], h[4], owner, sig, percent, local_run)
+                    # common entries hang on headers of their own
+                    owner = np.where(common, owner + len(counts), owner)[kept]
+                    sig = sig[kept]
+                    order = np.argsort(owner, kind="stable")
+                    h = [np.concatenate([c, c]) for c in h]
+                    h[3][len(counts) :] |= np.uint16(COMMON)
+                    yield _pack(buckets, *h, owner[order], sig[order], found)
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return _dealt(rows.mapInArrow(run, _PACKED), buckets)
@@ -324,13 +400,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(found: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify, and the heavy sets (id, band).
 
     A pair stays if it meets in as many rare segments as either set must share with a partner, after those that large
-    runs took from it; a large run's pivot is paired with heavy sets only, if it is heavy itself.
+    runs took from it; a large run's pivot is paired with heavy sets only, if it is heavy itself. ``copies`` (id, rep)
+    are the ids whose sets have a smaller id elsewhere: what slices found of them is their representative's.
     """
-    lost = found.where("kind = 1").groupBy(F.col("a").alias("id"), "band").agg(F.sum("n").alias("lost"), F.max("need_a").alias("need"))
+    of_copies = copies.select(F.col("id").alias("a"))
+    lost = found.where("kind = 1").join(of_copies, "a", "left_anti").groupBy(F.col("a").alias("id"), "band").agg(F.sum("n").alias("lost"), F.max("need_a").alias("need"))
     lost = written(lost, "near-lost")
     heavy = lost.where("need <= lost").select("id", "band")
     met = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("n").alias("met"), F.max("need_a").alias("na"), F.max("need_b").alias("nb"))
@@ -338,6 +416,9 @@ def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = met.join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left")
     enough = F.greatest(F.col("na") - F.coalesce("lost_a", F.lit(0)), F.col("nb") - F.coalesce("lost_b", F.lit(0)))
     stars = found.where("kind = 3").select("a", "b", "band").distinct()
+    for k in ("a", "b"):
+        stars = stars.join(copies.select(F.col("id").alias(k), "rep"), k, "left").withColumn(k, F.coalesce("rep", k)).drop("rep")
+    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct()
     for k in ("a", "b"):
         stars = stars.join(heavy.select(F.col("id").alias(k), "band"), [k, "band"], "left_semi")
     return met.where(F.col("met") >= enough).select("a", "b").union(stars.select("a", "b")).distinct(), heavy
@@ -363,7 +444,7 @@ def _heavy_index(heavy: DataFrame, percent: int, buckets: int) -> DataFrame:
                         sigs.append(x)
                         counts.append(len(x))
             if sigs:
-                yield _pack(buckets, np.array(head, np.int64), mix(np.array(tags, np.int64).view(U)), np.array(sizes, np.uint32), np.array(bands, np.uint8), np.array(worths, np.int32), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
+                yield _pack(buckets, np.array(head, np.int64), mix(np.array(tags, np.int64).view(U)), np.array(sizes, np.uint32), np.array(bands, np.uint16), np.array(worths, np.int32), np.repeat(np.arange(len(counts)), counts), np.concatenate(sigs))
 
     return _dealt(heavy.select("id", "band", "shingles", "component").mapInArrow(run, _PACKED), buckets)
 
@@ -428,17 +509,20 @@ def counted_links(heavy: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between heavy sets (id, band, shingles, component) of different components.
 
     Of two sets in different components one is outside the largest of its band: those are the queries, held against
-    all sets of the band, a shard of sets and a block of queries to a cell.
+    all sets of the band, a shard of sets and a block of queries to a cell. Cells are bounded in sets and in bytes.
     """
     top = heavy.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
-    h = written(heavy.join(top, "band").select("id", "band", "shingles", "component", (F.col("component") != F.col("top")).alias("q")), "near-rest")
-    total, asked = h.count(), h.where("q").count()
-    shards, blocks = max(1, -(-total // CELL_SETS)), max(1, -(-asked // CELL_SETS))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    h = written(heavy.join(F.broadcast(top), "band").select("id", "band", "shingles", "component", (F.col("component") != F.col("top")).alias("q")), "near-rest")
+    # a row a band: how many shards its sets and blocks its queries need
+    size, asked = F.length("shingles"), F.col("q").cast("long")
+    need = lambda sets, held: F.greatest(F.lit(1), F.ceil(sets / CELL_SETS), F.ceil(held / CELL_BYTES)).cast("long")
+    bands = h.groupBy("band").agg(need(F.count("*"), F.sum(size)).alias("shards"), need(F.sum(asked), F.sum(asked * size)).alias("blocks"))
+    h = h.join(F.broadcast(bands), "band")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     cols = ["id", "band", "shingles", "component", "shard", "block", "q"]
-    data = h.withColumn("shard", deal(shards)).withColumn("block", every(blocks)).withColumn("q", F.lit(False)).select(*cols)
-    queries = h.where("q").withColumn("block", deal(blocks)).withColumn("shard", every(shards)).select(*cols)
+    data = h.withColumn("shard", deal("shards")).withColumn("block", every("blocks")).withColumn("q", F.lit(False)).select(*cols)
+    queries = h.where("q").withColumn("block", deal("blocks")).withColumn("shard", every("shards")).select(*cols)
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t.column("q").to_numpy(zero_copy_only=False)
@@ -455,8 +539,8 @@ def _label(ids: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     return ids.join(lab, F.col(key) == F.col("__i"), "left").withColumn("component", F.coalesce("component", F.col(key))).drop("__i")
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", run_pairs: int = RUN_PAIRS, bucket_segments: int = BUCKET_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """The set table (id, size, hi, lo) and verified links (a, b) that connect all that is similar.
+def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", run_pairs: int = RUN_PAIRS, bucket_segments: int = BUCKET_SEGMENTS, local_run: int = LOCAL_RUN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set table (id, size, hi, lo, rep), verified links (a, b) that connect all that is similar, and the components that they make.
 
     Equal sets are represented by their smallest id. Links inside one component need not all be there; no two sets
     of the threshold's similarity are left in different components.
@@ -464,21 +548,27 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
     table = written(set_table(docs, n, id_col, text_col), "near-sets")
     total = table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
     buckets = max(1, -(-int(total) // bucket_segments))
+    known = table.where("size > 0 and id is not null")
+    groups = known.groupBy("size", "hi", "lo").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("size", "hi", "lo", "rep")
+    table = written(table.join(groups, ["size", "hi", "lo"], "left").withColumn("rep", F.coalesce("rep", "id")), "near-reps")
+    # an id that repeats with a set of its own speaks for itself
+    copies = table.where("rep <> id").groupBy("id").agg(F.min("rep").alias("rep")).join(table.where("rep = id").select("id"), "id", "left_anti")
+    copies = written(copies, "near-copies")
 
     def match(batches):
         for rows in _by_bucket(batches):
             yield from match_bucket(rows, percent, run_pairs)
 
-    found = written(_index(docs, n, percent, buckets, id_col, text_col).mapInArrow(match, _FOUND), "near-found")
-    pairs, heavy = candidates(found)
+    found = written(_index(docs, n, percent, buckets, id_col, text_col, max(local_run, run_pairs + 1)).mapInArrow(match, _FOUND), "near-found")
+    pairs, heavy = candidates(found, copies)
     pairs, heavy = written(pairs, "near-pairs"), written(heavy, "near-heavy")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(heavy.select("id")).distinct()
     sets = written(_sets_of(docs, written(wanted, "near-wanted"), n, id_col, text_col), "near-wanted-sets")
     linked = written(verify(pairs, sets, percent), "near-links")
+    labels = components(linked, "near")
     if not heavy.limit(1).count():
-        return table, linked
+        return table, linked, labels
 
-    labels = components(linked, "near")
     full = _label(heavy.join(sets, "id"), labels)
     weight = full.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
     few = max(1, -(-2 * int(weight) // bucket_segments))
@@ -488,10 +578,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
             yield from match_heavy(rows, percent, 2 * run_pairs)
 
     again = _heavy_index(full, percent, few).mapInArrow(match_again, _FOUND).select("a", "b").distinct()
-    linked = linked.unionByName(written(verify(again, sets, percent), "near-heavy-links"))
-    labels = components(linked, "near-again")
+    more = written(verify(again, sets, percent), "near-heavy-links")
+    labels = joined_components(labels, more, "near-again")
     rest = _label(heavy.join(sets, "id"), labels).select("id", "band", "shingles", "component")
-    return table, linked.unionByName(written(counted_links(rest, percent), "near-last-links"))
+    last = written(counted_links(rest, percent), "near-last-links")
+    return table, linked.unionByName(more).unionByName(last), joined_components(labels, last, "near-last")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -502,11 +593,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     Rows that repeat an id share a component; a null id links with nothing and has a null component. Nothing else of
     ``docs`` is read.
     """
-    table, linked = links(docs, n, percent, id_col, text_col, **kw)
-    labels = components(linked, "near-final")
-    known = table.where("size > 0 and id is not null")
-    copies = known.groupBy("size", "hi", "lo").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("size", "hi", "lo", "rep")
-    rows = table.join(copies, ["size", "hi", "lo"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    rows, _, labels = links(docs, n, percent, id_col, text_col, **kw)
     # ids that repeat with different texts join their representatives' components
     return _label(rows, labels, "rep").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
@@ -517,7 +604,7 @@ def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     ``links`` leaves no such pair in two components, so sets meet inside their component only, by the prefixes of their
     shingles in hash order; at the first that they share, what is left of both must do for the threshold.
     """
-    labels = components(links(docs, n, percent, id_col, text_col, **kw)[1], "near-join")
+    labels = links(docs, n, percent, id_col, text_col, **kw)[2]
     sets = written(_label(_sets_of(docs, labels, n, id_col, text_col).dropDuplicates(["id", "shingles"]), labels), "near-join-sets")
 
     def heads(batches):
