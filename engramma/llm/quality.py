@@ -61,6 +61,32 @@ class Attention:
         return self.score(*features(texts))
 
 
+def gradients(m: Attention, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the mean log loss by each parameter."""
+    p = m.p
+    logit, k = m.bags(x, at)
+    d = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    rows = np.repeat(np.arange(len(y)), k["n"])
+    dz = d[:, None] * p["c"]
+    de = k["a"][:, None] * dz[rows]
+    da = (dz[rows] * k["e"]).sum(1)
+    ds = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, at[:-1]), k["n"]))
+    gate = ds[:, None] * p["w"]
+    dtv = gate * k["su"] * (1 - k["tv"] ** 2)
+    dsu = gate * k["tv"] * k["su"] * (1 - k["su"])
+    de += dtv @ p["v"].T + dsu @ p["u"].T
+    dh = de * (1 - k["e"] ** 2)
+    return {
+        "c": k["z"].T @ d,
+        "cb": np.array([d.sum()]),
+        "w": (k["tv"] * k["su"]).T @ ds,
+        "v": k["e"].T @ dtv,
+        "u": k["e"].T @ dsu,
+        "e": k["x"].T @ dh,
+        "eb": dh.sum(0),
+    }
+
+
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Attention:
     """Full-batch Adam on the log loss with a small weight decay. Bags must not be empty."""
     x, y = x.astype(np.float32), y.astype(np.float32)
@@ -74,19 +100,7 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = STEPS, seed:
     m.p = {name: v.astype(np.float32) for name, v in m.p.items()}
     p, mo, ve = m.p, {}, {}
     for t in range(1, steps + 1):
-        logit, k = m.bags(x, at)
-        d = (1 / (1 + np.exp(-logit)) - y) / len(y)
-        rows = np.repeat(np.arange(len(y)), k["n"])
-        dz = d[:, None] * p["c"]
-        de = k["a"][:, None] * dz[rows]
-        da = (dz[rows] * k["e"]).sum(1)
-        ds = k["a"] * (da - np.repeat(np.add.reduceat(k["a"] * da, at[:-1]), k["n"]))
-        gate = ds[:, None] * p["w"]
-        dtv, dsu = gate * k["su"] * (1 - k["tv"] ** 2), gate * k["tv"] * k["su"] * (1 - k["su"])
-        de += dtv @ p["v"].T + dsu @ p["u"].T
-        dh = de * (1 - k["e"] ** 2)
-        g = {"c": k["z"].T @ d, "cb": np.array([d.sum()]), "w": (k["tv"] * k["su"]).T @ ds, "v": k["e"].T @ dtv, "u": k["e"].T @ dsu, "e": k["x"].T @ dh, "eb": dh.sum(0)}
-        for name, grad in g.items():
+        for name, grad in gradients(m, x, at, y).items():
             grad = grad + 1e-4 * p[name]
             mo[name] = 0.9 * mo.get(name, 0) + 0.1 * grad
             ve[name] = 0.999 * ve.get(name, 0) + 0.001 * grad * grad
@@ -105,6 +119,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ats)
 
 
+def _in_fixed_order(t: pa.Table) -> pa.Table:
+    """The sampled rows by length, label and features, so that the order in which they arrive doesn't matter."""
+    if not t.num_rows:
+        return t
+    first = [sum(v[:FEATURES]) for v in t["x"].to_pylist()]
+    keys = pa.table({"n": pa.compute.list_value_length(t["x"]), "y": t["y"], "s": pa.array(first, pa.float64())})
+    return t.take(pa.compute.sort_indices(keys, [(k, "ascending") for k in ("n", "y", "s")]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, residue: int = 0, bound: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Attention:
     """The model of a bounded sample of labelled rows; the features of those rows, about 100 kB a thousand passages, come to the driver.
 
@@ -118,8 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             bags = [x[at[i] : at[i + 1]].ravel() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.float32())), b.column(1)], ["x", "y"])
 
-    t = sample.mapInArrow(run, "x array<float>, y int").toArrow()
-    t = t.take(pa.compute.sort_indices(pa.table({"n": pa.compute.list_value_length(t["x"]), "y": t["y"], "s": pa.array([sum(v[:24]) for v in t["x"].to_pylist()], pa.float64())}), [("n", "ascending"), ("y", "ascending"), ("s", "ascending")])) if t.num_rows else t
+    t = _in_fixed_order(sample.mapInArrow(run, "x array<float>, y int").toArrow())
     n = t["x"].combine_chunks()
     lens = pa.compute.list_value_length(n).to_numpy(zero_copy_only=False) // FEATURES if t.num_rows else np.zeros(0, int)
     keep = lens > 0
@@ -131,7 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, residue: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. Nothing but the text enters a score; rows that repeat score alike."""
+    """doc_id, held_out, score, predicted of every row, in columns of these names only.
+
+    Nothing but the text enters a score: null and empty texts score as one empty passage, rows that repeat score alike,
+    a score of exactly ``threshold`` is predicted 1; texts of any length are read whole. An id with several labels
+    counts with the least, null labels and ids not at all. Extra columns are not read, whatever their names; an empty
+    table gives no rows.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col, modulus=modulus, residue=residue)
     return digest(docs, model, held_out(F.col(id_col), modulus, residue), threshold, id_col, text_col)
 
@@ -150,7 +178,11 @@ def digest(docs: DataFrame, model, out_of_fold: Column, threshold: float, id_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows that the classifier does not reject, in the input's columns."""
+    """The rows that the classifier does not reject, in the input's columns.
+
+    Null and empty texts are judged as one empty passage; null ids and repeated rows are judged by their texts like any
+    other; a score of exactly ``threshold`` stays. Without labelled rows every score is one half. Empty stays empty.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **kw)
     at = docs.columns.index(text_col)
 
