@@ -83,7 +83,8 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
     """One row per conversation: conv_id, formatted, loss_spans (start and stop in code points, of the trained role's texts).
 
     Rows go by turn, nulls first, ties by role and text; a null conversation id is a conversation; null role or text
-    is empty; an empty table gives no rows. A conversation is held in memory by one task, as its output row must be.
+    is empty; equal turns of a conversation all stay; columns besides the four are not read, whatever their names; an
+    empty table gives no rows. A conversation is held in memory by one task, as its output row must be.
     """
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -94,7 +95,8 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
         def done(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             ids = t.column("conv_id").combine_chunks()
-            key = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min + 1, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            null, known = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            key = np.concatenate([[0], np.cumsum((null[1:] != null[:-1]) | (known[1:] != known[:-1]))])
             bounds, formatted, spans = assemble(key, t.column("role").combine_chunks(), t.column("text").combine_chunks(), trained_role)
             return pa.RecordBatch.from_arrays([ids.take(pa.array(bounds[:-1])), formatted, spans], ["conv_id", "formatted", "loss_spans"])
 
