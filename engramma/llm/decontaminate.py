@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's word windows become a small table of n-grams and their hashes, broadcast when its measured size allows.
-Each training text is cut into words once; its windows, of every length that the benchmark has, come out of one array
-expression, a row each of place and n-gram and nothing else, so the work is linear in a text's length. Those whose hash
-meets a benchmark hash are compared whole. Only the hits and one marker row per document are shuffled.
+Every window has a key word, the one that the fewest windows hold; a text can only match a window where it holds its key
+word, so only places around key words are tried, and none is missed. Each text is cut into words once; its windows at
+those places, of every length that the benchmark has, come out of one array expression, a row each of place and n-gram
+and nothing else, so the work is linear in a text's length. Those whose hash meets a benchmark hash are compared whole.
+Only the hits and one marker row per document are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ _BREAKS = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows that may be broadcast: at about 200 bytes each, 100 MB at most. Beyond it the windows are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Key words that may be part of the plan; with more of them every place is tried.
+KEY_WORDS = 20_000
 
 
 def fold_words(text: Column) -> Column:
@@ -36,17 +40,29 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id
     return w.groupBy("len", "window").agg(F.collect_set(F.col("item").cast("string")).alias("items")).withColumn("hash", F.xxhash64("window"))
 
 
-def _windows(size: int) -> Column:
-    """array<struct<p, k, window>>: every window of ``size`` of the words ``w``, by its place from 1."""
-    places = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+def key_words(windows: DataFrame) -> DataFrame:
+    """(word): for every window the word that the fewest windows hold, of those the longest."""
+    words = windows.select("window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
+    held = words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(held, "word").groupBy("window").agg(F.min_by("word", F.struct("n", -F.length("word"), "word")).alias("word")).select("word").distinct()
+
+
+def _windows(size: int, keyed: bool) -> Column:
+    """array<struct<p, k, window>>: windows of ``size`` of the words ``w``, by their place from 1; if ``keyed`` those that hold a place in ``at``."""
+    n = F.size("w")
+    places = F.sequence(F.lit(1), n - size + 1)
+    if keyed:
+        places = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(F.lit(1), i - size + 1), F.least(i, n - size + 1)))))
+    places = F.when(n >= size, places).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("p"), F.lit(size).alias("k"), F.array_join(F.slice("w", i, size), " ").alias("window")))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, most_keys: int = KEY_WORDS) -> DataFrame:
     """One row per input row: the id, its number of words, the covered word positions (from 1), and the items hit.
 
-    Null text has no words; rows that repeat an id are judged one by one; an empty benchmark hits nothing; extra
-    columns of ``docs`` are not read.
+    Null text has no words; rows that repeat an id are judged one by one; an empty benchmark hits nothing; items that
+    repeat a text are all named; texts of any length are read whole; extra columns of ``docs`` are not read, whatever
+    their names; an empty table gives no rows.
     """
     windows = written(benchmark_windows(benchmark, n, item_id, item_text), "benchmark-windows")
     sizes = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # at most n rows
@@ -55,7 +71,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), fold_words(F.col(text_col)).alias("w"))
     # the marker, at place 0, keeps documents without hits
     every = [F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("k"), F.lit("").alias("window")))]
-    every += [_windows(size) for size in sorted(sizes)]
+    keys = [r["word"] for r in key_words(windows).limit(most_keys + 1).collect()]
+    keyed = len(keys) <= most_keys
+    if keyed:
+        base = base.withColumn("at", F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.get("w", i - 1).isin(keys))).otherwise(F.array().cast("array<int>")))
+    every += [_windows(size, keyed) for size in sorted(sizes)]
     rows = base.select("rid", "id", F.size("w").alias("n"), F.explode(F.concat(*every)).alias("x")).select("rid", "id", "n", "x.*").withColumn("hash", F.xxhash64("window"))
     rows = rows.join(known, ["k", "hash", "window"], "left").where(F.col("items").isNotNull() | (F.col("p") == 0))
     rows = rows.select("rid", "id", "n", F.when(F.col("p") > 0, F.struct("p", "k")).alias("hit"), "items")
