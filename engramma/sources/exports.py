@@ -82,7 +82,7 @@ def tree_messages(files: DataFrame, text: str = "text", platform: str = "tree")
     """
     c = files.select(F.explode(F.from_json(text, TREE)).alias("c")).select(F.coalesce("c.conversation_id", "c.id").alias("conversation_id"), "c.title", "c.mapping")
     nodes = F.transform(F.array_sort(F.map_entries("mapping")), lambda e: F.struct(e["key"].alias("n"), e["value"]["parent"].alias("p"), e["value"]["children"].alias("c")))
-    n = c.select("conversation_id", "title", "mapping", F.posexplode(_walk(nodes)).alias("place", "node")).select("conversation_id", "title", "place", F.element_at("mapping", F.col("node"))["message"].alias("message")).where("message is not null")
+    n = c.withColumn("order", _walk(nodes)).select("conversation_id", "title", F.posexplode(F.transform("order", lambda node: F.try_element_at(F.col("mapping"), node)["message"])).alias("place", "message")).where("message is not null")
     body = F.array_join(F.filter("message.content.parts", lambda p: p.isNotNull() & (p != "")), "\n")
     m = n.select("conversation_id", "title", F.col("message.author.role").alias("role"), body.alias("text"), timefn.unix_iso(F.col("message.create_time")).alias("created_at"), F.col("place").alias("sort_key"))
     return _messages(m.where("text <> '' and role is not null"), platform)

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ from engramma.functions import text as tx
 from engramma.functions import timefn
 from engramma.functions.vector import cosine, max_sim
 from engramma.operators import events, exchanges, graph, search, tiling
-from engramma.plans import adaptive, classify
+from engramma.plans import classify
 
 
 def one(spark, c):
@@ -23,8 +24,10 @@ def test_canonical_and_uuid(spark):
 def test_fences_and_files(spark):
     body = "x = 1\ny = 2\nprint(x + y)  # sum"
     got = one(spark, tx.code_fences(F.lit(f"see `a/b.py`\n```python\n{body}\n```\n")))
-    assert [(r["lang"], r["body"]) for r in got] == [("python", body + "\n")]
-    assert one(spark, tx.file_references(F.lit("open `a/b.py` and notes.md"))) == ["a/b.py", "b.py", "notes.md"]
+    assert [(r["lang"], r["body"], r["fingerprint"]) for r in got] == [("python", body, hashlib.md5(body.encode()).hexdigest()[:16])]
+    assert one(spark, tx.code_fences(F.lit("```\n  a block of no language  \n```\n```js\ntoo short\n```")))[0]["lang"] == "unknown"
+    # a bare name is no reference; a path, a name after a verb and one in backticks are
+    assert one(spark, tx.file_references(F.lit("open `a/b.py` and notes.md, Reading c.ts\n/srv/x/y.css or /srv/z.exe"))) == ["/srv/x/y.css", "a/b.py", "c.ts"]
 
 
 def test_tile_grid_edges(spark):
@@ -86,16 +89,31 @@ def test_phi():
     assert events.phi_coherence(0.0, 1.0, 1.0) < 0.4
 
 
-def test_classification(spark):
-    q = spark.createDataFrame([("between", "relationship between memory and time"), ("when", "what happened in March 2024"), ("plain", "foo bar baz")], "query_id string, query string")
-    got = {r["query_id"]: r for r in classify.plans(q).collect()}
-    assert got["between"]["strategy"] == "relational" and got["between"]["sub_queries"] == ["memory", "time"]
-    assert got["when"]["strategy"] == "temporal" and str(got["when"]["after"]) == "2024-03-01" and str(got["when"]["before"]) == "2024-04-01"
-    assert got["plain"]["strategy"] == "exact"
+#: Kinds and confidences worked out by hand from the fixed patterns and weights.
+CLASSIFIED = [
+    ("What happened in January 2026 with infrastructure", "temporal", 0.95),
+    ("how does the gate work", "conceptual", 0.75),
+    ("relationship between coercion entropy and ethics fidelity", "relational", 0.55),
+    ("how do bristle signals relate to identity declarations", "relational", 0.95),
+    ("find HMM.SACRED_TRUST", "motif", 1.0),
+    ("sacred trust pattern", "motif", 0.6),
+    ("sacred trust connects between layers", "relational", 0.55),
+    ("SACRED_TRUST", "motif", 0.7),
+    ("foo bar", "exact", 0.7),
+    ("latest grok conversations about ports", "temporal", 1.0),
+    ("why is the port important", "conceptual", 1.0),
+    ("December 17 2025 phi evolution", "exact", 0.7),
+    ("what is the name of the host", "conceptual", 0.55),
+    (None, "exact", 0.7),
+]
 
 
-def test_adaptive_search(spark):
-    p = spark.createDataFrame([(1, "memory and time", "2024-03-05"), (2, "other words", "2024-03-06"), (3, "memory of march", "2023-01-01")], "id long, text string, day string").withColumn("day", F.col("day").cast("date"))
-    q = spark.createDataFrame([("a", "memory in March 2024")], "query_id string, query string")
-    got = adaptive.adaptive_search(p, q, "id", "text", at="day", now=F.lit("2024-04-01").cast("timestamp")).collect()
-    assert [r["id"] for r in got] == [1] and got[0]["strategy"] == "temporal"
+def test_classification(spark):
+    q = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CLASSIFIED)], "query_id int, query string")
+    got = {r["query_id"]: r for r in classify.plans(q).collect()}
+    assert [(got[i]["strategy"], got[i]["confidence"]) for i in range(len(CLASSIFIED))] == [(k, c) for _, k, c in CLASSIFIED]
+    assert (str(got[0]["after"]), str(got[0]["before"]), got[0]["semantic_query"]) == ("2026-01-01", "2026-02-01", "What happened with infrastructure")
+    assert got[2]["sub_queries"] == ["coercion entropy", "ethics fidelity", CLASSIFIED[2][0]] and got[3]["sub_queries"] == ["bristle signals", "identity declarations", CLASSIFIED[3][0]]
+    assert got[4]["motifs"] == got[7]["motifs"] == ["HMM.SACRED_TRUST"] and got[3]["motifs"] == ["HMM.BRISTLE_SIGNAL", "HMM.IDENTITY_DECLARATION"]
+    assert got[9]["platform"] == "grok" and got[9]["recent_days"] == 30 and got[9]["after"] is None and got[11]["after"] is None
+    assert one(spark, classify.platform(F.lit("openai vs Anthropic"))) == "claude" and one(spark, classify.platform(F.lit("claude code here"))) == "claude_code"

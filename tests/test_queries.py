@@ -4,13 +4,17 @@ from compare import same
 from engramma import registry
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+#: Queries that SQL does not express; test_brute.py holds them against plain Python.
+WITHOUT_SQL = {"adaptive_search", "budget_packing", "long_parts", "motif_dictionary", "query_plans"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - WITHOUT_SQL))
 def test_query_equals_its_sql(name, spark, sf, duck):
     same(registry.queries()[name](spark, sf), duck.sql(registry.oracle_sql()[name]))
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+def test_every_other_query_has_sql():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == WITHOUT_SQL
 
 
 def test_entry_runs(spark):

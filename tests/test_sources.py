@@ -39,6 +39,10 @@ def test_responses_and_individual(spark):
 
 def test_text_markdown_and_agent(spark):
     assert said(exports.labelled_text(texts(spark, "noise\nYou\nhello\nthere\nGrok\nhey"))) == [("user", "hello\nthere"), ("assistant", "hey")]
+    assert said(exports.labelled_text(texts(spark, "You: hello\nThink\n\nGrok: hey\n12 sources\nmore"), least=2)) == [("user", "hello"), ("assistant", "hey\nmore")]
+    assert exports.labelled_text(texts(spark, "You: hello\nGrok: hey"), least=4).count() == 0
+    blocks = "is it so?\n\nYes, it is. Long answer.\n\nAnd more of it.\n\nand why?\n\nNo? that is rhetorical\n\nBecause."
+    assert said(exports.alternating_blocks(texts(spark, blocks))) == [("user", "is it so?"), ("assistant", "Yes, it is. Long answer.\n\nAnd more of it."), ("user", "and why?\n\nNo? that is rhetorical"), ("assistant", "Because.")]
     assert said(exports.divider_markdown(texts(spark, "# Q one\nanswer\n---\nmore\n---\n# Q two\nend"))) == [("user", "Q one"), ("assistant", "answer\n\nmore"), ("user", "Q two"), ("assistant", "end")]
     lines = [{"type": "user", "sessionId": "s", "timestamp": "1", "message": {"content": "hi"}}, {"type": "user", "isMeta": True, "sessionId": "s", "timestamp": "2", "message": {"content": "x"}}, {"type": "assistant", "sessionId": "s", "timestamp": "3", "message": {"content": [{"type": "text", "text": "yo"}]}}]
     df = spark.createDataFrame([(json.dumps(x),) for x in lines], "value string")
@@ -60,3 +64,48 @@ def test_scan_and_manifest(spark, tmp_path):
     m = files.manifest(f).collect()
     assert len(m) == 1 and m[0]["n_files"] == 2 and m[0]["owner"].endswith("x.md")
     assert files.unseen(f, f.limit(1)).count() == 0
+
+
+def test_deep_tree(spark):
+    n = 5000
+    mapping = {f"n{i:05d}": {"id": f"n{i:05d}", "parent": f"n{i - 1:05d}" if i else None, "children": [f"n{i + 1:05d}"] if i + 1 < n else [], "message": {"author": {"role": "user"}, "content": {"content_type": "text", "parts": [str(i)]}, "create_time": 1.0}} for i in range(n)}
+    got = exports.tree_messages(texts(spark, [{"title": "t", "conversation_id": "k", "mapping": mapping}]))
+    assert [t for _, t in said(got)] == [str(i) for i in range(n)]
+
+
+def test_bulk_responses_with_parents_and_assets(spark):
+    date = lambda ms: {"$date": {"$numberLong": str(ms)}}
+    r = lambda i, up, at, **kw: {"response": {"_id": i, "parent_response_id": up, "message": f"m{i}", "sender": "human" if i in "ad" else "ASSISTANT", "create_time": date(at), **kw}}
+    one = {"conversation": {"id": "k", "title": "t"}, "responses": [r("c", "a", 3000), r("b", "a", 2000, thinking_trace="hm", thinking_start_time=date(1), thinking_end_time=date(41), file_attachments=["u1", "u2"]), r("a", None, 1000), r("d", None, 1500), r("e", "d", 1600)]}
+    other = {"conversation": {"id": "l", "user_id": "u"}, "responses": [r("x", "gone", 1000), r("y", "x", 2000), r("x", "y", 3000)]}
+    assets = spark.createDataFrame([("u1", "file text")], "uuid string, content string")
+    got = exports.conversation_tree_messages(texts(spark, {"conversations": [one, other]}), assets=assets).orderBy("conversation_id", "position").collect()
+    assert [(x["conversation_id"], x["text"]) for x in got][:5] == [("k", "ma"), ("k", "md"), ("k", "mb"), ("k", "mc"), ("k", "me")]
+    b = got[2]
+    assert (b["thinking"], b["thinking_ms"], [tuple(a) for a in b["attachments"]]) == ("hm", 40, [("u1", "file text"), ("u2", None)])
+    assert {x["platform"] for x in got} == {"grok", "claude_chat"} and got[0]["created_at"] == "1970-01-01T00:00:01Z" and got[0]["role"] == "user"
+
+
+def test_divided_responses(spark):
+    r = {"conversation": {"id": "k"}, "responses": [{"message": "q", "sender": "human", "create_time": "2024-01-01"}, {"message": "one\n---\ntwo", "sender": "x", "create_time": "2024-01-02"}]}
+    assert said(exports.response_messages(texts(spark, r))) == [("user", "q"), ("assistant", "one"), ("assistant", "two")]
+
+
+def test_activity_log(spark):
+    block = lambda q, at, a: f"Logo for Gemini Apps\nGemini Apps\nPrompted {q}\nDetails\nevent\n{at}\napps\nGemini Apps\nchat\n\n{a}\n"
+    text = "head\n" + block("first", "Nov 30, 2025 at 1:58\u202fAM", "answer\none") + block("second", "March 4 at 12:59 PM", "two") + block("third", "Yesterday at 12:01 AM", "")
+    df = spark.createDataFrame([("/x/LOG_2025_11_18-2026_02_17_01_12.md", text)], "path string, text string")
+    got = [(r["user_text"], r["response_text"], r["created_at"]) for r in exports.activity_log(df).orderBy("exchange_index").collect()]
+    assert got == [("first", "answer\none", "2025-11-30T01:58:00Z"), ("second", "two", "2025-03-04T12:59:00Z"), ("third", "", "2026-02-16T00:01:00Z")]
+    assert df.select(exports.detect_format(F.col("text")).alias("f")).first()["f"] == "activity"
+    again = exports.activity_log(df).withColumn("created_at", F.lit("other"))
+    firsts = exports.first_source([exports.activity_log(df), again])
+    assert firsts.count() == 3 and {r["source_order"] for r in firsts.collect()} == {0}
+    found = exports.with_artifacts(firsts, spark.createDataFrame([("Answer One", "no"), ("answer", "body"), ("two", "x")], "name string, content string"))
+    assert {r["user_text"]: [a["name"] for a in r["artifacts"]] for r in found.collect()} == {"first": ["answer"], "second": ["two"], "third": []}
+
+
+def test_detection_looks_at_whole_files(spark):
+    late = {"padding": "x" * 10_000, "mapping": {}}
+    got = texts(spark, [late], {"conversations": []}, {"title": "t", "messages": []}, '{"sessionId": "s", "type": "user"}\n{"type": "x"}', '{"mapping": cut').select(exports.detect_format(F.col("text")).alias("f")).collect()
+    assert [r["f"] for r in got] == ["tree", "conversations", "individual", "agent_lines", "text"]
