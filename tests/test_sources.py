@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from engramma.sources import exports, files
+from engramma.operators import evaluate
+from engramma.sources import exports, files, sinks
 
 
 def texts(spark, *rows):
@@ -109,3 +110,37 @@ def test_detection_looks_at_whole_files(spark):
     late = {"padding": "x" * 10_000, "mapping": {}}
     got = texts(spark, [late], {"conversations": []}, {"title": "t", "messages": []}, '{"sessionId": "s", "type": "user"}\n{"type": "x"}', '{"mapping": cut').select(exports.detect_format(F.col("text")).alias("f")).collect()
     assert [r["f"] for r in got] == ["tree", "conversations", "individual", "agent_lines", "text"]
+
+
+def test_stages_rules_and_documents(spark, tmp_path):
+    paths = ["/c/layer_0/v0_a.md", "/c/layer_0/b.md", "/c/chewy/noext", "/c/chewy/pic.png", "/c/layer_1/x.py", "/c/layer_1/x.min.js", "/c/layer_1/venv/y.py", "/c/expansion_md/.ipynb_checkpoints/z.md", "/c/expansion_md/z.md", "/c/CCM_NEW_MDS/q.txt"]
+    f = spark.createDataFrame([(p, 10) for p in paths], "path string, length long")
+    s = files.staged(f, files.stage_table(spark))
+    kept = {r["path"]: r["stage"] for r in s.where(files.wanted(F.col("path"), F.col("length"), F.col("any_suffix"))).collect()}
+    assert kept == {"/c/layer_0/v0_a.md": "v0", "/c/layer_0/b.md": "layer_0", "/c/chewy/noext": "chewy", "/c/layer_1/x.py": "layer_1", "/c/expansion_md/z.md": "expansion_md"}
+    docs = spark.createDataFrame([("/a.json", '{"b":  [1, 2]}'), ("/b.json", "{cut"), ("/c.md", "  text \n")], "path string, text string")
+    assert [r["d"] for r in docs.orderBy("path").select(files.as_document(F.col("text"), F.col("path")).alias("d")).collect()] == ['{"b":[1,2]}', "{cut", "text"]
+    at = lambda h: f"2024-01-01 0{h}:00:00"
+    now = spark.createDataFrame([("a", at(1)), ("b", at(3)), ("c", at(1))], "path string, modified string")
+    assert sorted(r["path"] for r in files.modified_since(now, spark.createDataFrame([("a", at(1)), ("b", at(2))], "path string, modified string")).collect()) == ["b", "c"]
+    r = spark.createDataFrame([("/r/0123456789ab_grok.json", '{"response": "x"}'), ("/r/notes.json", "{}"), ("/r/0123456789ab_b.json", "{}")], "path string, text string")
+    assert [tuple(x) for x in files.response_files(r).collect()] == [("0123456789ab", "grok", "x")]
+    lines = spark.createDataFrame([(json.dumps({"type": "message", "id": "s", "timestamp": "1", "message": {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}}),), ('{"type": "other"}',), ("broken",)], "value string")
+    assert said(exports.agent_lines(files.adapted_lines(lines))) == [("assistant", "yo")]
+
+
+def test_sinks(spark, tmp_path):
+    m = exports.response_messages(texts(spark, {"conversation": {"id": "k", "title": "t"}, "responses": [{"message": "q", "sender": "human", "create_time": "2024-01-01"}, {"message": "a", "sender": "x", "create_time": "2024-01-02"}]}))
+    sinks.write_conversations(m, str(tmp_path / "c"))
+    back = spark.read.json(str(tmp_path / "c")).first()
+    assert (back["platform"], back["n_messages"], back["n_prompts"], [x["text"] for x in back["messages"]], back["updated_at"]) == ("responses", 2, 1, ["q", "a"], "2024-01-02")
+    for _ in range(2):
+        sinks.append_events(spark.createDataFrame([(1, "x")], "seq int, event_type string"), str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e")).count() == 2
+    items = spark.createDataFrame([("p", "T", "grok", 1, "TRANSCRIPT", "/x/parsed/s.json", "session-123456789", 4, "h" * 20, "said"), ("p", "T", "grok", 0, "CORPUS", "/x/corpus/a/b.md", None, None, "g" * 20, "body")], "package_id string, theme string, platform string, place int, type string, source_file string, session_id string, exchange_index int, content_hash string, content string")
+    anchors = spark.createDataFrame([("p", i, f"/x/{i}.md", "sum", ["M"]) for i in range(12)], "package_id string, place int, source_file string, summary string, motifs array<string>")
+    text = sinks.packages(items, anchors).first()["text"]
+    assert text.index("### ITEM-001 [CORPUS] a/b.md [gggggggggggg]") < text.index("### ITEM-002 [TRANSCRIPT] grok/s.json [hhhhhhhhhhhh]\n*Session: session-1234, Exchange: 4*")
+    assert text.count("### ANCHOR-") == 10 and "**Items**: 2 | **Platform**: grok" in text
+    gate = evaluate.regression_gate(spark.createDataFrame([("m", 0.5)], "metric string, value double"), spark.createDataFrame([("m", 0.4)], "metric string, value double"))
+    assert "| m | 0.5000 | 0.4000 | -0.1000 | regressed |" in sinks.metric_report(gate, "run")
