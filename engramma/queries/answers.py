@@ -55,14 +55,14 @@ def batch_rows(spark, d):
 
 
 def motif_annotations(spark, d):
-    a = _assigned(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("motif_id", F.round("amp", 2).alias("amp"), F.col("band").alias("description")))).alias("m"))
+    a = _assigned(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("motif_id", F.round(F.col("amp") + 1e-7, 2).alias("amp"), F.col("band").alias("description")))).alias("m"))
     as_map = F.to_json(F.map_from_entries(F.transform("m", lambda x: F.struct(x["motif_id"], F.struct(x["amp"].alias("amp"), x["description"].alias("description"))))))
     text = F.when(F.col("doc_id") % 2 == 0, F.to_json("m")).otherwise(as_map)
     return a.select("doc_id", pa.annotations(text).alias("annotations"))
 
 
 def _transcripts(spark, d):
-    """(path, text): conversations as parsed transcripts of the three shapes by number, every fourth twice, the copy without its last exchange."""
+    """(path, text): conversations as parsed transcripts of the three shapes by number, every fourth twice, the copy with its first exchange only, or whole where it is a list of messages."""
     c = table(spark, d, "conversations").where("role in ('user', 'assistant')")
     flat = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))).alias("m"))
     roles = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
@@ -72,7 +72,7 @@ def _transcripts(spark, d):
     j = flat.join(e, "conv_id")
     named = lambda rows: F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conversation_id"), rows.alias("exchanges")))
     form = F.col("conv_id") % 3
-    whole = lambda cut: F.when(form == 0, named(cut(listed))).when(form == 1, named(cut(paired))).otherwise(named(cut(roles)))
+    whole = lambda cut: F.when(form == 0, named(cut(listed))).when(form == 1, named(cut(paired))).otherwise(named(roles))
     path = F.concat(F.lit("/t/"), F.lpad(F.col("conv_id").cast("string"), 6, "0"))
     first = j.select(F.concat(path, F.lit(".json")).alias("path"), whole(lambda x: x).alias("text"))
     part = j.where("conv_id % 4 = 0").select(F.concat(path, F.lit("-part.json")).alias("path"), whole(lambda x: F.slice(x, 1, 1)).alias("text"))
@@ -129,7 +129,7 @@ def source_layer(spark, d):
 def subset_match(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
     text = F.array_join(F.transform("r", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
-    return c.where(tx.matches_any(text, [r"\?", "[0-9]{3}"])).select("conv_id")
+    return c.where(tx.matches_any(text, ["the .*and", "[0-9]{3}"])).select("conv_id")
 
 
 def payload_summary(spark, d):
@@ -203,7 +203,7 @@ def theme_routing(spark, d):
     """Vectors of every twentieth number go to their nearest label's anchor."""
     e = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     themes = _anchors(spark, d).select(F.col("label").alias("theme_id"), F.col("av").alias("tv"), F.array(F.col("label").cast("string")).alias("motifs"))
-    return se.theme_of(e, themes, 0.7).select("query_id", "theme_id")
+    return se.theme_of(e, themes, 0.6).select("query_id", "theme_id")
 
 
 def theme_index(spark, d):
@@ -347,7 +347,7 @@ SQL = {
     "response_items": f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces' WHEN 3 THEN 'repaired' ELSE 'wrapper' END AS how, 1 AS n, CASE WHEN doc_id % 5 = 4 THEN substring({_WANT_HASH}, 1, 12) ELSE {_WANT_HASH} END AS hash, 'a summary of the ' || source AS summary, CASE WHEN doc_id % 5 <> 4 THEN 'HMM.M' || quality END AS motif_id FROM labels JOIN documents USING (doc_id)",
     "response_issues": "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'no motifs assigned' WHEN quality <> 1 THEN 'invalid motif: HMM.M' || quality ELSE '' END AS issues FROM (SELECT doc_id, quality, source FROM labels JOIN documents USING (doc_id))",
     "batch_rows": "SELECT source, count(*) AS n, min(lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS first, max(lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS last FROM documents GROUP BY source",
-    "motif_annotations": f"SELECT doc_id, string_agg(motif_id || format(' ({{:.2f}}): ', round(amp, 2)) || band, chr(10) ORDER BY motif_id) AS annotations FROM ({ASSIGNED}) GROUP BY doc_id",
+    "motif_annotations": f"SELECT doc_id, string_agg(motif_id || format(' ({{:.2f}}): ', round(amp + CAST(1e-7 AS DOUBLE), 2)) || band, chr(10) ORDER BY motif_id) AS annotations FROM ({ASSIGNED}) GROUP BY doc_id",
     "exchange_normalise": f"SELECT 'c' || conv_id AS conversation_id, i AS exchange_index, md5(p) AS user_md5, md5(r) AS assistant_md5, model FROM ({_NORM})",
     "exchange_format": f"SELECT conv_id, i AS exchange_index, md5('[Platform: p] [Session: conversation]' || chr(10) || '[Model: m1]' || CASE WHEN prompt <> '' THEN chr(10) || chr(10) || '[User]: ' || prompt ELSE '' END || CASE WHEN response <> '' THEN chr(10) || chr(10) || '[Assistant]: ' || response ELSE '' END) AS text_md5 FROM ({_XCH})",
     "exchange_owners": f"SELECT hash, count(*) AS n FROM ({_OWN}) GROUP BY hash",
@@ -355,7 +355,7 @@ SQL = {
     "deterministic_ids": "SELECT doc_id, substring(sha256(source || '|' || lang || '|' || doc_id), 1, 24) AS id FROM documents",
     "lane_route": "SELECT doc_id, CASE WHEN greatest(n, s, w) = 0 THEN '' WHEN n = greatest(n, s, w) THEN 'north' WHEN s = greatest(n, s, w) THEN 'south' ELSE 'west' END AS lane FROM (SELECT doc_id, " + ", ".join("(" + " + ".join(f"contains(lower(substring(text, 1, 2000)), '{x}')::INT" for x in words) + f" + 2 * contains(lower(source), '{LANE_PATHS[k][0]}')::INT) AS {k[0]}" for k, words in LANES.items()) + " FROM documents)",
     "source_layer": "SELECT page_id, CASE WHEN contains(lower(url), '/en/') OR contains(lower(url), '/us/') THEN 'first' WHEN contains(lower(url), '/de/') THEN 'second' WHEN contains(lower(url), 'blog') OR contains(lower(url), 'news') THEN 'third' ELSE 'unknown' END AS layer FROM pages",
-    "subset_match": "SELECT conv_id FROM (SELECT conv_id, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), 1, 50000) AS t FROM conversations GROUP BY conv_id) WHERE regexp_matches(t, '\\?|[0-9]{3}')",
+    "subset_match": "SELECT conv_id FROM (SELECT conv_id, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), 1, 50000) AS t FROM conversations GROUP BY conv_id) WHERE regexp_matches(t, '(?i)the .*and|[0-9]{3}')",
     "payload_summary": "SELECT doc_id, md5(concat_ws(' ', CASE WHEN text <> '' THEN substring(text, 1, 100) END, source, CASE WHEN doc_id % 2 = 0 THEN lang END)) AS summary_md5 FROM documents",
     "entity_names": "SELECT CASE lower(c_mktsegment) WHEN 'machinery' THEN 'equipment' WHEN 'furniture' THEN 'equipment' ELSE lower(c_mktsegment) END AS name, count(*) AS n FROM customer GROUP BY 1",
     "code_blocks": f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'py' ELSE 'unknown' END AS lang, substring(md5(b), 1, 16) AS fingerprint FROM (SELECT conv_id, turn, {_STRIP.format(x=chr(114) + 'eplace(text, chr(96), chr(39))')} AS b FROM conversations WHERE text IS NOT NULL) WHERE length(b) > 20",
@@ -367,7 +367,7 @@ SQL = {
     "motif_cooccurrence": f"SELECT doc_id, round(sum(amp), 6) AS total FROM ({ASSIGNED}) WHERE motif_id IN ('M.THE', 'M.AND') AND amp >= 0.3 GROUP BY doc_id HAVING count(*) = 2",
     "evolution_search": f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM ({RANKED}) WHERE rank <= 30 QUALIFY place <= 15",
     "tile_resonance": "SELECT doc_id, round(CAST(least(length(text) // 4, 4096) AS DOUBLE) / greatest(length(text) // 4, 4096) * 0.809, 6) AS resonance FROM documents",
-    "theme_routing": f"SELECT vec_id AS query_id, label AS theme_id FROM (SELECT vec_id, a.label, {_CERT} AS s FROM embeddings, {_ANCHOR} a WHERE vec_id % 20 = 0) WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1",
+    "theme_routing": f"SELECT vec_id AS query_id, label AS theme_id FROM (SELECT vec_id, a.label, {_CERT} AS s FROM embeddings, {_ANCHOR} a WHERE vec_id % 20 = 0) WHERE s >= 0.6 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1",
     "theme_index": f"SELECT label AS theme_id, CAST(vec_id % 50 AS VARCHAR) AS content_hash, round(max(s), 6) AS score FROM (SELECT vec_id, a.label, {_CERT} AS s FROM embeddings, {_ANCHOR} a) WHERE s >= 0.55 GROUP BY 1, 2",
     "cosine_judge": f"SELECT query_id, CASE WHEN s >= 0.55 THEN 2 WHEN s >= 0.35 THEN 1 ELSE 0 END AS relevance, count(*) AS n FROM (SELECT q.vec_id AS query_id, round({_COS.format(a='e.embedding', b='CAST(q.embedding AS DOUBLE[])')}, 6) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) GROUP BY 1, 2",
     "eval_rerank": f"SELECT doc_id, round(CAST(0.5 AS DOUBLE) / (1 + CAST(n_chars AS DOUBLE) / 1000) + CAST(0.35 AS DOUBLE) * len(list_intersect(ms, ['M.THE', 'M.WITH'])) / len(list_distinct(list_concat(ms, ['M.THE', 'M.WITH']))) + CAST(0.15 AS DOUBLE) * CASE WHEN doc_id % 2 = 0 THEN 0.05 + 0.05 * (0.9 + CASE WHEN doc_id % 3 = 0 THEN 0.8 ELSE 0 END) ELSE 0 END, 6) AS score FROM ({_DOMS}) JOIN documents USING (doc_id)",
@@ -383,6 +383,6 @@ SQL = {
     "as_of_tolerance": "SELECT event_id, CASE WHEN ts - c.ts <= INTERVAL 1 HOUR THEN c.id END AS click_id FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM events) WHERE event_type = 'purchase'",
 }
 SQL["motif_metrics"] = f"SELECT query_id, coalesce(p, -1) AS precision, overlap FROM ({SQL['motif_metrics']})"
-SQL["transcript_files"] = "SELECT 'c' || conv_id AS conversation_id, '/t/' || lpad(CAST(conv_id AS VARCHAR), 6, '0') || CASE WHEN conv_id % 4 = 0 AND n = p THEN '-part' ELSE '' END || '.json' AS path, CASE WHEN conv_id % 4 = 0 THEN 1 + (p > 0)::INT ELSE 1 END AS n_files FROM (SELECT conv_id, CASE conv_id % 3 WHEN 2 THEN count(*) FILTER (role = 'user') ELSE count(DISTINCT x) END AS n, CASE conv_id % 3 WHEN 2 THEN (min_by(role, turn) = 'user')::INT ELSE 1 END AS p FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY conv_id) WHERE n > 0"
+SQL["transcript_files"] = "SELECT 'c' || conv_id AS conversation_id, '/t/' || lpad(CAST(conv_id AS VARCHAR), 6, '0') || CASE WHEN conv_id % 4 = 0 AND n = p THEN '-part' ELSE '' END || '.json' AS path, CASE WHEN conv_id % 4 = 0 THEN 1 + (p > 0)::INT ELSE 1 END AS n_files FROM (SELECT conv_id, CASE conv_id % 3 WHEN 2 THEN count(*) FILTER (role = 'user') ELSE count(DISTINCT x) END AS n, CASE conv_id % 3 WHEN 2 THEN count(*) FILTER (role = 'user') ELSE 1 END AS p FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY conv_id) WHERE n > 0"
 
 SQL["ranked_lists_cli"] = f"SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (59 + rank)), 9) AS score, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes, any_value(length(text)) AS len FROM (SELECT query_id, doc_id, rank, 'words' AS lane FROM ({LEX}) UNION ALL SELECT query_id, doc_id, rank, 'vectors' FROM ({VEC})) JOIN documents USING (doc_id) GROUP BY query_id, doc_id"
