@@ -6,7 +6,9 @@ cut into pieces of a bounded number of bytes (``pieces``), which bounds the memo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +132,26 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
                 h += words[first[rows] + j] * mult[j]
             out[at[rows]] = mix(h + U(c))
     return out, at
+
+
+def _give_back() -> None:
+    """Returns memory that is free in this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not the GNU library
+        return
+    trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A task's function over batches that gives back what it took when it ends: workers live on between tasks, and their share counts."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped

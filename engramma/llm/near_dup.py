@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramma.llm.bytekit import ASCII_LOWER, NOT_SPACE, U, buffers, mix, pieces, shingles, span_hashes, spans
+from engramma.llm.bytekit import ASCII_LOWER, NOT_SPACE, U, buffers, frugal, mix, pieces, shingles, span_hashes, spans
 from engramma.llm.components import components, joined_components
 from engramma.storage import written
 
@@ -304,6 +304,7 @@ def _match(ids, tags, sizes, bands, needs, owner, sig, percent: int, run_pairs:
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(id, size, hi, lo): the number of distinct shingles of every row, and a 128-bit hash of the set."""
 
+    @frugal
     def run(batches):
         for b in batches:
             size, hi, lo = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), np.zeros(b.num_rows, U)
@@ -319,6 +320,7 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 def _index(docs: DataFrame, n: int, percent: int, buckets: int, id_col: str, text_col: str, local_run: int) -> DataFrame:
     """The packed segments of all sets of two shingles or more, dealt by bucket."""
 
+    @frugal
     def run(batches):
         scheme = Scheme(percent)
         for b in batches:
@@ -366,6 +368,7 @@ def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(id, size, shingles) of the rows whose ids are wanted."""
 
+    @frugal
     def run(batches):
         for b in batches:
             sets = [b""] * b.num_rows
@@ -383,6 +386,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= percent * union."""
 
+    @frugal
     def run(batches):
         for b in batches:
             x, y = b.column(2), b.column(3)
@@ -427,6 +431,7 @@ def candidates(found: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFram
 def _heavy_index(heavy: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Packed segments of heavy sets and their one-deletion neighbourhoods. Tags are components; needs say 0 for a deletion, else what the segment is worth."""
 
+    @frugal
     def run(batches):
         scheme = Scheme(percent)
         for b in batches:
@@ -555,6 +560,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
     copies = table.where("rep <> id").groupBy("id").agg(F.min("rep").alias("rep")).join(table.where("rep = id").select("id"), "id", "left_anti")
     copies = written(copies, "near-copies")
 
+    @frugal
     def match(batches):
         for rows in _by_bucket(batches):
             yield from match_bucket(rows, percent, run_pairs)
@@ -573,6 +579,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id"
     weight = full.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
     few = max(1, -(-2 * int(weight) // bucket_segments))
 
+    @frugal
     def match_again(batches):
         for rows in _by_bucket(batches):
             yield from match_heavy(rows, percent, 2 * run_pairs)
@@ -607,6 +614,7 @@ def similar_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     labels = links(docs, n, percent, id_col, text_col, **kw)[2]
     sets = written(_label(_sets_of(docs, labels, n, id_col, text_col).dropDuplicates(["id", "shingles"]), labels), "near-join-sets")
 
+    @frugal
     def heads(batches):
         for b in batches:
             parts = [np.sort(np.frombuffer(x, U)) for x in b.column(2).to_pylist()]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramma.llm.bytekit import buffers, pieces
+from engramma.llm.bytekit import buffers, frugal, pieces
 from engramma.llm.learn import FEATURES, held_out, labelled_sample, passages
 
 #: Labelled rows that the model is fitted on, at most.
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     """
     sample = labelled_sample(docs, labels, label, modulus, residue, bound, id_col, text_col)
 
+    @frugal
     def run(batches):
         for b in batches:
             x, at = features(b.column(0))
@@ -168,6 +169,7 @@ def digest(docs: DataFrame, model, out_of_fold: Column, threshold: float, id_col
     """The scores of ``docs`` in the contract's columns; the text goes in and only the score comes back."""
     slim = docs.select(F.col(id_col).alias("doc_id"), out_of_fold.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
+    @frugal
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score_texts(b.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
@@ -186,6 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model = train(docs, labels, id_col=id_col, text_col=text_col, **kw)
     at = docs.columns.index(text_col)
 
+    @frugal
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(model.score_texts(b.column(at)) >= threshold))

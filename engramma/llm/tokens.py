@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramma.llm.bytekit import frugal
 from engramma.storage import new_path, remove, written
 
 END_ID = 2
@@ -39,7 +40,7 @@ CUT_BITS, MIN_CHUNK, MAX_CHUNK, ROLL = 8, 64, 2048, 8
 #: Documents in a recipe file, and in a subtree of its Merkle tree (a power of two).
 FILE_ROWS, SUBTREE = 200_000, 4096
 #: Words kept in a worker's cache, about 150 bytes each; it is emptied when full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 
 #: Words of these letters, lower-cased one by one and stable under NFC, are single pieces for a tokenizer that cuts at non-letters.
@@ -226,6 +227,7 @@ _STAGED = "doc_id bigint, key bigint, n_tokens bigint, addresses array<binary>,
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """A row per document: ids cut into chunks (only those new to the task's batch carry bytes), addresses and root. Null text is empty."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = _dtype(max(enc.vocab_size, end_id + 1))
@@ -305,6 +307,7 @@ def _rooted(leaf_rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, documents, tokens, root) of groups of rows (keys, ``order``, documents, tokens, root), of bounded size: a group's root is over its rows' roots in order."""
     g = leaf_rows.groupBy(*keys).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct(order, "root"))).alias("leaves"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             roots = [merkle_root([x["root"] for x in leaves]) for leaves in b.column("leaves").to_pylist()]
@@ -356,6 +359,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     chunks, recipes, manifest = (spark.read.parquet(f"{folder}/{x}") for x in ("chunks", "recipes", "manifest"))
     kind = _dtype(max(vocab_of(spark, folder), 1))
 
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, crc = [], []
@@ -372,6 +376,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     parts = uses.join(facts, "address", "left").groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "n", "crc"))).alias("parts"))
     rows = recipes.select("file", "place", "before", "doc_id", "n_tokens", "root", F.size("addresses").alias("k")).join(parts, ["file", "place"])
 
+    @frugal
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crcs = []
@@ -401,6 +406,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     uses = recipes.select("file", "place", "doc_id", F.posexplode("addresses").alias("seq", "address"))
     rows = uses.join(chunks, "address").groupBy("file", "place", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.frombuffer(b"".join(p["ids"] for p in parts), kind).astype(np.int32) for parts in b.column(1).to_pylist()]

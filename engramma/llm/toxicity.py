@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramma.llm.bytekit import ASCII_LOWER, U, buffers, mix, pieces, shingles, span_hashes, spans
+from engramma.llm.bytekit import ASCII_LOWER, U, buffers, frugal, mix, pieces, shingles, span_hashes, spans
 from engramma.llm.learn import held_out, labelled_sample
 from engramma.llm.quality import digest
 from engramma.storage import written
@@ -74,6 +74,7 @@ def without_copies(sample: DataFrame, rounds: int = 3) -> DataFrame:
     Copies of one document are no independent evidence for its words.
     """
 
+    @frugal
     def run(batches):
         for b in batches:
             data, offs = buffers(b.column(0))
@@ -109,6 +110,7 @@ def mine(sample: DataFrame) -> Lexicon:
     bounded, and so is what comes to the driver: 16 bytes an entry.
     """
 
+    @frugal
     def run(batches):
         for b in batches:
             y = b.column(1).to_numpy()
@@ -312,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     sample = labelled_sample(docs, labels, label, modulus, residue, bound, id_col, text_col)
     lexicon = mine(written(without_copies(sample), "toxicity-sample"))
 
+    @frugal
     def run(batches):
         for b in batches:
             v, c = votes(b.column(0), lexicon)
