@@ -98,6 +98,55 @@ def block_messages(files: DataFrame, text: str = "text", platform: str = "blocks
     return _messages(c.select("conversation_id", "title", role.alias("role"), body.alias("text"), F.col("m.created_at").alias("created_at"), F.col("i").alias("sort_key")).where("text <> ''"), platform)
 
 
+BLOCK_DETAILS = "array<struct<uuid: string, chat_messages: array<struct<sender: string, content: array<string>, attachments: array<struct<file_name: string, extracted_content: string>>, files: array<struct<file_name: string>>>>>>"
+_BLOCK = "struct<type: string, text: string, thinking: string, summaries: array<string>, name: string, id: string, tool_use_id: string, input: string, content: string, citations: array<struct<url: string, title: string>>>"
+
+
+def block_details(files: DataFrame, text: str = "text") -> DataFrame:
+    """(conversation_id, place, thinking, artifacts, tools, citations, attachments) of each message of content blocks, by its place in the file.
+
+    Thinking blocks are joined, their summaries marked; uses of the tool ``artifacts`` are artifacts (id, type, title,
+    command, content), other uses are tools with the output of their result, which is text or a list of text blocks.
+    """
+    m = files.select(F.explode(F.from_json(text, BLOCK_DETAILS)).alias("c")).select(F.col("c.uuid").alias("conversation_id"), F.posexplode("c.chat_messages").alias("place", "m"))
+    b = F.transform(F.coalesce("m.content", F.array().cast("array<string>")), lambda x: F.from_json(x, _BLOCK))
+    m = m.select("conversation_id", "place", F.filter(b, lambda x: x.isNotNull()).alias("b"), "m.attachments", "m.files")
+    of = lambda kind: F.filter("b", lambda x: x["type"] == kind)
+    marked = lambda x: F.transform(F.coalesce(x["summaries"], F.array().cast("array<string>")), lambda t: F.concat(F.lit("[Summary] "), t))
+    thinking = F.array_join(F.flatten(F.transform(of("thinking"), lambda x: F.concat(F.array_compact(F.array(F.nullif(x["thinking"], F.lit("")))), marked(x)))), "\n")
+    made = F.filter(of("tool_use"), lambda x: x["name"] == "artifacts")
+    field = lambda x, k: F.coalesce(F.get_json_object(x["input"], f"$.{k}"), F.lit(""))
+    artifacts = F.transform(made, lambda x: F.struct(*(field(x, k).alias(k) for k in ("id", "type", "title", "command", "content"))))
+    listed = lambda c: F.array_join(F.filter(F.transform(F.from_json(c, "array<struct<type: string, text: string>>"), lambda t: F.when(t["type"] == "text", t["text"])), lambda t: t.isNotNull()), "\n")
+    output = lambda x: F.when(x["content"].startswith("["), listed(x["content"])).otherwise(x["content"])
+    results = F.map_from_entries(F.transform(F.array_distinct(F.transform(of("tool_result"), lambda x: x["tool_use_id"])), lambda i: F.struct(F.coalesce(i, F.lit("")), output(F.get(F.filter(of("tool_result"), lambda x: x["tool_use_id"].eqNullSafe(i)), F.lit(0))))))
+    used = F.filter(of("tool_use"), lambda x: ~x["name"].eqNullSafe(F.lit("artifacts")))
+    tools = F.transform(used, lambda x: F.struct(x["name"].alias("name"), x["input"].alias("input"), F.try_element_at(results, F.coalesce(x["id"], F.lit("?"))).alias("output")))
+    citations = F.flatten(F.transform(of("text"), lambda x: F.coalesce(x["citations"], F.array().cast("array<struct<url: string, title: string>>"))))
+    held = F.transform(F.coalesce("attachments", F.array().cast("array<struct<file_name: string, extracted_content: string>>")), lambda a: F.struct(a["file_name"].alias("name"), a["extracted_content"].alias("content")))
+    named = F.transform(F.coalesce("files", F.array().cast("array<struct<file_name: string>>")), lambda f: F.struct(f["file_name"].alias("name"), F.lit(None).cast("string").alias("content")))
+    return m.select("conversation_id", "place", thinking.alias("thinking"), artifacts.alias("artifacts"), tools.alias("tools"), citations.alias("citations"), F.concat(held, named).alias("attachments"))
+
+
+def tree_artifacts(files: DataFrame, text: str = "text") -> DataFrame:
+    """(conversation_id, node, kind, name, content) of mapping trees' messages: documents made or changed on the canvas, pictures, outputs of tools.
+
+    A canvas message goes to a recipient ``canmore.…`` and holds {name, type, content}; what can't be read so is no
+    artifact. A tool's message is a picture if a part of it points at one, else its text is its output.
+    """
+    c = files.select(F.explode(F.from_json(text, TREE)).alias("c")).select(F.coalesce("c.conversation_id", "c.id").alias("conversation_id"), F.explode("c.mapping").alias("node", "v")).where("v.message is not null")
+    parts = F.coalesce("v.message.content.parts", F.array().cast("array<string>"))
+    c = c.select("conversation_id", "node", F.col("v.message.author.role").alias("role"), F.coalesce("v.message.recipient", F.lit("all")).alias("recipient"), parts.alias("parts"))
+    first = F.get("parts", F.lit(0))
+    picture = F.get(F.filter(F.transform("parts", lambda p: F.get_json_object(p, "$.asset_pointer")), lambda p: p.isNotNull()), F.lit(0))
+    said = F.array_join(F.filter("parts", lambda p: p.isNotNull() & (p != "") & ~p.startswith('{"content_type"')), "\n")
+    canvas = F.col("recipient").startswith("canmore.") & F.get_json_object(first, "$.content").isNotNull()
+    kind = F.when(canvas, "canvas").when((F.col("role") == "tool") & picture.isNotNull(), "picture").when((F.col("role") == "tool") & (said != ""), "output")
+    name = F.when(canvas, F.coalesce(F.get_json_object(first, "$.name"), F.lit("untitled"))).otherwise("")
+    content = F.when(canvas, F.get_json_object(first, "$.content")).when(kind == "picture", picture).otherwise(said)
+    return c.select("conversation_id", "node", kind.alias("kind"), name.alias("name"), content.alias("content")).where("kind is not null")
+
+
 #: A line that cuts a long answer into several messages.
 DIVIDER = r"\n---+\n"
 

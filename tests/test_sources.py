@@ -144,3 +144,16 @@ def test_sinks(spark, tmp_path):
     assert text.count("### ANCHOR-") == 10 and "**Items**: 2 | **Platform**: grok" in text
     gate = evaluate.regression_gate(spark.createDataFrame([("m", 0.5)], "metric string, value double"), spark.createDataFrame([("m", 0.4)], "metric string, value double"))
     assert "| m | 0.5000 | 0.4000 | -0.1000 | regressed |" in sinks.metric_report(gate, "run")
+
+
+def test_artifacts_thinking_and_attachments(spark):
+    blocks = [{"type": "thinking", "thinking": "let me see", "summaries": ["short"]}, {"type": "tool_use", "name": "artifacts", "id": "a", "input": {"id": "i", "title": "T", "command": "create", "content": "body"}}, {"type": "tool_use", "name": "web_search", "id": "t1", "input": {"q": "x"}}, {"type": "tool_use", "name": "bash", "id": "t2", "input": {}}, {"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "one"}, {"type": "image"}, {"type": "text", "text": "two"}]}, {"type": "text", "text": "ok", "citations": [{"url": "u", "title": "n"}]}]
+    c = [{"uuid": "k", "chat_messages": [{"sender": "human", "content": [], "attachments": [{"file_name": "f.txt", "extracted_content": "in it"}], "files": [{"file_name": "p.png"}]}, {"sender": "assistant", "content": blocks}]}]
+    a, b = exports.block_details(texts(spark, c)).orderBy("place").collect()
+    assert [tuple(x) for x in a["attachments"]] == [("f.txt", "in it"), ("p.png", None)] and a["thinking"] == ""
+    assert b["thinking"] == "let me see\n[Summary] short" and [x["content"] for x in b["artifacts"]] == ["body"] and b["artifacts"][0]["command"] == "create"
+    assert [(x["name"], x["output"]) for x in b["tools"]] == [("web_search", "one\ntwo"), ("bash", None)] and [tuple(x) for x in b["citations"]] == [("u", "n")]
+    msg = lambda role, parts, **kw: {"author": {"role": role}, "content": {"parts": parts}, **kw}
+    mapping = {"a": {"id": "a", "message": msg("assistant", [json.dumps({"name": "doc", "type": "document", "content": "text"})], recipient="canmore.create_textdoc")}, "b": {"id": "b", "message": msg("tool", [{"content_type": "image_asset_pointer", "asset_pointer": "file://p"}])}, "c": {"id": "c", "message": msg("tool", ["42"])}, "d": {"id": "d", "message": msg("assistant", ["cut {"], recipient="canmore.update_textdoc")}}
+    got = {r["node"]: (r["kind"], r["name"], r["content"]) for r in exports.tree_artifacts(texts(spark, [{"conversation_id": "k", "mapping": mapping}])).collect()}
+    assert got == {"a": ("canvas", "doc", "text"), "b": ("picture", "", "file://p"), "c": ("output", "", "42")}
