@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.queries import answers, enriched, memory, passages, star, stores
+from engramma.queries import answers, enriched, imports, memory, passages, star, stores
 
-MODULES = (passages, memory, stores, answers, enriched, star)
+MODULES = (passages, memory, stores, answers, enriched, imports, star)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
