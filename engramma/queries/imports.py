@@ -235,7 +235,8 @@ def late_interaction(spark, d):
 
 def markdown_context(spark, d):
     """Documents with headers put between their halves: tiles after a header begin with it as context."""
-    doc = table(spark, d, "documents").where("n_chars > 3000").select("doc_id", F.concat(F.lit("# Top "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 1000), F.lit("\n## Second\n"), F.expr("substring(text, 1001)")).alias("text"))
+    plain = table(spark, d, "documents").withColumn("text", F.translate("text", "#", "+"))  # no headers of its own
+    doc = plain.where("n_chars > 3000").select("doc_id", F.concat(F.lit("# Top "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 1000), F.lit("\n## Second\n"), F.expr("substring(text, 1001)")).alias("text"))
     t = ti.with_context(ti.tiles(doc, "search_512"))
     return t.select("doc_id", "tile_index", F.when(F.col("content").startswith("[Context: "), F.regexp_extract("content", r"^\[Context: ([^\]]*)\]", 1)).alias("context"))
 
@@ -252,7 +253,7 @@ _ORDER = "CASE stage WHEN 'kernel' THEN 0 WHEN 'v0' THEN 1 WHEN 'layer_0' THEN 2
 _MAN = f"SELECT content_hash, min_by(path, {{'o': {_ORDER}, 'p': path}}) AS owner, count(*) AS n_files, md5(string_agg(path, ',' ORDER BY path)) AS paths_md5 FROM ({_STAGED}) GROUP BY content_hash"
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 
-_HEADED = "(SELECT doc_id, '# Top ' || doc_id || chr(10) || substring(text, 1, 1000) || chr(10) || '## Second' || chr(10) || substring(text, 1001) AS text FROM documents WHERE n_chars > 3000)"
+_HEADED = "(SELECT doc_id, '# Top ' || doc_id || chr(10) || substring(text, 1, 1000) || chr(10) || '## Second' || chr(10) || substring(text, 1001) AS text FROM (SELECT doc_id, n_chars, replace(text, '#', '+') AS text FROM documents) WHERE n_chars > 3000)"
 SQL = {
     **dict.fromkeys(("export_tree", "export_blocks", "export_responses", "export_bulk", "export_lines", "export_labelled"), _SAID),
     "export_single": f"SELECT sha256(conversation_id) AS conversation_id, 'claude' AS platform, position, role, text_md5 FROM ({_SAID})",
