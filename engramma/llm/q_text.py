@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from engramma.llm import decontaminate, mixing, near_dup, quality, tokens, toxicity
+from engramma.llm import decontaminate, mixing, near_dup, quality, simhash, tokens, toxicity
 from engramma.session import table
 
 
@@ -104,5 +104,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS componen
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM reach GROUP BY v) r ON r.v = d.doc_id
 """
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_token_store": op8_token_store, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op13_simhash": op13_simhash, "op10_ngram_jaccard": op10_ngram_jaccard, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op8_token_store": op8_token_store, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing}
 SQL = {"op10_ngram_jaccard": OP10_SQL, "op1_decontaminate": OP1_SQL, "op2_mixing": OP2_SQL}
