@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.llm import q_text, q_tables
+from engramma.llm import q_rank, q_tables, q_text
 
-MODULES = (q_text, q_tables)
+MODULES = (q_text, q_tables, q_rank)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
