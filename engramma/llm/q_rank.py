@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.llm import phrases
+from engramma.llm import lexical, phrases
 from engramma.session import table
 
 
@@ -39,5 +39,27 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN total USING (lang) WHERE rank <= 2000
 """
 
-QUERIES = {"op12_collocations": op12_collocations}
-SQL = {"op12_collocations": OP12_SQL}
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, rid, w, len(w) AS n FROM (
+    SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+m AS (SELECT rid, doc_id, 100 - 90 + ((90 * n * nd) // nt) AS m FROM d, total),
+s AS (
+  SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_collocations": op12_collocations}
+SQL = {"op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL}
