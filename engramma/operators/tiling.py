@@ -32,27 +32,26 @@ def tile_grid(docs: DataFrame, chunk: int, step: int, text: str = "text") -> Dat
 def tiles(docs: DataFrame, scale: str, text: str = "text") -> DataFrame:
     """Tiles of one scale: scale, tile_index, start_char, end_char, content, token_count; the document's other columns stay.
 
-    All tiles of a row are cut inside one array expression, so that the text is not copied for each of them.
+    A text is cut once into cells as long as a step; every tile is made of the few cells that begin with its own, so the
+    work is linear in the text's length.
     """
     chunk, step = SCALES[scale]
-    body, n, tail_at = F.col(text), F.length(text), int(0.8 * chunk)
-    last = F.when(n <= chunk, F.lit(0)).otherwise(F.floor((n - step // 2) / step).cast("int"))
-
-    def grid(i: Column) -> Column:
-        start = F.when(n <= chunk, F.lit(0)).otherwise(i * step).cast("int")
-        stretched = (i == last) & ((last + 1) * step < n)
-        return F.struct(i.alias("i"), start.alias("start"), F.when((n <= chunk) | stretched, n).otherwise(F.least(i * step + chunk, n)).cast("int").alias("stop"))
-
-    def cut(g: Column) -> Column:
-        back = F.reverse(F.substring(body, g["start"] + tail_at + 1, g["stop"] - g["start"] - tail_at))
-        breaks = F.struct(F.locate("\n\n", back).alias("para"), F.locate(" .", back).alias("sentence"))
-        at = F.element_at(F.transform(F.array(breaks), lambda b: F.when(g["stop"] >= n, g["stop"]).when(b["para"] > 0, g["stop"] - b["para"] + 1).when(b["sentence"] > 0, g["stop"] - b["sentence"] + 1).otherwise(g["stop"])), 1)
-        return F.struct(g["i"].alias("tile_index"), g["start"].alias("start_char"), at.cast("int").alias("end_char"))
-
-    placed = F.transform(F.transform(F.sequence(F.lit(0), last), grid), cut)
-    whole = F.transform(placed, lambda t: F.struct(t["tile_index"].alias("tile_index"), t["start_char"].alias("start_char"), t["end_char"].alias("end_char"), F.substring(body, t["start_char"] + 1, t["end_char"] - t["start_char"]).alias("content")))
-    t = docs.where(body.isNotNull()).select("*", F.explode(whole).alias("__t")).select(*docs.columns, "__t.*")
-    return t.withColumn("scale", F.lit(scale)).withColumn("token_count", token_estimate(F.col("content")))
+    cells = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    d = docs.where(F.col(text).isNotNull()).withColumn("__n", F.length(text)).withColumn("__cells", cells)
+    last = F.when(F.col("__n") <= chunk, F.lit(0)).otherwise(F.floor((F.col("__n") - step // 2) / step).cast("int"))
+    neighbours = lambda i: F.concat(*(F.coalesce(F.get("__cells", i + k), F.lit("")) for k in range(-(-chunk // step))))
+    d = d.withColumn("__last", last).select("*", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("tile_index"), neighbours(i).alias("raw")))).alias("__t"))
+    i, raw, n = F.col("__t.tile_index"), F.col("__t.raw"), F.col("__n")
+    start = F.when(n <= chunk, F.lit(0)).otherwise(i * step).cast("int")
+    stretched = (i == F.col("__last")) & ((F.col("__last") + 1) * step < n)
+    stop = F.when((n <= chunk) | stretched, n).otherwise(F.least(i * step + chunk, n)).cast("int")
+    d = d.select(*docs.columns, i.alias("tile_index"), start.alias("start_char"), stop.alias("__stop"), "__n", raw.alias("__raw"))
+    tail_at = int(0.8 * chunk)
+    d = d.withColumn("__back", F.reverse(F.substring("__raw", F.lit(tail_at + 1), F.col("__stop") - F.col("start_char") - tail_at)))
+    para, sentence = F.locate("\n\n", F.col("__back")), F.locate(" .", F.col("__back"))
+    end = F.when(F.col("__stop") >= F.col("__n"), F.col("__stop")).when(para > 0, F.col("__stop") - para + 1).when(sentence > 0, F.col("__stop") - sentence + 1).otherwise(F.col("__stop"))
+    d = d.withColumn("end_char", end.cast("int")).withColumn("content", F.substring("__raw", F.lit(1), F.col("end_char") - F.col("start_char")))
+    return d.select(*docs.columns, "tile_index", "start_char", "end_char", "content", F.lit(scale).alias("scale"), token_estimate(F.col("content")).alias("token_count"))
 
 
 def multi_scale(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from engramma.functions import text as tx
 from engramma.functions import timefn
-from engramma.functions.vector import max_sim
 from engramma.operators import events as el
 from engramma.operators import exchanges as ex
 from engramma.operators import graph as gr
@@ -225,18 +224,10 @@ def pair_edges(spark, d):
     return gr.merge_edges(e)
 
 
-def late_interaction(spark, d):
-    """Vectors of one label as a document's tokens, against the first four vectors as a query."""
-    e = table(spark, d, "embeddings")
-    docs = e.where("vec_id >= 4 and vec_id < 404").groupBy((F.col("vec_id") % 40).alias("doc")).agg(F.collect_list("embedding").alias("tokens"))
-    q = e.where("vec_id < 4").agg(F.collect_list("embedding").alias("q"))  # four vectors
-    return docs.crossJoin(F.broadcast(q)).select("doc", F.round(max_sim(F.col("q"), F.col("tokens")), 6).alias("score"))
-
-
 def markdown_context(spark, d):
     """Documents with headers put between their halves: tiles after a header begin with it as context."""
     plain = table(spark, d, "documents").withColumn("text", F.translate("text", "#", "+"))  # no headers of its own
-    doc = plain.where("n_chars > 3000").select("doc_id", F.concat(F.lit("# Top "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 1000), F.lit("\n## Second\n"), F.expr("substring(text, 1001)")).alias("text"))
+    doc = plain.select("doc_id", F.concat(F.lit("# Top "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 1000), F.lit("\n## Second\n"), F.expr("substring(text, 1001)")).alias("text"))
     t = ti.with_context(ti.tiles(doc, "search_512"))
     return t.select("doc_id", "tile_index", F.when(F.col("content").startswith("[Context: "), F.regexp_extract("content", r"^\[Context: ([^\]]*)\]", 1)).alias("context"))
 
@@ -247,13 +238,12 @@ def footnotes(spark, d):
     return b.select("item_id", F.md5(F.encode(tx.without_footnotes(text), "utf-8")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (export_tree, export_blocks, export_responses, export_bulk, export_single, export_lines, export_labelled, export_formats, export_markdown, export_activity, sharegpt_lines, corpus_files, corpus_manifest, corpus_owned, corpus_newest, corpus_unseen, corpus_changed, path_dates, iso_times, cycle_window, event_layers, symmetric_edges, pair_edges, late_interaction, markdown_context, footnotes)}
+QUERIES = {f.__name__: f for f in (export_tree, export_blocks, export_responses, export_bulk, export_single, export_lines, export_labelled, export_formats, export_markdown, export_activity, sharegpt_lines, corpus_files, corpus_manifest, corpus_owned, corpus_newest, corpus_unseen, corpus_changed, path_dates, iso_times, cycle_window, event_layers, symmetric_edges, pair_edges, markdown_context, footnotes)}
 
 _ORDER = "CASE stage WHEN 'kernel' THEN 0 WHEN 'v0' THEN 1 WHEN 'layer_0' THEN 2 WHEN 'chewy' THEN 3 WHEN 'layer_2' THEN 6 ELSE 9 END"
 _MAN = f"SELECT content_hash, min_by(path, {{'o': {_ORDER}, 'p': path}}) AS owner, count(*) AS n_files, md5(string_agg(path, ',' ORDER BY path)) AS paths_md5 FROM ({_STAGED}) GROUP BY content_hash"
-_DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 
-_HEADED = "(SELECT doc_id, '# Top ' || doc_id || chr(10) || substring(text, 1, 1000) || chr(10) || '## Second' || chr(10) || substring(text, 1001) AS text FROM (SELECT doc_id, n_chars, replace(text, '#', '+') AS text FROM documents) WHERE n_chars > 3000)"
+_HEADED = "(SELECT doc_id, '# Top ' || doc_id || chr(10) || substring(text, 1, 1000) || chr(10) || '## Second' || chr(10) || substring(text, 1001) AS text FROM (SELECT doc_id, replace(text, '#', '+') AS text FROM documents WHERE text IS NOT NULL))"
 SQL = {
     **dict.fromkeys(("export_tree", "export_blocks", "export_responses", "export_bulk", "export_lines", "export_labelled"), _SAID),
     "export_single": f"SELECT sha256(conversation_id) AS conversation_id, 'claude' AS platform, position, role, text_md5 FROM ({_SAID})",
@@ -273,7 +263,6 @@ SQL = {
     "event_layers": "SELECT CASE WHEN event_type = 'purchase' THEN 0 WHEN event_type IN ('click', 'view') THEN 1 ELSE 2 END AS layer, count(*) AS n FROM events GROUP BY 1",
     "symmetric_edges": f"SELECT node, direction, count(*) AS n, max(other) AS last FROM (SELECT src AS node, dst AS other, 'out' AS direction FROM ({EDGES}) UNION ALL SELECT dst, src, 'in' FROM ({EDGES})) GROUP BY 1, 2",
     "pair_edges": f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, max((src * 7 + dst) % 10 / CAST(10 AS DOUBLE)) AS jaccard FROM ({EDGES}) GROUP BY 1, 2",
-    "late_interaction": f"SELECT doc, round(sum(m), 6) AS score FROM (SELECT e.vec_id % 40 AS doc, q.vec_id, max({_DOT}) AS m FROM embeddings e, embeddings q WHERE q.vec_id < 4 AND e.vec_id >= 4 AND e.vec_id < 404 GROUP BY 1, 2) GROUP BY doc",
     "markdown_context": f"SELECT doc_id, tile_index, CASE WHEN tile_index = 0 THEN NULL WHEN start_char >= 1000 + length('# Top ' || doc_id || '..## Second') THEN 'Second' ELSE 'Top ' || doc_id END AS context FROM ({tile_sql('search_512').replace('FROM documents WHERE text IS NOT NULL', 'FROM ' + _HEADED)})",
     "footnotes": r"SELECT item_id, md5('a  ' || text || ' ' || chr(10) || chr(10) || 'end') AS text_md5 FROM benchmark",
 }
