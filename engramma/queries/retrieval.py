@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from engramma.operators import dictionary as dc
 from engramma.operators import maxsim
+from engramma.operators import motifs as mo
 from engramma.session import table
 
 #: Vectors in a document, queries, and what each is given.
@@ -27,7 +31,24 @@ def late_interaction_probed(spark, d):
     return _late(spark, d, False)
 
 
-QUERIES = {f.__name__: f for f in (late_interaction, late_interaction_probed)}
+_EXAMPLES = [e for m in dc.STANDARD for e in m.examples]
+_AGAINST = [a for m in dc.STANDARD for a in m.anti_examples]
+
+
+def motif_dictionary(spark, d):
+    """The standard dictionary over all documents, each with a phrase of it put at its end, every other with an anti-example too."""
+    pick = lambda phrases: F.get(F.array(*map(F.lit, phrases)), (F.col("doc_id") % len(phrases)).cast("int"))
+    against = F.when(F.col("doc_id") % 2 == 0, pick(_AGAINST)).otherwise("")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat("text", F.lit(". "), pick(_EXAMPLES), F.lit(". "), against).alias("text"))
+    return mo.assign(docs, dc.standard_dictionary(), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (late_interaction, late_interaction_probed, motif_dictionary)}
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_listed = lambda xs: "[" + ", ".join(map(_quoted, xs)) + "]"
+_OUTSIDE = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
+_PATTERNS = ", ".join(f"({_quoted(m.motif_id)}, '{m.band}', {_quoted(e.split()[0])}, {_quoted(r'\s+'.join(re.escape(w) for w in e.split()))})" for m in dc.STANDARD for e in m.examples)
+_ANTI = ", ".join(f"({_quoted(m.motif_id)}, {_listed(m.anti_examples)})" for m in dc.STANDARD)
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 SQL = {
     "late_interaction": f"""SELECT query_id, rank, doc, round(s, 6) AS score FROM (
@@ -35,4 +56,15 @@ SQL = {
     SELECT query_id, doc, sum(m) AS s FROM (
       SELECT q.vec_id // {TOKENS} AS query_id, q.vec_id AS token, e.vec_id // {TOKENS} AS doc, max({_DOT}) AS m
       FROM embeddings q, embeddings e WHERE (q.vec_id // {TOKENS}) % {EVERY} = 0 GROUP BY ALL) GROUP BY ALL)) WHERE rank <= {BEST}""",
+    "motif_dictionary": f"""
+WITH t AS (SELECT doc_id, text || '. ' || {_listed(_EXAMPLES)}[doc_id % {len(_EXAMPLES)} + 1] || '. ' || CASE WHEN doc_id % 2 = 0 THEN {_listed(_AGAINST)}[doc_id % {len(_AGAINST)} + 1] ELSE '' END AS text FROM documents WHERE text IS NOT NULL),
+low AS (SELECT doc_id, length(text) AS n, lower(text) AS low FROM t),
+pat AS (SELECT * FROM (VALUES {_PATTERNS}) v(motif_id, band, first, pattern)),
+hit AS (
+  SELECT doc_id, n, low, motif_id, band, CAST(sum(len(regexp_extract_all(low, '(?:^|{_OUTSIDE})' || pattern || '(?:$|{_OUTSIDE})'))) AS INTEGER) AS hits
+  FROM low JOIN pat ON contains(low, first) GROUP BY ALL),
+speak AS (SELECT * FROM (VALUES {_ANTI}) v(motif_id, against))
+SELECT doc_id, motif_id, band, hits, round(least(CAST(1 AS DOUBLE), CAST(0.15 AS DOUBLE) * hits / (CAST(n AS DOUBLE) / 1000)), 4) AS amp,
+       greatest(CAST(0.1 AS DOUBLE), 1 - CAST(0.3 AS DOUBLE) * len(list_filter(against, lambda a: contains(low, a)))) AS confidence
+FROM hit JOIN speak USING (motif_id) WHERE hits > 0""",
 }
