@@ -60,34 +60,6 @@ def sharegpt_json(training: DataFrame, source: str) -> DataFrame:
     return training.select(F.to_json(F.struct("conversations", F.lit(source).alias("source"))).alias("value"))
 
 
-def budget_chunks(rows: DataFrame, group: str, order: str, text: str, chunk_tokens: int, overlap_tokens: int) -> DataFrame:
-    """(group, chunk_index, text, first, last): rows packed until a chunk is full, the next one beginning with the last rows that fit the overlap.
-
-    Where a chunk begins depends on where the one before ended, so each group is walked in order by one function call.
-    """
-    import pandas as pd
-
-    def pack(pdf):
-        pdf = pdf.sort_values(order)
-        texts = [t or "" for t in pdf[text]]
-        size = [len(t) // 4 for t in texts]
-        out, start, i, total = [], 0, 0, 0
-        while i < len(texts):
-            total += size[i]
-            i += 1
-            if total >= chunk_tokens or i == len(texts):
-                out.append((pdf[group].iloc[0], len(out), "\n\n".join(texts[start:i]), start, i - 1))
-                keep, kept = i, 0
-                while keep > start + 1 and kept + size[keep - 1] <= overlap_tokens:
-                    keep -= 1
-                    kept += size[keep]
-                start, total = keep, kept
-        return pd.DataFrame(out, columns=[group, "chunk_index", "text", "first", "last"])
-
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, order, text).groupBy(group).applyInPandas(pack, f"{group} {kind}, chunk_index int, text string, first int, last int")
-
-
 def interleaved(a: DataFrame, b: DataFrame, order: str, a_share: int = 2) -> DataFrame:
     """``a_share`` rows of ``a`` for each of ``b``, by computed positions; both have the same columns."""
     ra, rb = (numbered(d, order, name="__n").withColumn("__n", F.col("__n") - 1) for d in (a, b))
@@ -96,24 +68,6 @@ def interleaved(a: DataFrame, b: DataFrame, order: str, a_share: int = 2) -> Dat
     return ra.unionByName(rb).drop("__n")
 
 
-def packed(items: DataFrame, group: str, order: str, size: str, budget: int, misses: int = 20) -> DataFrame:
-    """The items of each group that a package takes, in order: those that still fit the budget, until more than ``misses`` did not.
-
-    Whether an item fits depends on all that were taken before; a group's items are folded in order inside its row.
-    Groups are packages, of bounded size.
-    """
-    state = "struct<used: bigint, missed: int, taken: array<struct<o: bigint, s: bigint>>>"
-    start = F.from_json(F.lit('{"used": 0, "missed": 0, "taken": []}'), state)
-
-    def step(s, x):
-        fits = (s["missed"] <= misses) & (s["used"] + x["s"] <= budget)
-        return F.struct(F.when(fits, s["used"] + x["s"]).otherwise(s["used"]).alias("used"), F.when(fits, s["missed"]).otherwise(s["missed"] + 1).cast("int").alias("missed"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))))
-    g = items.groupBy(group).agg(F.aggregate(rows, start, step)["taken"].alias("t"))
-    return g.select(group, F.posexplode("t").alias("place", "x")).select(group, "place", F.col("x.o").alias(order), F.col("x.s").alias(size))
-
-
 def best_file(files: DataFrame, conversation: str, n_exchanges: str, path: str) -> DataFrame:
     """Of each conversation's files that with the most exchanges, then the longest path, then the last by name."""
     row = F.struct(*(F.col(f"`{c}`") for c in files.columns))

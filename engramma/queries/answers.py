@@ -272,10 +272,6 @@ def best_files(spark, d):
     return ex.best_file(f, "conv_id", "n", "path")
 
 
-def budget_packing(spark, d):
-    return ex.packed(_docs(spark, d), "source", "doc_id", "n_chars", 20_000)
-
-
 def interleave(spark, d):
     a = _docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("corpus").alias("kind"))
     b = table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.lit("exchange").alias("kind"))
@@ -323,7 +319,7 @@ def long_parts(spark, d):
     return tx.split_content(_docs(spark, d), "doc_id", most=10_000, overlap=500, back=2000).select("doc_id", "part_index", "n_parts", F.md5(F.encode("content", "utf-8")).alias("content_md5"))
 
 
-QUERIES = {f.__name__: f for f in (response_items, response_issues, batch_rows, motif_annotations, exchange_normalise, exchange_format, transcript_files, exchange_owners, source_dedup_hash, deterministic_ids, lane_route, source_layer, subset_match, payload_summary, entity_names, code_blocks, file_names, activity_dates, band_filter, theme_filter, motif_edge_search, motif_cooccurrence, evolution_search, tile_resonance, theme_routing, theme_index, cosine_judge, eval_rerank, strategy_means, ablation, gold_metrics, motif_metrics, term_recall, duplicate_copies, duplicate_names, best_files, budget_packing, interleave, as_of_tolerance, ranked_lists_cli, query_plans, adaptive_search, long_parts)}
+QUERIES = {f.__name__: f for f in (response_items, response_issues, batch_rows, motif_annotations, exchange_normalise, exchange_format, transcript_files, exchange_owners, source_dedup_hash, deterministic_ids, lane_route, source_layer, subset_match, payload_summary, entity_names, code_blocks, file_names, activity_dates, band_filter, theme_filter, motif_edge_search, motif_cooccurrence, evolution_search, tile_resonance, theme_routing, theme_index, cosine_judge, eval_rerank, strategy_means, ablation, gold_metrics, motif_metrics, term_recall, duplicate_copies, duplicate_names, best_files, interleave, as_of_tolerance, ranked_lists_cli, query_plans, adaptive_search, long_parts)}
 
 _XCH = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY x) - 1 AS i, prompt, response FROM (SELECT conv_id, x, coalesce(max(text) FILTER (role = 'user'), '') AS prompt, coalesce(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS response FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY conv_id, x)"
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"

@@ -1,4 +1,4 @@
-"""Late interaction through the token index; the standard dictionary found in texts that hold its phrases."""
+"""Late interaction through the token index; the standard dictionary found in texts that hold its phrases; chunks and packages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from engramma.operators import chunking as ck
 from engramma.operators import dictionary as dc
 from engramma.operators import maxsim
 from engramma.operators import motifs as mo
@@ -43,7 +44,27 @@ def motif_dictionary(spark, d):
     return mo.assign(docs, dc.standard_dictionary(), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (late_interaction, late_interaction_probed, motif_dictionary)}
+#: Tokens in a chunk and carried over, characters of paragraphs, a package's budget.
+CHUNK, OVERLAP, CHARS, BUDGET = 2000, 400, 400, 20_000
+
+
+def budget_chunks(spark, d):
+    """All documents of a source in order, packed into chunks."""
+    c = ck.budget_chunks(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", CHUNK, OVERLAP)
+    return c.select("source", "chunk_index", "first", "last", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+def paragraph_chunks(spark, d):
+    """The lines of every document as its paragraphs."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return ck.paragraph_chunks(docs, "doc_id", chunk_chars=CHARS).select("doc_id", "chunk_index", "content_hash")
+
+
+def budget_packing(spark, d):
+    return ck.packed(table(spark, d, "documents").where("text is not null"), "source", "doc_id", "n_chars", BUDGET)
+
+
+QUERIES = {f.__name__: f for f in (late_interaction, late_interaction_probed, motif_dictionary, budget_chunks, paragraph_chunks, budget_packing)}
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 _listed = lambda xs: "[" + ", ".join(map(_quoted, xs)) + "]"
 _OUTSIDE = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
@@ -67,4 +88,36 @@ speak AS (SELECT * FROM (VALUES {_ANTI}) v(motif_id, against))
 SELECT doc_id, motif_id, band, hits, round(least(CAST(1 AS DOUBLE), CAST(0.15 AS DOUBLE) * hits / (CAST(n AS DOUBLE) / 1000)), 4) AS amp,
        greatest(CAST(0.1 AS DOUBLE), 1 - CAST(0.3 AS DOUBLE) * len(list_filter(against, lambda a: contains(low, a)))) AS confidence
 FROM hit JOIN speak USING (motif_id) WHERE hits > 0""",
+    "budget_chunks": f"""
+WITH RECURSIVE r AS (
+  SELECT source, text, length(text) // 4 AS tok, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, (length(text) // 4 > {CHUNK})::INT AS giant
+  FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+s AS (SELECT *, sum(giant) OVER (PARTITION BY source ORDER BY place) AS seg FROM r),
+small AS (SELECT *, sum(tok) OVER w AS upto, sum(tok) OVER w - tok AS before, row_number() OVER w - 1 AS pos FROM s WHERE giant = 0 WINDOW w AS (PARTITION BY source, seg ORDER BY place)),
+stop AS (SELECT a.source, a.seg, a.pos, min(e.pos) FILTER (e.upto - a.before >= {CHUNK}) AS stop, max(e.pos) AS tail FROM small a JOIN small e ON e.source = a.source AND e.seg = a.seg AND e.pos >= a.pos GROUP BY ALL),
+nxt AS (SELECT t.source, t.seg, t.pos, min(k.pos) AS nxt FROM stop t JOIN small e ON e.source = t.source AND e.seg = t.seg AND e.pos = t.stop JOIN small k ON k.source = t.source AND k.seg = t.seg AND k.before >= e.upto - {OVERLAP} GROUP BY ALL),
+c AS (SELECT source, seg, pos FROM small WHERE pos = 0 UNION SELECT c.source, c.seg, n.nxt FROM c JOIN nxt n ON n.source = c.source AND n.seg = c.seg AND n.pos = c.pos),
+b AS (SELECT c.source, c.seg, c.pos, coalesce(stop, tail) AS stop FROM c JOIN stop t ON t.source = c.source AND t.seg = c.seg AND t.pos = c.pos),
+chunk AS (
+  SELECT b.source, min(x.place) AS first, max(x.place) AS last, string_agg(x.text, chr(10) || chr(10) ORDER BY x.pos) AS text FROM b JOIN small x ON x.source = b.source AND x.seg = b.seg AND x.pos BETWEEN b.pos AND b.stop GROUP BY b.source, b.seg, b.pos
+  UNION ALL SELECT source, place, place, text FROM s WHERE giant = 1)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY first) - 1 AS INTEGER) AS chunk_index, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, md5(text) AS text_md5 FROM chunk""",
+    "paragraph_chunks": f"""
+WITH RECURSIVE p AS (SELECT doc_id, trim(x, E' \\t\\n\\r\\x0b\\x0c') AS x, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+q AS (SELECT doc_id, x, length(x) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM p WHERE x <> ''),
+c AS (
+  SELECT doc_id, k, 0 AS chunk, n AS held, x AS text, n AS tail_n, x AS tail, false AS done FROM q WHERE k = 1
+  UNION ALL
+  SELECT c.doc_id, q.k, c.chunk + (c.held + q.n > {CHARS})::INT, CASE WHEN c.held + q.n > {CHARS} THEN c.tail_n + q.n ELSE c.held + q.n END,
+         CASE WHEN c.held + q.n > {CHARS} THEN c.tail ELSE c.text END || chr(10) || chr(10) || q.x, q.n, q.x, false
+  FROM c JOIN q ON q.doc_id = c.doc_id AND q.k = c.k + 1)
+SELECT doc_id, chunk AS chunk_index, substring(sha256(arg_max(text, k)), 1, 16) AS content_hash FROM c GROUP BY doc_id, chunk""",
+    "budget_packing": f"""
+WITH RECURSIVE r AS (SELECT source, doc_id, CAST(n_chars AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, 0 AS missed, 0 AS taken, false AS took FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.source, r.k, CASE WHEN ok THEN used + x.n ELSE used END, CASE WHEN ok THEN missed ELSE missed + 1 END, CASE WHEN ok THEN taken + 1 ELSE taken END, ok
+  FROM (SELECT w.source, w.k, w.used, w.missed, w.taken, r.n, r.k AS rk, w.missed <= 20 AND w.used + r.n <= {BUDGET} AS ok FROM w JOIN r ON r.source = w.source AND r.k = w.k + 1) x JOIN r ON r.source = x.source AND r.k = x.rk)
+SELECT w.source, taken - 1 AS place, r.doc_id, r.n AS n_chars FROM w JOIN r ON r.source = w.source AND r.k = w.k WHERE took""",
 }

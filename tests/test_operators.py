@@ -78,12 +78,6 @@ def test_fusion_and_caps(spark):
     assert best["id"] == 1 and abs(best["score"] - (1 / 61 + 1 / 63)) < 1e-12
 
 
-def test_chunks_carry_overlap(spark):
-    rows = spark.createDataFrame([("s", i, "x" * 400) for i in range(10)], "s string, i int, t string")
-    got = exchanges.budget_chunks(rows, "s", "i", "t", 300, 100).orderBy("chunk_index").collect()
-    assert got[0]["first"] == 0 and got[1]["first"] == got[0]["last"] and got[-1]["last"] == 9
-
-
 def test_phi():
     assert events.phi_coherence(1.0, 1.0, 1.0) == 1.0
     assert events.phi_coherence(0.0, 1.0, 1.0) < 0.4

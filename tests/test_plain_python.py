@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramma.functions import text as tx
-from engramma.operators import dictionary, exchanges, graph, motifs, parsing, search, tables
+from engramma.operators import dictionary, graph, motifs, parsing, search, tables
 from engramma.operators.ordered import numbered
 from engramma.plans import adaptive
 from engramma.queries import answers
@@ -83,24 +83,6 @@ def test_long_parts_against_plain_python(spark):
         assert [got[i][j] for j in range(len(got[i]))] == (parts_by_hand(t, 1000, 50, 300) or [""])
 
 
-def test_budget_packing_against_plain_python(spark, sf, duck):
-    want = set()
-    rows = {}
-    for source, doc, n in duck.sql("select source, doc_id, n_chars from documents order by doc_id").fetchall():
-        rows.setdefault(source, []).append((doc, n))
-    for source, items in rows.items():
-        used = missed = place = 0
-        for doc, n in items:
-            if missed <= 20 and used + n <= 20_000:
-                want.add((source, place, doc, n))
-                used, place = used + n, place + 1
-            else:
-                missed += 1
-    got = {(r["source"], r["place"], r["doc_id"], r["n_chars"]) for r in answers.budget_packing(spark, sf).collect()}
-    assert got == want
-    assert exchanges.packed(spark.createDataFrame([], "g string, o long, s long"), "g", "o", "s", 10).count() == 0
-
-
 def bm25_by_hand(texts, query, k1=1.2, b=0.75):
     words = {k: re.findall(r"[^\W\d_]+|\d+", t.lower()) for k, t in texts.items()}
     n, avg = len(texts), sum(map(len, words.values())) / len(texts)

@@ -5,7 +5,7 @@ from engramma import registry
 
 
 #: Queries that SQL does not express; test_plain_python.py and test_maxsim.py hold them against plain Python.
-WITHOUT_SQL = {"adaptive_search", "budget_packing", "late_interaction_probed", "long_parts", "query_plans"}
+WITHOUT_SQL = {"adaptive_search", "late_interaction_probed", "long_parts", "query_plans"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - WITHOUT_SQL))
