@@ -156,30 +156,34 @@ def paragraph_chunks(docs: DataFrame, key: str, text: str = "text", chunk_chars:
 def packed(items: DataFrame, group: str, order: str, size: str, budget: int, misses: int = 20) -> DataFrame:
     """(group, place, order, size): the items of each group that a package takes, in order: those that still fit the budget, until more than ``misses`` did not.
 
-    Between two misses the items taken are a run, which running sums find at once, so a package is found in at most
-    ``misses`` + 1 rounds over the sums, all groups together. Sizes are not negative. Null sizes count as 0, items
-    without an order come first, a null group is a group.
+    An item with a size is taken, and uses up some of the budget, or is missed; so what becomes of a group shows in its
+    first ``budget`` + ``misses`` + 1 items that have a size, however many it has. Of these, a call for each group finds
+    the misses, a run between two of them at a time. Sizes are not negative. Null sizes count as 0, items without an
+    order come first, a null group is a group.
     """
     name = F.to_json(F.struct(F.col(group).alias("g")))
     t = items.select(F.col(group).alias("group"), name.alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s"))
-    t = written(running(t, "g", ["o"], {"before": "s"}, "pos"), "package-items")
-    ranges = "array<struct<lo: bigint, hi: bigint, place: bigint>>"
-    state = written(t.groupBy("g").agg(F.count("*").alias("n")).select("g", "n", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("taken"), F.array().cast(ranges).alias("runs"), F.lit(False).alias("done")), "package-state")
-    for _ in range(misses + 1):
-        # the first item from ``at`` on with which the run no longer fits; ``base`` is the sum before ``at``
-        go = state.where("not done").select("g", "at", "base", "used")
-        if not go.limit(1).count():
-            break
-        over = t.join(go, "g").where((F.col("pos") >= F.col("at")) & (F.col("used") + F.col("before") + F.col("s") - F.col("base") > budget))
-        over = over.groupBy("g").agg(F.min(F.struct("pos", "before", "s")).alias("m"))
-        j = state.join(over, "g", "left")
-        hi = F.coalesce(F.col("m.pos"), F.col("n"))
-        run = F.concat("runs", F.array(F.struct(F.col("at").alias("lo"), hi.alias("hi"), F.col("taken").alias("place"))))
-        new = {
-            "runs": run, "taken": F.col("taken") + hi - F.col("at"), "used": F.col("used") + F.coalesce(F.col("m.before") - F.col("base"), F.lit(0)),
-            "at": hi + 1, "base": F.coalesce(F.col("m.before") + F.col("m.s"), F.lit(0)), "done": F.col("m").isNull(),
-        }
-        state = written(j.select("g", "n", *(F.when(F.col("done"), F.col(c)).otherwise(e).alias(c) for c, e in new.items())), "package-state")
-    runs = state.select("g", F.explode("runs").alias("r")).where("r.hi > r.lo").select("g", "r.*")
-    # a group has few runs; items meet theirs by place
-    return t.join(runs, (t["g"] == runs["g"]) & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).select(F.col("group").alias(group), (F.col("place") + F.col("pos") - F.col("lo")).cast("int").alias("place"), F.col("o").alias(order), F.col("s").alias(size))
+    t = t.withColumn("sized", (F.col("s") > 0).cast("long"))
+    t = written(running(t, "g", ["o"], {"nth": "sized"}, "pos"), "package-items")
+
+    def missed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, sums = pdf["pos"].to_numpy(np.int64), np.append(0, np.cumsum(pdf["s"].to_numpy(np.int64)))
+        at, used, out = 0, 0, []
+        while len(out) <= misses:
+            # the first item from ``at`` on with which the run no longer fits
+            over = int(np.searchsorted(sums, sums[at] + budget - used, "right")) - 1
+            if over >= len(pos):
+                break
+            used += int(sums[over] - sums[at])
+            out.append(int(pos[over]))
+            at = over + 1
+        stop = out[misses] if len(out) > misses else None
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "misses": [out], "stop": pd.array([stop], "Int64")})
+
+    known = t.where((F.col("s") > 0) & (F.col("nth") <= budget + misses)).select("g", "pos", "s")
+    cut = known.groupBy("g").applyInPandas(missed, "g string, misses array<long>, stop long")
+    j = t.join(cut, "g", "left").withColumn("misses", F.coalesce("misses", F.array().cast("array<long>")))
+    j = j.where((F.col("stop").isNull() | (F.col("pos") < F.col("stop"))) & ~F.array_contains("misses", F.col("pos")))
+    place = F.col("pos") - F.size(F.filter("misses", lambda m: m < F.col("pos")))
+    return j.select(F.col("group").alias(group), place.cast("int").alias("place"), F.col("o").alias(order), F.col("s").alias(size))
