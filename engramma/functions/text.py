@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,13 @@ def code_fences(text: Column, least: int = 20) -> Column:
     return F.filter(blocks, lambda x: F.length(x["body"]) > least)
 
 
+def code_blocks(text: Column) -> Column:
+    """What stands between a line that begins with a fence and the next such line; a fence that is not closed opens nothing."""
+    parts = F.split(text, r"(?m)^[^\S\n]*```[^\n]*$")
+    inner = F.filter(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i + 1 < F.size(parts)), x)), lambda x: x.isNotNull())
+    return F.transform(inner, lambda x: F.regexp_replace(x, r"\A\n|\n\z", ""))
+
+
 # File names are absolute paths, names after a verb of work on files, and names in backticks, by suffix.
 _SUFFIXES = "py|js|ts|md|json|yaml|yml|sh|txt"
 _FILE_VERBS = "Reading|Looking at|Checking|Opening|Examining|Reviewing|Editing|Creating|Writing"
@@ -87,13 +97,39 @@ def file_references(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~x.startswith("http"))))
 
 
+# What shows mathematics in a line, what must stand in it besides, and what begins a definition.
+MATH_SIGNS = ["Σ", "∫", "∮", "∇", "φ", "π", "λ", "σ", "δ", "ψ", "⊗", "⊕", "∞", "≡", "≈", "⟩", "⟨", "e^", r"\(", r"\text{", r"\frac"]
+MATH_PATTERNS = [
+    r"[A-Z][A-Za-z_]+\s*=\s*[^=\n]{10,}",
+    r"\$[^$]+\$",
+    r"\\[\[({][^\\]+\\[\])}]",
+    r"[Σ∫∮∇⊗⊕]",
+    r"e\^[({i]",
+    r"(?iu)(?:phi|φ|1\.618|0\.809|2\.718|7\.83|528)\s*[=×·]",
+    r"(?i)(?:INFRA_FEEL|Convergence|Resonance|Trust_Score)\s*[=(]",
+    r"(?:sin|cos|log|exp|sqrt|abs)\s*\(",
+    r"(?i)def\s+\w+\s*\(.*\).*(?:phi|delta|lambda|coherence|resonance)",
+]
+MATH_OPERATORS = "[=∫Σ⊗→]"
+DEFINITION_PATTERNS = [
+    r"(?i)(?:Definition|Axiom|Theorem|Lemma|Proof|Law|Rule|Principle|Postulate)\s*[:\d].*",
+    r"(?:SOUL|INFRA|FREEDOM|EARTH|MATH|TRUST|LOVE|TRUTH|LAYER_0)\s*=.*",
+]
+
+
+def _trimmed_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+
+
 def math_lines(text: Column, least: int = 15) -> Column:
-    """Lines that state a relation: long enough, with a mathematical sign or an assignment of a symbol."""
-    return F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) >= least) & x.rlike(r"[=∫Σ⊗→]") & x.rlike(r"[∫Σ⊗→∂∇≈≤≥±×÷√∞φπ]|\b\w+\s*=\s*[\w(]"))
+    """The trimmed lines of at least ``least`` characters with an operator and either a sign or a pattern of mathematics."""
+    shows = lambda x: reduce(or_, [x.contains(s) for s in MATH_SIGNS] + [x.rlike(p) for p in MATH_PATTERNS])
+    return F.filter(_trimmed_lines(text), lambda x: (F.length(x) >= least) & x.rlike(MATH_OPERATORS) & shows(x))
 
 
 def definition_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?i)^\W*[\w -]{2,60}\s(?:is defined as|is a|refers to|means)\s|^\W*\*\*[^*]{2,60}\*\*\s*[:—-]"))
+    """The trimmed lines that name a definition, axiom, law or the like, or set one of the fixed names."""
+    return F.filter(_trimmed_lines(text), lambda x: reduce(or_, [x.rlike(p) for p in DEFINITION_PATTERNS]))
 
 
 def without_footnotes(text: Column) -> Column:

@@ -53,44 +53,51 @@ def top_k(scored: DataFrame, k: int, score: str, tie: str, by: Sequence[str] = (
 QUERY_BLOCK, QUERY_BYTES = 4096, 64_000_000
 
 
-def cosine_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int | None = None, floor: float | None = None) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int | None = None, floor: float | None = None, windowed: bool = False) -> DataFrame:
     """(query_id, key, similarity) of queries (query_id, qv) with all rows: pairs of at least ``floor``, and of them what can be among a query's ``k`` best.
 
     Queries are taken in blocks of bounded size, a pass over the vectors each; a batch of vectors meets a block in
     numpy and keeps its own best. A zero vector's cosine is 0; null vectors and other lengths than the query's take no
-    part.
+    part. ``windowed`` queries (platform, since, until) only see rows (platform, at) of their platform and window, null
+    bounds being none; rows outside are left out before the best are kept.
     """
     import numpy as np
     import pyarrow as pa
 
     kind = {n: vectors.schema[key].dataType.simpleString() if n == key else queries.schema[n].dataType.simpleString() for n in ("query_id", key)}
     schema = f"query_id {kind['query_id']}, {key} {kind[key]}, similarity double"
-    v = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-    q = queries.where("qv is not null").select("query_id", F.col("qv").cast("array<double>").alias("qv"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    v = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), *([F.col("platform").cast("string"), micros("at").alias("at")] if windowed else []))
+    q = queries.where("qv is not null").select("query_id", F.col("qv").cast("array<double>").alias("qv"), *([F.col("platform").cast("string"), micros("since").alias("since"), micros("until").alias("until")] if windowed else []))
     dim = q.agg(F.coalesce(F.max(F.size("qv")), F.lit(1)).alias("d")).first()["d"]
     block = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, dim))))
 
-    def pass_over(ids: list, qs: list[list[float]]) -> DataFrame:
-        by_len: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+    def pass_over(ids: list, qs: list[list[float]], bounds: list[tuple]) -> DataFrame:
+        by_len: dict[int, tuple[list, np.ndarray, np.ndarray, list[tuple]]] = {}
         for n in {len(x) for x in qs}:
             rows = [i for i, x in enumerate(qs) if len(x) == n]
             m = np.array([qs[i] for i in rows], float).reshape(len(rows), n)
-            by_len[n] = ([ids[i] for i in rows], m, np.sqrt((m * m).sum(1)))
+            by_len[n] = ([ids[i] for i in rows], m, np.sqrt((m * m).sum(1)), [bounds[i] for i in rows])
 
         def run(batches):
             for b in batches:
                 sizes = np.array([len(x) for x in b.column(1)])
-                for n, (names, m, norms) in by_len.items():
+                for n, (names, m, norms, limits) in by_len.items():
                     at = np.flatnonzero(sizes == n)
                     if not len(at) or not n:
                         continue
                     keys = b.column(0).take(pa.array(at))
                     x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
                     norm = np.sqrt((x * x).sum(1))
-                    for name, one, length in zip(names, m, norms, strict=True):
+                    platform = np.array(b.column(2).take(pa.array(at)).to_pylist(), object) if windowed else None
+                    when = b.column(3).take(pa.array(at)).cast(pa.float64()).to_numpy(zero_copy_only=False) if windowed else None  # unknown times are NaN
+                    for name, one, length, limit in zip(names, m, norms, limits, strict=True):
                         both = norm * length
                         s = np.divide((x * one).sum(1), both, out=np.zeros(len(at)), where=both != 0)
-                        keep = np.arange(len(at)) if floor is None else np.flatnonzero(s >= floor)
+                        seen = np.ones(len(at), bool) if floor is None else s >= floor
+                        if windowed:
+                            seen &= _inside(platform, when, *limit)
+                        keep = np.flatnonzero(seen)
                         if k is not None and len(keep) > k:  # ties of the k-th stay, the caller decides
                             keep = keep[s[keep] >= np.partition(s[keep], len(keep) - k)[len(keep) - k]]
                         if len(keep):
@@ -101,17 +108,32 @@ def cosine_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str =
     from pyspark.sql.pandas.types import to_arrow_type
 
     b_type = to_arrow_type(queries.schema["query_id"].dataType)
-    out, ids, qs = None, [], []
+    out, ids, qs, bounds = None, [], [], []
     for r in q.toLocalIterator():
         ids.append(r["query_id"])
         qs.append(list(r["qv"]))
+        bounds.append((r["platform"], r["since"], r["until"]) if windowed else ())
         if len(ids) == block:
-            out, ids, qs = (pass_over(ids, qs) if out is None else out.unionByName(pass_over(ids, qs))), [], []
+            out, ids, qs, bounds = (pass_over(ids, qs, bounds) if out is None else out.unionByName(pass_over(ids, qs, bounds))), [], [], []
     if ids or out is None:
-        out = pass_over(ids, qs) if out is None else out.unionByName(pass_over(ids, qs))
+        out = pass_over(ids, qs, bounds) if out is None else out.unionByName(pass_over(ids, qs, bounds))
     return out
 
 
+def _inside(platform, when, want: str | None, since: int | None, until: int | None):
+    """Which rows of a batch are of a platform and in a window."""
+    import numpy as np
+
+    ok = np.ones(len(platform), bool)
+    if want is not None:
+        ok &= platform == want
+    if since is not None:
+        ok &= when >= since
+    if until is not None:
+        ok &= when < until
+    return ok
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
     """(query_id, key, similarity, rank): exact nearest rows by cosine for a table of queries (query_id, qv).
 

@@ -88,10 +88,7 @@ def adaptive_search(passages: DataFrame, queries: DataFrame, key: str = "tile_id
     words = written(_ranked(_allowed(se.bm25(passages, p.select("query_id", "query"), key, {"content": 1.0}), passages, p, key), key, fetch), "adaptive-words")
     base = words
     if "vector" in have and "qv" in p.columns:
-        free = F.col("platform").isNull() & F.col("since").isNull() & F.col("until").isNull()
-        # a query that may see every passage keeps its best of each batch, the others' pairs are filtered first
-        s = se.cosine_pairs(passages, p.where(free), key, "vector", fetch).unionByName(_allowed(se.cosine_pairs(passages, p.where(~free), key, "vector"), passages, p, key))
-        s = s.withColumnRenamed("similarity", "score")
+        s = se.cosine_pairs(passages, p, key, "vector", fetch, windowed=True).withColumnRenamed("similarity", "score")
         base = _ranked(se.relative_fusion(_ranked(s, key, fetch), words, key, p.select("query_id", "alpha")), key, fetch)
     base = written(base, "adaptive-base")
     if postings is not None:
