@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.queries import answers, changes, enriched, imports, memory, passages, retrieval, samples, star, stores
+from engramma.queries import answers, changes, enriched, imports, memory, passages, retrieval, samples, sqlfuncs, star, stores
 
-MODULES = (passages, memory, stores, answers, enriched, imports, star, retrieval, changes, samples)
+MODULES = (passages, memory, stores, answers, enriched, imports, star, retrieval, changes, samples, sqlfuncs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
