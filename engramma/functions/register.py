@@ -23,12 +23,14 @@ _TABLES = {
     "em_tiles": (
         "t STRING, chunk INT, step INT",
         "tile_index INT, start_char INT, end_char INT, content STRING",
-        r"""SELECT x.i, x.start, x.e, substring(x.raw, 1, x.e - x.start) FROM (SELECT inline(transform(transform(transform(
-              sequence(0, CASE WHEN length(t) <= chunk THEN 0 ELSE CAST(floor((length(t) - step div 2) / step) AS INT) END),
-              i -> named_struct('i', i, 'start', CASE WHEN length(t) <= chunk THEN 0 ELSE i * step END, 'raw', substring(t, CASE WHEN length(t) <= chunk THEN 1 ELSE i * step + 1 END, chunk + step),
-                                'stop', CASE WHEN length(t) <= chunk OR (i + 1) * step >= length(t) - step div 2 THEN length(t) ELSE least(i * step + chunk, length(t)) END)),
-              g -> named_struct('g', g, 'back', reverse(substring(g.raw, CAST(floor(chunk * 8 / 10) AS INT) + 1, g.stop - g.start - CAST(floor(chunk * 8 / 10) AS INT))))),
-              b -> named_struct('i', b.g.i, 'start', b.g.start, 'raw', b.g.raw, 'e', CASE WHEN b.g.stop >= length(t) THEN b.g.stop WHEN locate('\n\n', b.back) > 0 THEN b.g.stop - locate('\n\n', b.back) + 1 WHEN locate(' .', b.back) > 0 THEN b.g.stop - locate(' .', b.back) + 1 ELSE b.g.stop END)))) x""",
+        # the text is cut once into cells of a step, a tile is made of the few cells that begin with its own
+        r"""SELECT x.i, x.start, x.e, substring(x.raw, 1, x.e - x.start) FROM (SELECT inline(flatten(transform(
+              array(named_struct('cells', regexp_extract_all(t, concat('(?s).{1,', step, '}'), 0), 'n', length(t))), d -> transform(transform(transform(
+                sequence(0, CASE WHEN d.n <= chunk THEN 0 ELSE CAST(floor((d.n - step div 2) / step) AS INT) END),
+                i -> named_struct('i', i, 'n', d.n, 'start', CASE WHEN d.n <= chunk THEN 0 ELSE i * step END, 'raw', array_join(slice(d.cells, i + 1, CAST(ceil(chunk / step) AS INT)), ''),
+                                  'stop', CASE WHEN d.n <= chunk OR (i + 1) * step >= d.n - step div 2 THEN d.n ELSE least(i * step + chunk, d.n) END)),
+                g -> named_struct('g', g, 'back', reverse(substring(g.raw, CAST(floor(chunk * 8 / 10) AS INT) + 1, g.stop - g.start - CAST(floor(chunk * 8 / 10) AS INT))))),
+                b -> named_struct('i', b.g.i, 'start', b.g.start, 'raw', b.g.raw, 'e', CASE WHEN b.g.stop >= b.g.n THEN b.g.stop WHEN locate('\\n\\n', b.back) > 0 THEN b.g.stop - locate('\\n\\n', b.back) + 1 WHEN locate(' .', b.back) > 0 THEN b.g.stop - locate(' .', b.back) + 1 ELSE b.g.stop END))))) AS (i, start, raw, e)) x""",
     ),
 }
 
