@@ -111,3 +111,19 @@ def test_classification(spark):
     assert got[4]["motifs"] == got[7]["motifs"] == ["HMM.SACRED_TRUST"] and got[3]["motifs"] == ["HMM.BRISTLE_SIGNAL", "HMM.IDENTITY_DECLARATION"]
     assert got[9]["platform"] == "grok" and got[9]["recent_days"] == 30 and got[9]["after"] is None and got[11]["after"] is None
     assert one(spark, classify.platform(F.lit("openai vs Anthropic"))) == "claude" and one(spark, classify.platform(F.lit("claude code here"))) == "claude_code"
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from engramma.storage import new_path, scratch, written
+
+    with scratch(spark):
+        outer = new_path(spark, "outer")
+        spark.range(3).write.parquet(outer)
+        with scratch(spark):
+            inner = written(spark.range(3), "inner")
+            assert inner.count() == 3
+            path = inner.inputFiles()[0]
+        assert not os.path.exists(path.removeprefix("file://")) and spark.read.parquet(outer).count() == 3
+    assert not os.path.exists(outer.removeprefix("file://"))
