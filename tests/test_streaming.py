@@ -74,7 +74,11 @@ def test_keys_live_from_their_last_event(spark, tmp_path):
 
 
 def test_functions_for_sql(spark):
-    assert len(register.register(spark)) == 6
+    assert register.register(spark) == ["em_token_estimate", "em_canonical", "em_sha16", "em_dot", "em_decay", "em_entropy", "em_jaccard", "em_tiles", "em_sessions"]
+    assert spark.sql("SELECT em_entropy(array(1L, 1L, 2L, 0L)), em_entropy(array())").first()[:] == (1.5, 0.0)
+    cut = spark.sql("SELECT x.* FROM em_tiles(repeat('ab. ', 1000), 2048, 752) x").collect()
+    assert [r["start_char"] for r in cut] == [0, 752, 1504, 2256, 3008] and all(r["content"] == ("ab. " * 1000)[r["start_char"] : r["end_char"]] for r in cut) and cut[-1]["end_char"] == 4000
+    assert [tuple(r) for r in spark.sql("SELECT x.* FROM em_tiles('', 2048, 752) x").collect()] == [(0, 0, 0, "")]
     d = spark.createDataFrame([("a  \r\nb\n\n\n\n\nc",)], "t string")
     d.createOrReplaceTempView("register_texts")
     r = spark.sql("SELECT em_canonical(t) AS c, em_sha16(t) AS h, em_token_estimate(t) AS n, em_dot(array(1D, 2D), array(3D, 4D)) AS d, em_decay(90D, 90D) AS y, em_jaccard(array('a'), array('a', 'b')) AS j FROM register_texts").first()
