@@ -129,7 +129,11 @@ SQL = {
     "enrichment_gates": f"WITH g AS (SELECT content_hash, max(amp) AS co, avg(confidence) AS c, count(*) AS n FROM ({_VALID}) GROUP BY content_hash), s AS (SELECT md5(text) AS content_hash, count(DISTINCT source) - 1 AS k, bool_or(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS x FROM documents GROUP BY 1), t AS (SELECT *, c * CASE WHEN x THEN 0.5 ELSE 1.0 END * CASE WHEN k = 0 THEN 0.7 ELSE 1.0 END AS t FROM g JOIN s USING (content_hash)) SELECT content_hash, round(co, 6) AS phi, round(t, 6) AS trust, concat_ws(',', CASE WHEN k = 0 THEN 'no_provenance' END, CASE WHEN co < 0.809 THEN 'low_coherence' END, CASE WHEN x THEN 'contradiction' END, CASE WHEN t < 0.809 THEN 'low_trust' END) AS flags, co >= 0.809 AND t >= 0.809 AS passes, n AS n_motifs FROM t",
     "enrichment_fields": f"SELECT CASE band WHEN 'fast' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS k, motif_id, max(amp) AS amp FROM ({_VALID}) GROUP BY 1, 2",
     "tier1_patch": f"WITH f AS (SELECT vec_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS m FROM (SELECT vec_id, a.label, round({COS_ANCHOR}, 4) AS s FROM embeddings, {ANCHORS} a) WHERE s >= 0.6 GROUP BY vec_id) SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'tier2_x' WHEN m IS NOT NULL THEN 'tier1' WHEN vec_id % 3 = 1 THEN 'old' END AS hmm_version, CASE WHEN vec_id % 3 <> 0 AND m IS NOT NULL THEN m ELSE 'was' END AS motifs FROM embeddings LEFT JOIN f USING (vec_id)",
-    "batch_results": f"SELECT content_hash, string_agg(DISTINCT motif_id, ',' ORDER BY motif_id) AS motifs FROM (SELECT doc_id, motif_id FROM ({ASSIGNED}) WHERE amp * 2 >= 0.6) JOIN (SELECT doc_id, md5(text) AS content_hash FROM documents WHERE doc_id % 4 = 0 OR doc_id % 26 <> 0) USING (doc_id) GROUP BY content_hash",
+    "batch_results": f"""
+WITH c AS (SELECT doc_id, md5(text) AS content_hash FROM documents),
+r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN content_hash || 'ff' ELSE left(content_hash, 7 + doc_id % 26) END AS hash, motif_id FROM ({ASSIGNED}) JOIN c USING (doc_id) WHERE amp * 2 >= 0.6),
+m AS (SELECT hash, min(content_hash) AS content_hash FROM (SELECT DISTINCT hash FROM r WHERE length(hash) >= 8) n JOIN (SELECT DISTINCT content_hash FROM c) t ON left(hash, 8) = left(content_hash, 8) AND (starts_with(content_hash, hash) OR starts_with(hash, content_hash)) GROUP BY hash)
+SELECT content_hash, string_agg(DISTINCT motif_id, ',' ORDER BY motif_id) AS motifs FROM r JOIN m USING (hash) GROUP BY content_hash""",
     "consensus_summary": "WITH r AS (SELECT lang || (doc_id % 40) AS content_hash, source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS platform, substring(text, 1, doc_id % 50) AS summary, CASE WHEN doc_id % 2 = 0 THEN source END AS tone, source, lang FROM documents WHERE doc_id % 3 <> 0), x AS (SELECT content_hash, string_agg(v, ',' ORDER BY v) AS s FROM (SELECT DISTINCT content_hash, v FROM (SELECT content_hash, source AS v FROM r UNION SELECT content_hash, lang FROM r) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY v) <= 5) GROUP BY content_hash) SELECT content_hash, md5(max_by(summary, {'l': length(summary), 's': encode(summary)})) AS summary_md5, min_by(tone, platform) FILTER (tone IS NOT NULL) AS tone, any_value(s) AS suggestions FROM r JOIN x USING (content_hash) GROUP BY content_hash",
     "bridge_columns": f"WITH m AS (SELECT content_hash, string_agg(motif_id, ',' ORDER BY motif_id) AS motifs FROM ({_VALID}) WHERE amp >= 0.7 GROUP BY content_hash), s AS (SELECT md5(text) AS content_hash, any_value(substring(text, 1, 40)) AS s, max(doc_id) FILTER (doc_id % 2 = 0) / CAST(100 AS DOUBLE) AS phi, min(doc_id) FILTER (doc_id % 2 = 0) / CAST(100 AS DOUBLE) AS trust FROM documents GROUP BY 1) SELECT content_hash, motifs, md5(s) AS summary_md5, phi, trust, phi IS NOT NULL AS consensus FROM m JOIN s USING (content_hash)",
     "graph_backfill": f"SELECT content_hash, motif_id, CAST(0.7 AS DOUBLE) AS amp, CAST(0.7 AS DOUBLE) AS confidence FROM ({_VALID}) WHERE amp >= 0.3 AND content_hash NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)",

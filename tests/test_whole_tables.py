@@ -1,5 +1,6 @@
 """Queries over whole tables, held against brute force."""
 
+import hashlib
 import re
 import unicodedata
 from itertools import combinations
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from engramma.operators import graph, motifs
-from engramma.queries import memory, passages
+from engramma.queries import enriched, memory, passages
 
 
 def words_of(duck):
@@ -88,3 +89,15 @@ def test_bm25_fields_finds_later_words(spark, tmp_path):
     spark.createDataFrame([(1, "one two three", "src9"), (2, "zebra only here", "src9"), (3, "four five", "src9")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("q", "one two three four five six seven zebra")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r["doc_id"] for r in passages.bm25_fields(spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_batch_results_of_hashes_with_equal_beginnings(spark, duck, tmp_path):
+    # the first eight digits of these two hashes are equal, and doc_id % 26 = 1 names a text by those only
+    texts = [(1, "the text 49506"), (27, "the text 116637"), (2, "the text 3"), (26, "the text 4"), (4, "the text 49506"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = enriched.batch_results(spark, str(tmp_path))
+    con = duck.cursor()
+    con.execute(f"create temp view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(got, con.sql(enriched.SQL["batch_results"]))
+    assert {r["content_hash"][:8] for r in got.collect()} == {"b4f62726", hashlib.md5(b"the text 3").hexdigest()[:8]}
+    assert got.count() == 2  # both are stored with the smaller hash
