@@ -127,3 +127,27 @@ def test_scratch_tables_go_with_their_scope(spark):
             path = inner.inputFiles()[0]
         assert not os.path.exists(path.removeprefix("file://")) and spark.read.parquet(outer).count() == 3
     assert not os.path.exists(outer.removeprefix("file://"))
+
+
+def test_hops_deal_lists_of_nodes_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIST", 2)
+    edges = [(a, b) for a in range(30) for b in (a * 7 % 30, (a + 1) % 30, a)] + [(99, b) for b in range(20)] + [(1, None), (1, 2), (1, 2)]
+    near = {}
+    for a, b in edges:
+        if b is not None:
+            near.setdefault(a, set()).add(b)
+    want = {}
+    for a in [*range(30), 99]:
+        reached = {a: 0}
+        for d in (1, 2):
+            for n in [n for n, x in reached.items() if x == d - 1]:
+                for m in near.get(n, ()):
+                    reached.setdefault(m, d)
+        want |= {(a, n): d for n, d in reached.items() if d}
+    e = spark.createDataFrame(edges, "src int, dst int")
+    got = graph.hops(e, spark.createDataFrame([(a,) for a in [*range(30), 99, 1]], "start int"), 2)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["start"], r["node"]): r["distance"] for r in rows} == want
+    # pairs were joined and shuffled one by one
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "RepartitionByExpression [start" in plan
