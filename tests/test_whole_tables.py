@@ -47,8 +47,25 @@ def test_rare_cooccurrence_of_all_documents(spark, sf, duck):
             held.setdefault(e, []).append(k)
     rare = {e for e, ks in held.items() if len(ks) <= int(len([x for x in sets.values() if x]) * 0.05)}
     want = {(a, b): " ".join(sorted(x & y & rare)) for (a, x), (b, y) in combinations(sorted(sets.items()), 2) if len(x & y & rare) >= 3}
-    got = memory.rare_cooccurrence(spark, sf).collect()
+    got = graph.rare_cooccurrence(memory._words(spark, sf), "doc_id", "w", 0.05, 3).select("a", "b", F.array_join("shared", " ").alias("shared"), "n").collect()
     assert {(r["a"], r["b"]): r["shared"] for r in got} == want and all(r["n"] == len(r["shared"].split(" ")) for r in got)
+    links = {k: sum(k in p for p in want) for k, x in sets.items() if x & rare}
+    first = {k: min(j for j, y in sets.items() if y & rare == sets[k] & rare) for k in links}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in memory.rare_cooccurrence(spark, sf).collect()} == {k: (first[k], n) for k, n in links.items()}
+
+
+def test_rare_links_in_small_cells(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(graph, "COUNTERS", 50)
+    sets = {k: sorted({(k * 7 + j * (1 + k % 3)) % 23 for j in range(1 + k % 9)}) for k in range(60)}
+    both = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 3
+    frame = lambda ks, b, lo, hi: pd.DataFrame({"k": ks, "w": [1 + k % 2 for k in ks], "x": [np.array(sets[k]) for k in ks], "b": b, "lo": lo, "hi": hi})
+    own = graph._cell_links(frame(list(range(60)), 0, 0, 0), 3)
+    assert dict(zip(own["k"], own["n"])) == {a: sum(1 + b % 2 for b in range(60) if a != b and both(a, b)) for a in range(60)}
+    cross = graph._cell_links(pd.concat([frame(list(range(25)), 0, 0, 1), frame(list(range(25, 60)), 1, 0, 1)]), 3)
+    assert dict(zip(cross["k"], cross["n"])) == {a: sum(1 + b % 2 for b in range(60) if (a < 25) != (b < 25) and both(a, b)) for a in range(60)}
 
 
 def assigned_rows(texts):
