@@ -1,8 +1,11 @@
 """MaxSim retrieval through the token index, against every pair in numpy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from engramma import storage
 from engramma.operators import maxsim
 
 
@@ -73,3 +76,35 @@ def test_odd_rows(spark):
     assert maxsim.search(nothing, asked, 3).count() == 0 == maxsim.search(index, asked.limit(0), 3).count()
     with pytest.raises(ValueError):
         maxsim.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "doc long, vector array<double>"))
+
+
+def test_exact_search_makes_no_row_a_pair(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    docs = [(k, [float(x) for x in v]) for k in range(300) for v in rng.randn(3, 16)]
+    docs += [(k + 300, v) for k, v in docs[:30]]  # copies in other blocks
+    queries = [(k, v) for k, v in docs if k % 20 == 0 and k < 300]
+    made = {}
+
+    def written(df, name):
+        out = storage.written(df, name)
+        made[name] = out
+        return out
+
+    monkeypatch.setattr(maxsim, "written", written)
+    for size in (64, 1 << 20):
+        monkeypatch.setattr(maxsim, "DOC_BLOCK", size, raising=False)
+        index = maxsim.build(spark.createDataFrame(docs, "doc long, vector array<double>").coalesce(1))
+        got = maxsim.search(index, spark.createDataFrame(queries, "query_id long, vector array<double>"), 2).collect()
+        want = every_pair(docs, queries, 2)
+        assert {(r["query_id"], r["rank"], r["doc"]) for r in got} == {(q, n + 1, d) for q, best in want.items() for n, (_, d) in enumerate(best)}
+    # in one block a query leaves its two best and a count; there are 15 queries and 310 documents, nearly all of them scored
+    assert made["maxsim-scored"].count() <= 15 * 3 and sum({r["query_id"]: r["n_scored"] for r in got}.values()) > 15 * 150
+
+
+def test_memory_does_not_grow_with_centroids():
+    x, c = np.random.RandomState(5).randn(8192, 8), np.random.RandomState(6).randn(4096, 8)
+    tracemalloc.start()
+    maxsim._nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
