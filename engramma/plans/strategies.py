@@ -38,8 +38,8 @@ class Scans:
         return self._made[name]
 
     def words(self, **fields: float) -> DataFrame:
-        """BM25 of every query over the fields, by weight."""
-        return self._once(tuple(fields.items()), lambda: se.bm25(self.texts, self.queries, "key", fields).select(*_LANE))
+        """The best of every query by BM25 over the fields, by weight."""
+        return self._once(tuple(fields.items()), lambda: se.bm25(self.texts, self.queries, "key", fields, k=self.depth).select(*_LANE))
 
     def near(self, vector: str, filtered: bool) -> DataFrame:
         """The nearest texts of every query; ``filtered`` ones of its platform and window only."""

@@ -151,3 +151,23 @@ def test_hops_deal_lists_of_nodes_not_pairs(spark, monkeypatch):
     # pairs were joined and shuffled one by one
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "RepartitionByExpression [start" in plan
+
+
+def test_bm25_best_makes_no_row_a_pair(spark, monkeypatch):
+    rows = [(i, f"alpha beta {'gamma ' * (i % 7)} w{i % 11}", f"s{i % 2} alpha", "p" if i % 2 else "q", None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, platform string, at timestamp").coalesce(1)
+    q = spark.createDataFrame([("a", "alpha gamma", None, None, None), ("b", "w3 beta s1", "p", None, None), ("c", "nothing", None, None, None)], "query_id string, query string, platform string, since timestamp, until timestamp")
+    fields = {"text": 1.0, "source": 2.0}
+    for kw in ({}, {"windowed": True}):
+        few, all_ = (search.bm25(docs, q, "doc_id", fields, k=k, **kw).withColumn("score", F.round("score", 9)) for k in (5, 500))
+        every = search.bm25(docs, q, "doc_id", fields, **kw).withColumn("score", F.round("score", 9))
+        best = lambda s: sorted(map(tuple, search.top_k(s, 5, "score", "doc_id", ["query_id"]).select("query_id", "doc_id", "score", "rank").collect()))
+        assert best(few) == best(every) and sorted(map(tuple, all_.collect())) == sorted(map(tuple, every.select(*all_.columns).collect()))
+        assert few.count() < every.count()
+    # keys that are not distinct take the way of joins
+    twice = search.bm25(docs.union(docs.limit(3)), q, "doc_id", fields, k=5)
+    assert twice.count() == search.bm25(docs.union(docs.limit(3)), q, "doc_id", fields).count()
+    for n in (3, 20):
+        monkeypatch.setattr(search, "SCORES", n)
+        assert best(search.bm25(docs, q, "doc_id", fields, k=5).withColumn("score", F.round("score", 9))) == best(search.bm25(docs, q, "doc_id", fields).withColumn("score", F.round("score", 9)))
+    assert search.bm25(docs.limit(0), q, "doc_id", fields, k=5).count() == 0 == search.bm25(docs, q.limit(0), "doc_id", fields, k=5).count()
