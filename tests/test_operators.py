@@ -171,3 +171,14 @@ def test_bm25_best_makes_no_row_a_pair(spark, monkeypatch):
         monkeypatch.setattr(search, "SCORES", n)
         assert best(search.bm25(docs, q, "doc_id", fields, k=5).withColumn("score", F.round("score", 9))) == best(search.bm25(docs, q, "doc_id", fields).withColumn("score", F.round("score", 9)))
     assert search.bm25(docs.limit(0), q, "doc_id", fields, k=5).count() == 0 == search.bm25(docs, q.limit(0), "doc_id", fields, k=5).count()
+
+
+def test_cosine_counts_equal_pairs(spark, monkeypatch):
+    from engramma.operators import evaluate
+
+    vs = [(i, [float((i * 7 + j * j) % 11 - 5) for j in range(6)]) for i in range(60)] + [(60, None), (61, [0.0] * 6), (62, [1.0, 2.0]), (63, [])]
+    v = spark.createDataFrame(vs, "vec_id long, embedding array<float>").coalesce(1)
+    q = v.where("vec_id % 5 = 0 or vec_id > 60").selectExpr("vec_id as query_id", "embedding as qv")
+    pairs = search.cosine_pairs(v, q, "vec_id").groupBy("query_id", evaluate.judged(F.round("similarity", 6)).alias("bin")).agg(F.count("*").alias("n"))
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 16)
+    assert sorted(map(tuple, search.cosine_counts(v, q, [0.5499995, 0.3499995]).collect())) == sorted(map(tuple, pairs.collect()))
