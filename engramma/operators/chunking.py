@@ -9,10 +9,11 @@ chunks that begin with the group's first row enter each block. Then every block
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from engramma.storage import written
 
 #: Tokens (or characters) in a block, as a multiple of what a chunk may hold.
 BLOCK = 64
+#: Characters of a text whose paragraphs are packed where it stands; longer ones are dealt to blocks.
+WHOLE = 1 << 20
 
 #: (sums before each row and at the end, place of the first row, rows and total from it to the group's end, limit, carry) to
 #: (row behind the chunk that begins at each row, begin of the next one or -1), counted from the first row.
@@ -131,14 +134,47 @@ def budget_chunks(rows: DataFrame, group: str, order: str, text: str, chunk_toke
     return both.select(F.col("group").alias(group), F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
 
 
-def paragraph_chunks(docs: DataFrame, key: str, text: str = "text", chunk_chars: int = 2000, block: int = BLOCK) -> DataFrame:
+def paragraph_chunks(docs: DataFrame, key: str, text: str = "text", chunk_chars: int = 2000, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """(key, chunk_index, text, content_hash): paragraphs packed up to ``chunk_chars``, the next chunk beginning with the last paragraph of the one before.
 
     Paragraphs are what blank lines part, trimmed, blank ones left out; only their characters count, and a chunk takes a
     second paragraph whatever its size, but for a text's first chunk (the second then begins with the same one). Null and blank texts have no chunk. Keys are
-    taken to be distinct; a null key is a text like others.
+    taken to be distinct; a null key is a text like others. Texts of up to ``whole`` characters are packed where they
+    stand, without a shuffle.
     """
-    parts = F.filter(F.transform(F.split(F.col(text), "\n\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    short = F.length(text) <= whole
+    out = _packed_whole(docs.where(short), key, text, chunk_chars).unionByName(_packed_blocks(docs.where(~short), key, text, chunk_chars, block))
+    return out.select(key, "chunk_index", "text", F.substring(F.sha2(F.encode("text", "utf-8"), 256), 1, 16).alias("content_hash"))
+
+
+def _paragraphs(text: str) -> Column:
+    return F.filter(F.transform(F.split(F.col(text), "\n\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def _packed_whole(docs: DataFrame, key: str, text: str, chunk_chars: int) -> DataFrame:
+    """(key, chunk_index, text) of texts that a task packs one by one."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, index, texts = [], [], []
+            for i, parts in enumerate(b.column(1)):
+                n, held, inside = 0, 0, []
+                for p in parts.as_py():
+                    if inside and held + len(p) > chunk_chars:
+                        at.append(i), index.append(n), texts.append("\n\n".join(inside))
+                        n, held, inside = n + 1, len(inside[-1]), inside[-1:]
+                    inside.append(p)
+                    held += len(p)
+                if inside:
+                    at.append(i), index.append(n), texts.append("\n\n".join(inside))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.string())], [key, "chunk_index", "text"])
+
+    return docs.select(key, _paragraphs(text).alias("parts")).mapInArrow(chunks, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_index int, text string")
+
+
+def _packed_blocks(docs: DataFrame, key: str, text: str, chunk_chars: int, block: int) -> DataFrame:
+    """(key, chunk_index, text) of texts of any length, by running sums and pointers."""
+    parts = _paragraphs(text)
     p = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.to_json(F.struct(F.col(key).alias("g"))).alias("g"), F.posexplode(parts).alias("pos", "text"))
     p = p.withColumn("size", F.length("text").cast("long")).withColumn("pos", F.col("pos").cast("long"))
     p = written(running(p, "g", ["pos"], {"before": "size"}, "place").drop("place"), "chunk-paragraphs")
@@ -150,7 +186,7 @@ def paragraph_chunks(docs: DataFrame, key: str, text: str = "text", chunk_chars:
     bounds = bounds.join(alone, "g", "left").select("g", (F.col("chunk_index") + F.coalesce("one", zero)).alias("chunk_index"), "first", "last")
     bounds = bounds.unionByName(alone.select("g", zero.alias("chunk_index"), zero.alias("first"), zero.alias("last")))
     out = _joined(bounds, p.select("g", "pos", "text"), "\n\n").join(p.where("pos = 0").select("g", "key"), "g")
-    return out.select(F.col("key").alias(key), F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.substring(F.sha2(F.encode("text", "utf-8"), 256), 1, 16).alias("content_hash"))
+    return out.select(F.col("key").alias(key), F.col("chunk_index").cast("int").alias("chunk_index"), "text")
 
 
 def packed(items: DataFrame, group: str, order: str, size: str, budget: int, misses: int = 20) -> DataFrame:

@@ -117,3 +117,12 @@ def test_nothing(spark):
     assert chunking.budget_chunks(rows, "s", "i", "t", 50, 15).count() == 0 == chunking.paragraph_chunks(rows, "s", "t").count()
     with pytest.raises(ValueError):
         chunking.budget_chunks(rows, "s", "i", "t", 50, 50)
+
+
+def test_paragraphs_of_short_texts_need_no_shuffle(spark):
+    texts = ["\n\n".join("ab "[j % 3] * (n * j % 61) + "x" for j in range(n)) for n in range(25)] + ["", "  \n\n ", None, "a" * 500, "a\n\n" + "é" * 300 + "\n\n\n b \n\nc"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "one\n\ntwo")], "k long, t string")
+    near = chunking.paragraph_chunks(df, "k", "t", 100)
+    far = chunking.paragraph_chunks(df, "k", "t", 100, 1, whole=0)
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    assert "Exchange" not in chunking._packed_whole(df, "k", "t", 100)._jdf.queryExecution().executedPlan().toString()
