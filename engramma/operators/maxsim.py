@@ -39,6 +39,8 @@ DEVIATIONS = 3.0
 CELLS = 1 << 20
 #: Token vectors in a block of queries and of documents (a bag of more is a block of its own).
 QUERY_BLOCK, DOC_BLOCK = 1_024, 4_096
+#: Meetings of a query token with a document in a partition, on average.
+MET_ROWS = 1 << 18
 #: What rounding may take from a bound or a floor, relative to the norms.
 SLACK = 1e-9
 
@@ -142,9 +144,17 @@ def _probes(index: TokenIndex, q: DataFrame, kind: str, n_probe: int, reach: flo
     return q.select("query_id", "token", "v").mapInArrow(run, f"query_id {kind}, token bigint, centroid int, guess double, norm double, rest double, top double")
 
 
-def _met(index: TokenIndex, probes: DataFrame, reach: float) -> DataFrame:
+def _partitions(index: TokenIndex, probes: DataFrame) -> int:
+    """Partitions for what the probes meet, more the more they meet, so that a task's part stays as it is."""
+    asked, held = (t.groupBy("centroid").agg(F.count("*").alias(n)) for t, n in ((probes, "asked"), (index.postings, "held")))
+    rows = asked.join(held, "centroid").agg(F.sum(F.col("asked") * F.col("held"))).first()[0] or 0
+    return max(probes.sparkSession.sparkContext.defaultParallelism, rows // MET_ROWS + 1)
+
+
+def _met(index: TokenIndex, probes: DataFrame, reach: float, parts: int) -> DataFrame:
     """(query_id, doc, guess, bound): the documents that the probes meet, what they seem to and what they can at most reach."""
-    j = probes.join(index.postings, "centroid")
+    # dealt out before sums are made: a meeting seldom has another to be summed with where it is found
+    j = probes.join(index.postings.repartition(parts, "centroid", "doc"), "centroid").repartition(parts, "query_id", "doc")
     bound = F.col("guess") + F.col("norm") * F.col("radius") * reach + SLACK * (1 + F.col("norm"))
     # where all centroids are probed every document is met, and there is no rest
     rest = F.when(F.col("rest") > float("-inf"), F.col("rest")).otherwise(0.0)
@@ -291,9 +301,10 @@ def search(index: TokenIndex, queries: DataFrame, k: int, query: str = "query_id
     kinds = (q.schema["query_id"].dataType.simpleString(), index.postings.schema["doc"].dataType.simpleString())
     bags = q.groupBy("query_id").agg(F.collect_list("v").alias("tokens"))
     near = written(_probes(index, q, kinds[0], n_probe, reach), "maxsim-probes")
-    met = written(_met(index, near, reach), "maxsim-met")
+    parts = _partitions(index, near)
+    met = written(_met(index, near, reach, parts), "maxsim-met")
     by_guess = Window.partitionBy("query_id").orderBy(F.desc("guess"), "doc")
-    first = met.withColumn("n", F.row_number().over(by_guess)).where(F.col("n") <= 4 * k).select("query_id", "doc")
+    first = met.select("query_id", "doc", "guess").repartition(parts, "query_id").withColumn("n", F.row_number().over(by_guess)).where(F.col("n") <= 4 * k).select("query_id", "doc")
     scored = written(_scored(index, first, bags, kinds), "maxsim-first")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     floors = scored.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("query_id", (F.col("score") - SLACK * (1 + F.abs("score"))).alias("floor"))
@@ -308,7 +319,7 @@ def search(index: TokenIndex, queries: DataFrame, k: int, query: str = "query_id
         counts = every.groupBy("query_id").agg(F.sum("n_met").alias("n_met"), F.sum("n_scored").alias("n_scored"))
         best = every.where("doc is not null").withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         return best.select("query_id", "rank", "doc", "score").join(counts, "query_id").select("query_id", "rank", "doc", "score", "n_met", "n_scored")
-    left = met.join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+    left = met.repartition(parts, "query_id").join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
     more = left.select("query_id", "doc").join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     every = written(scored.unionByName(_scored(index, more, bags, kinds)), "maxsim-scored")
     counts = met.groupBy("query_id").agg(F.count("*").alias("n_met")).join(every.groupBy("query_id").agg(F.count("*").alias("n_scored")), "query_id")

@@ -108,3 +108,16 @@ def test_memory_does_not_grow_with_centroids():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 << 20
+
+
+def test_partitions_grow_with_what_the_probes_meet(spark, world, monkeypatch):
+    _, queries, index = world
+    asked = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    told = lambda: sorted((r["query_id"], r["rank"], r["doc"], round(r["score"], 9), r["n_met"], r["n_scored"]) for r in maxsim.search(index, asked, 5, exact=False).collect())
+    want = told()
+    monkeypatch.setattr(maxsim, "MET_ROWS", 500)
+    seen, met = [], maxsim._met
+    monkeypatch.setattr(maxsim, "_met", lambda index, probes, reach, parts: seen.append((probes.join(index.postings, "centroid").count(), parts)) or met(index, probes, reach, parts))
+    assert told() == want
+    rows, parts = seen[0]
+    assert rows > 2500 and parts == rows // 500 + 1
