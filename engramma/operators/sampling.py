@@ -60,11 +60,13 @@ def query_candidates(assignments: DataFrame, dictionary: Dictionary, off_topic:
     """
     spark = assignments.sparkSession
     names = spark.createDataFrame([(m.motif_id, m.band, m.motif_id.partition(".")[2].lower().replace("_", " ")) for m in dictionary.motifs], "motif_id string, band string, phrase string")
-    a = written(assignments.select("key", "motif_id").distinct().join(F.broadcast(names), "motif_id"), "query-motifs")  # as many as a dictionary has
+    # texts with the same motifs give the same queries
+    sets = written(assignments.groupBy("key").agg(F.array_sort(F.collect_set("motif_id")).alias("set")).select("set").distinct(), "query-motifs")
+    a = sets.select("set", F.explode("set").alias("motif_id")).join(F.broadcast(names), "motif_id")
     asked = F.array(F.struct(F.lit("/what").alias("n"), F.concat(F.lit("What is "), "phrase", F.lit("?")).alias("t")), F.struct(F.lit("/how").alias("n"), F.concat(F.lit("How does "), "phrase", F.lit(" show?")).alias("t")))
     single = a.select("motif_id", "phrase").distinct().select("motif_id", F.explode(asked).alias("q")).select(F.lit("single_motif").alias("category"), F.concat("motif_id", "q.n").alias("name"), F.col("q.t").alias("text"), F.array("motif_id").alias("expected_motifs"))
     # the pairs of motifs in a text; a text has at most as many motifs as the dictionary
-    held = a.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("motif_id", "phrase"))).alias("ms"))
+    held = a.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("motif_id", "phrase"))).alias("ms"))
     pair = F.expr("flatten(transform(ms, (x, i) -> transform(slice(ms, i + 2, size(ms)), y -> struct(x as x, y as y))))")
     multi = held.select(F.explode(pair).alias("p")).distinct().select(F.lit("multi_motif").alias("category"), F.concat_ws("+", "p.x.motif_id", "p.y.motif_id").alias("name"), F.concat(F.lit("How does "), "p.x.phrase", F.lit(" relate to "), "p.y.phrase", F.lit("?")).alias("text"), F.array("p.x.motif_id", "p.y.motif_id").alias("expected_motifs"))
     theme = a.select("band", "motif_id", "phrase").distinct().select(F.lit("thematic").alias("category"), F.concat_ws("/", "band", "motif_id").alias("name"), F.concat(F.lit("Which "), "band", F.lit(" patterns come with "), "phrase", F.lit("?")).alias("text"), F.array("motif_id").alias("expected_motifs"))
@@ -75,7 +77,7 @@ def query_candidates(assignments: DataFrame, dictionary: Dictionary, off_topic:
 def query_set(candidates: DataFrame, total: int = 100, seed: int = 42, shares: dict[str, int] | None = None) -> DataFrame:
     """(query_id, category, name, text, expected_motifs): a drawn set of test queries in exact shares, numbered in the order drawn. A kind with fewer candidates gives all it has."""
     wanted = quotas(total, shares or SHARES)
-    c = candidates.where(F.col("category").isin(list(wanted))).withColumn("__key", F.concat_ws("|", "category", "name"))
+    c = written(candidates.where(F.col("category").isin(list(wanted))).withColumn("__key", F.concat_ws("|", "category", "name")), "query-candidates")
     w = Window.partitionBy("category").orderBy(seeded(F.col("__key"), seed), "__key")
     out = None
     for k, n in wanted.items():

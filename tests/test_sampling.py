@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramma.operators import sampling
+from engramma.operators.motifs import Dictionary, Motif
 
 
 def drawn(rows, size, seed=42):
@@ -35,3 +36,15 @@ def test_shares_are_exact():
     for n in range(57):
         q = sampling.quotas(n, sampling.SHARES)
         assert sum(q.values()) == n and all(abs(q[k] - n * s / 100) < 1 for k, s in sampling.SHARES.items())
+
+
+def test_candidates_are_made_once(spark, monkeypatch):
+    d = Dictionary([Motif("M.ONE", "slow", ("one",)), Motif("M.TWO", "mid", ("two",)), Motif("M.SIX", "mid", ("six",))])
+    found = spark.createDataFrame([(1, "M.ONE"), (1, "M.TWO"), (1, "M.TWO"), (2, "M.TWO"), (3, "M.TWO"), (3, "M.ONE"), (None, "M.ONE"), (4, "M.NONE")], "key int, motif_id string")
+    c = sampling.query_candidates(found, d, spark.createDataFrame([("a", "off?")], "name string, text string"))
+    names = {"M.ONE/what", "M.ONE/how", "M.TWO/what", "M.TWO/how", "M.ONE+M.TWO", "slow/M.ONE", "mid/M.TWO", "a"}
+    assert sorted(r["name"] for r in c.collect()) == sorted(names)
+    plans, sample = [], sampling.sample
+    monkeypatch.setattr(sampling, "sample", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or sample(rows, *a))
+    assert {r["name"] for r in sampling.query_set(c).collect()} == names
+    assert len(plans) == 4 and not any("Aggregate" in p for p in plans)
