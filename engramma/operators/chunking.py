@@ -59,7 +59,9 @@ def _bounds(sized: DataFrame, rule: Rule, limit: int, carry: int, block: int) ->
     own = F.floor(F.col("before") / size)
     halo = F.when((own > 0) & (F.col("before") < own * size + 2 * limit), F.array(own - 1, own)).otherwise(F.array(own))
     dealt = sized.withColumn("own", own)
-    blocks = lambda d: d.withColumn("block", F.explode(halo))
+    # numbers are few bytes, calls for a block take long: as many tasks as there are places for
+    parts = 4 * sized.sparkSession.sparkContext.defaultParallelism
+    blocks = lambda d: d.withColumn("block", F.explode(halo)).repartition(parts, "g", "block")
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, own_rows, _, nxt = _in_block(pdf, rule, limit, carry)
@@ -119,19 +121,31 @@ def budget_chunks(rows: DataFrame, group: str, order: str, text: str, chunk_toke
     t = rows.where(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")) != "")
     t = t.select(F.col(group).alias("group"), F.to_json(F.struct(F.col(group).alias("g"))).alias("g0"), F.col(order).alias("o"), F.col(text).alias("text"), F.floor(F.length(text) / 4).alias("tokens"))
     t = t.withColumn("giant", (F.col("tokens") > chunk_tokens).cast("long"))
-    t = written(running(t, "g0", ["o"], {"segment": "giant"}, "place"), "chunk-rows")
+    # texts are written once and moved when their chunk is known; until then their numbers stand for them
+    texts = written(t.withColumn("id", F.monotonically_increasing_id()), "chunk-texts")
+    t = written(running(texts.select("id", "g0", "o", "tokens", "giant"), "g0", ["o"], {"segment": "giant"}, "place"), "chunk-rows")
     # between giants rows are packed; a segment is the run behind so many of them
-    small = t.where("giant = 0").withColumn("g", F.concat_ws("|", "segment", "g0"))
+    small = t.where("giant = 0").select("id", "g0", "place", "tokens", F.concat_ws("|", "segment", "g0").alias("g"))
     small = written(running(small, "g", ["place"], {"before": "tokens"}, "pos"), "chunk-sized")
     totals = small.groupBy("g").agg(F.count("*").alias("n"), F.sum("tokens").alias("total"))
     sized = written(small.select("g", "pos", "before", F.col("tokens").alias("size")).join(totals, "g"), "chunk-sums")
-    bounds = _bounds(sized, filled, chunk_tokens, overlap_tokens, block)
-    packed_ = _joined(bounds, small.select("g", "pos", "text"), separator)
-    names = small.where("pos = 0").select("g", "g0", "group", F.col("place").alias("base"))
-    packed_ = packed_.join(names, "g").select("g0", "group", "text", (F.col("first") + F.col("base")).alias("first"), (F.col("last") + F.col("base")).alias("last"))
-    giants = t.where("giant = 1").select("g0", "group", "text", F.col("place").alias("first"), F.col("place").alias("last"))
-    both = running(packed_.unionByName(giants), "g0", ["first"], {}, "chunk_index")
-    return both.select(F.col("group").alias(group), F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    bounds = written(_bounds(sized, filled, chunk_tokens, overlap_tokens, block), "chunk-bounds")
+    names = small.where("pos = 0").select("g", "g0", F.col("place").alias("base"))
+    place = lambda c: (F.col(c) + F.col("base")).alias(c)
+    packed_ = bounds.join(names, "g").select("g0", place("first"), place("last"), F.lit(0).cast("long").alias("giant"))
+    giants = t.where("giant = 1").select("g0", F.col("place").alias("first"), F.col("place").alias("last"), "giant")
+    both = written(running(packed_.unionByName(giants), "g0", ["first"], {}, "chunk_index"), "chunk-numbers")
+
+    def held(giant: int) -> DataFrame:
+        """(id, place, g0, chunk_index, first, last, group, text): the rows of chunks that giants are, or of the others; texts stream past their numbers."""
+        at = both.where(F.col("giant") == giant).select("g0", "chunk_index", "first", "last", F.explode(F.sequence("first", "last")).alias("place"))
+        at = at.join(t.select("g0", "place", "id"), ["g0", "place"])
+        return texts.where(F.col("giant") == giant).select("id", "group", "text").join(at.hint("shuffle_hash"), "id")
+
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    joined = held(0).groupBy("g0", "chunk_index", "first", "last").agg(F.first("group").alias("group"), F.array_join(F.transform(parts, lambda r: r["text"]), separator).alias("text"))
+    out = joined.drop("g0").unionByName(held(1).select("chunk_index", "first", "last", "group", "text"))
+    return out.select(F.col("group").alias(group), F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
 
 
 def paragraph_chunks(docs: DataFrame, key: str, text: str = "text", chunk_chars: int = 2000, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:

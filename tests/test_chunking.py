@@ -126,3 +126,13 @@ def test_paragraphs_of_short_texts_need_no_shuffle(spark):
     far = chunking.paragraph_chunks(df, "k", "t", 100, 1, whole=0)
     assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
     assert "Exchange" not in chunking._packed_whole(df, "k", "t", 100)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_budget_chunks_are_written_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("ab"[i % 2], i // 3, "x" * (i % 90)) for i in range(300)], "s string, i int, t string")
+    seen, write, run = [], chunking.written, chunking.running
+    monkeypatch.setattr(chunking, "written", lambda df, name: seen.append((name, df.columns)) or write(df, name))
+    monkeypatch.setattr(chunking, "running", lambda df, *a: seen.append(("running", df.columns)) or run(df, *a))
+    got = chunking.budget_chunks(rows, "s", "i", "t", 20, 5).collect()
+    assert [name for name, columns in seen if "text" in columns] == ["chunk-texts"]
+    assert {r["s"] for r in got} == {"a", "b"} and all(len(r["text"].split("\n\n")) == r["last"] - r["first"] + 1 for r in got)
