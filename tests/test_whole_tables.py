@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from engramma.operators import graph, motifs
-from engramma.queries import enriched, memory, passages
+from engramma.queries import enriched, imports, memory, passages
 
 
 def words_of(duck):
@@ -118,3 +118,28 @@ def test_batch_results_of_hashes_with_equal_beginnings(spark, duck, tmp_path):
     same(got, con.sql(enriched.SQL["batch_results"]))
     assert {r["content_hash"][:8] for r in got.collect()} == {"b4f62726", hashlib.md5(b"the text 3").hexdigest()[:8]}
     assert got.count() == 2  # both are stored with the smaller hash
+
+
+def test_edges_go_to_more_tasks_as_there_are_more(spark, duck, tmp_path, monkeypatch):
+    # orders of one to nine lines, one edge many times, rows without a key
+    rows = [(k % 700, k // 700, (k % 700 * 37 + (k // 700) ** 2 * 101) % 997) for k in range(6000)] + [(10_000 + k, n, 5 + n) for k in range(3000) for n in range(2)] + [(None, 1, 3), (None, 2, 4), (20_000, 1, None), (20_000, 2, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duck.cursor()
+    con.execute(f"create temp view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    held = lambda: [r["n"] for r in memory._edges(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    few = held()
+    monkeypatch.setattr(memory, "EDGE_ROWS", 300)
+    many = held()
+    assert sum(many) == sum(few) == con.sql(f"select count(*) from ({memory.EDGES})").fetchall()[0][0] > 3000
+    assert len(few) <= 4 and max(many) <= 300
+    for name in ("symmetric_edges", "pair_edges"):
+        same(imports.QUERIES[name](spark, str(tmp_path)), con.sql(imports.SQL[name]))
+
+
+def test_both_ways_keeps_what_edges_carry(spark):
+    e = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (3, 3, None), (None, 4, "y")], "a int, b long, note string")
+    got = graph.both_ways(e)
+    assert got.columns == ["node", "other", "direction", "note"]
+    want = [(a, b, "out", t) for a, b, t in [(1, 2, "x"), (1, 2, "x"), (3, 3, None), (None, 4, "y")]] + [(b, a, "in", t) for a, b, t in [(1, 2, "x"), (1, 2, "x"), (3, 3, None), (None, 4, "y")]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("LogicalRDD") == 1
