@@ -47,11 +47,12 @@ def test_rare_cooccurrence_of_all_documents(spark, sf, duck):
             held.setdefault(e, []).append(k)
     rare = {e for e, ks in held.items() if len(ks) <= int(len([x for x in sets.values() if x]) * 0.05)}
     want = {(a, b): " ".join(sorted(x & y & rare)) for (a, x), (b, y) in combinations(sorted(sets.items()), 2) if len(x & y & rare) >= 3}
-    got = graph.rare_cooccurrence(memory._words(spark, sf), "doc_id", "w", 0.05, 3).select("a", "b", F.array_join("shared", " ").alias("shared"), "n").collect()
+    got = memory.rare_cooccurrence(spark, sf).collect()
+    assert len(got) == len(want)
     assert {(r["a"], r["b"]): r["shared"] for r in got} == want and all(r["n"] == len(r["shared"].split(" ")) for r in got)
     links = {k: sum(k in p for p in want) for k, x in sets.items() if x & rare}
     first = {k: min(j for j, y in sets.items() if y & rare == sets[k] & rare) for k in links}
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in memory.rare_cooccurrence(spark, sf).collect()} == {k: (first[k], n) for k, n in links.items()}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in graph.rare_links(memory._words(spark, sf), "doc_id", "w", 0.05, 3).collect()} == {k: (first[k], n) for k, n in links.items()}
 
 
 def test_rare_links_in_small_cells(spark, monkeypatch):
